@@ -58,23 +58,12 @@ def latest_book(
     return sides.withColumn("spread", spread("bids", "asks"))
 
 
-def _explode_side(df: DataFrame, side: str, levels_col: str, keep: list[str]) -> DataFrame:
-    return df.select(
-        *keep,
-        F.lit(side).alias("side"),
-        F.posexplode(levels_col).alias("pos", "lvl"),
-    ).select(
-        *keep,
-        "side",
-        (F.col("pos") + 1).alias("level"),
-        F.col("lvl.price").alias("price"),
-        F.col("lvl.quantity").alias("quantity"),
-    )
-
-
 def book_levels(book: DataFrame, depth: int | None = None) -> DataFrame:
     """Flat view, one row per (symbol, event_time, side, level): level 1 is the first level as
-    delivered.  Accepts a decoded book (parallel arrays) or ``latest_book`` output."""
+    delivered.  Accepts a decoded book (parallel arrays) or ``latest_book`` output.
+
+    Both sides come out of one pass: a two-element array of (side, levels) is exploded, then
+    the levels (a union of a bid branch and an ask branch would compute the input twice)."""
     if "bids" not in book.columns:
         book = book.select(
             "symbol",
@@ -82,7 +71,18 @@ def book_levels(book: DataFrame, depth: int | None = None) -> DataFrame:
             zip_levels("bid_prices", "bid_quantities", depth).alias("bids"),
             zip_levels("ask_prices", "ask_quantities", depth).alias("asks"),
         )
-    keep = ["symbol", "event_time"]
-    return _explode_side(book, "bid", "bids", keep).unionByName(
-        _explode_side(book, "ask", "asks", keep)
+    sides = F.array(
+        F.struct(F.lit("bid").alias("side"), F.col("bids").alias("levels")),
+        F.struct(F.lit("ask").alias("side"), F.col("asks").alias("levels")),
+    )
+    per_side = book.select("symbol", "event_time", F.inline(sides))
+    return per_side.select(
+        "symbol", "event_time", "side", F.posexplode("levels").alias("pos", "lvl")
+    ).select(
+        "symbol",
+        "event_time",
+        "side",
+        (F.col("pos") + 1).alias("level"),
+        F.col("lvl.price").alias("price"),
+        F.col("lvl.quantity").alias("quantity"),
     )
