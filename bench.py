@@ -26,6 +26,7 @@ from tickflow.operators.stats import available_symbols, trade_stats  # noqa: E40
 from tickflow.plans.session import build_session, scratch_path  # noqa: E402
 from tickflow.sources import feeds  # noqa: E402
 from tickflow.sources.serving import read_table  # noqa: E402
+from tickflow.streaming.sinks import write_history  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
@@ -87,10 +88,7 @@ def main():
     hist = os.path.join(root, "trades_history")
     clean = spark.read.parquet(os.path.join(root, "trades"))
     q["history_trades"] = timed(
-        lambda: clean.hint("rebalance", *S.TRADES_PARTITIONS)
-        .write.mode("overwrite")
-        .partitionBy(*S.TRADES_PARTITIONS)
-        .parquet(hist)
+        lambda: write_history(clean, hist, S.TRADES_PARTITIONS, ("TradeTime",), mode="overwrite")
     )
 
     trades = read_table(spark, hist, S.TRADES)

@@ -84,6 +84,8 @@ def table_batch_writer(
     """S4 body for ``foreachBatch``: skip an empty batch (A6), else write it by column name
     into ``partition_cols`` + ``batch_id`` with dynamic partition overwrite.
 
+    With partition columns the batch is rebalanced on them first: one task per partition value,
+    and AQE splits a hot value (one symbol with a third of the rows) over several tasks/files.
     ``sort_cols`` orders rows within each file (the serving order, e.g. time then symbol), which
     keeps parquet min/max statistics tight for later pushed filters."""
 
@@ -91,6 +93,8 @@ def table_batch_writer(
         if batch_df.isEmpty():
             return
         out = batch_df.withColumn(BATCH_COL, F.lit(batch_id).cast("long"))
+        if partition_cols:
+            out = out.hint("rebalance", *partition_cols)
         if sort_cols:
             out = out.sortWithinPartitions(*sort_cols)
         (
@@ -119,3 +123,20 @@ def write_table_stream(
         .trigger(**trigger_options(trigger))
         .start()
     )
+
+
+def write_history(
+    df: DataFrame,
+    path: str,
+    partition_cols: Sequence[str],
+    sort_cols: Sequence[str] = (),
+    mode: str = "append",
+) -> None:
+    """Batch write (backfill, compaction) into the hive-partitioned history store.
+
+    ``REBALANCE`` on the partition columns gathers each partition value into few files, and AQE
+    splits skewed values instead of sending a hot symbol-day to a single task."""
+    out = df.hint("rebalance", *partition_cols)
+    if sort_cols:
+        out = out.sortWithinPartitions(*sort_cols)
+    out.write.mode(mode).partitionBy(*partition_cols).parquet(path)
