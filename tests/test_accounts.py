@@ -46,10 +46,11 @@ def test_lookup_drops_only_missing_balance(spark, accounts):
 def test_bulk_delete(spark, accounts):
     info, bal = accounts
     req = spark.createDataFrame([("0",), ("2",), ("9",), ("2",)], "user_id string")
-    out = {(r.user_id, r.success, r.reason) for r in delete_outcome(info, req).collect()}
-    assert ("0", False, "admin_protected") in out
-    assert ("9", False, "not_found") in out
-    assert ("2", True, "deleted") in out and ("2", False, "not_found") in out
+    out = {r.user_id: r for r in delete_outcome(info, req).collect()}
+    assert (out["0"].success, out["0"].failed, out["0"].reason) == (False, 1, "admin_protected")
+    assert (out["9"].success, out["9"].failed, out["9"].reason) == (False, 1, "not_found")
+    # id 2 requested twice: deleted by the first request, the repeat fails
+    assert (out["2"].requests, out["2"].success, out["2"].failed) == (2, True, 1)
     c = delete_counts(delete_outcome(info, req)).first()
     assert (c.success_count, c.fail_count) == (1, 3)
     info2, bal2 = bulk_delete(info, bal, req)

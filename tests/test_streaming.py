@@ -120,3 +120,28 @@ def test_kafka_reader_needs_connector(spark):
     except Exception as e:  # connector jar absent in this image
         pytest.skip(f"kafka connector unavailable: {type(e).__name__}")
     assert "value" in df.columns
+
+
+def test_start_all_feeds(spark):
+    from tickflow.sources import feeds
+    from tickflow.streaming.fanout import start_all
+
+    root = tempfile.mkdtemp()
+    ev_schema = catalog.table(spark, SF_SMALL, "events").schema
+    src = os.path.join(root, "events")
+    catalog.table(spark, SF_SMALL, "events").write.parquet(src)
+    li = catalog.table(spark, SF_SMALL, "lineitem")
+    li_src = os.path.join(root, "lineitem")
+    li.write.parquet(li_src)
+    raw = {
+        "trades": feeds.trade_feed(spark.readStream.schema(ev_schema).parquet(src)),
+        "tickers": feeds.ticker_feed(spark.readStream.schema(li.schema).parquet(li_src)),
+    }
+    qs = start_all(spark, raw, root + "/out", root + "/cp", trigger="available_now", wait=False)
+    for q in qs:
+        q.awaitTermination()
+    got = spark.read.parquet(root + "/out/history/trades")
+    assert got.count() == catalog.trades(spark, SF_SMALL).count()
+    assert set(S.TRADES_PARTITIONS) <= set(got.columns)
+    served = spark.read.parquet(root + "/out/serving/tickers")
+    assert served.count() == catalog.tickers(spark, SF_SMALL).count()

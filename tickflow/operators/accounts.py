@@ -7,7 +7,7 @@ all text).  Requests are DataFrames of ids, so a bulk operation is one join, not
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickflow.functions.numeric import double_or_zero
@@ -48,20 +48,24 @@ def lookup_accounts(info: DataFrame, balance: DataFrame, requests: DataFrame) ->
 
 
 def delete_outcome(info: DataFrame, requests: DataFrame) -> DataFrame:
-    """J3 outcome per request: admin id refused, unknown id failed, others deleted.
+    """J3 outcome, one row per requested id: how often it was requested, whether it was deleted,
+    how many of its requests failed, and why.
 
-    A repeated id inside one request set succeeds once; the repeats fail as 'not_found', as a
-    loop of single deletes would.
+    The admin id is refused, an unknown id fails, a known id is deleted by its first request and
+    any repeat fails (as a loop of single deletes would).  Requests are counted with a partial
+    aggregate, so one id requested a million times costs a counter, not a hot partition.
     """
-    w = Window.partitionBy("user_id").orderBy(F.lit(0))
-    req = requests.select("user_id").withColumn("nth", F.row_number().over(w))
-    known = info.select("user_id", F.lit(True).alias("exists")).distinct()
+    req = requests.groupBy("user_id").agg(F.count(F.lit(1)).alias("requests"))
+    known = info.select("user_id").distinct().withColumn("exists", F.lit(True))
     j = req.join(known, "user_id", "left")
     refused = F.col("user_id") == F.lit(ADMIN_ID)
-    found = F.coalesce(F.col("exists"), F.lit(False)) & (F.col("nth") == 1)
+    found = F.coalesce(F.col("exists"), F.lit(False))
+    success = ~refused & found
     return j.select(
         "user_id",
-        (~refused & found).alias("success"),
+        "requests",
+        success.alias("success"),
+        (F.col("requests") - success.cast("long")).alias("failed"),
         F.when(refused, F.lit("admin_protected"))
         .when(found, F.lit("deleted"))
         .otherwise(F.lit("not_found"))
@@ -72,8 +76,8 @@ def delete_outcome(info: DataFrame, requests: DataFrame) -> DataFrame:
 def delete_counts(outcome: DataFrame) -> DataFrame:
     """Success / failure counts of a bulk delete."""
     return outcome.agg(
-        F.count(F.when(F.col("success"), 1)).alias("success_count"),
-        F.count(F.when(~F.col("success"), 1)).alias("fail_count"),
+        F.sum(F.col("success").cast("long")).alias("success_count"),
+        F.sum("failed").alias("fail_count"),
     )
 
 

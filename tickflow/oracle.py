@@ -100,12 +100,13 @@ _ACCOUNT_COLS = """user_id, username, coalesce(role, 'user') AS role,
 
 OUTCOME = """
 outcome AS (
-  SELECT r.user_id,
-         (r.user_id <> '0' AND i.user_id IS NOT NULL AND r.nth = 1) AS success,
+  SELECT r.user_id, r.requests,
+         (r.user_id <> '0' AND i.user_id IS NOT NULL) AS success,
+         r.requests - CAST((r.user_id <> '0' AND i.user_id IS NOT NULL) AS BIGINT) AS failed,
          CASE WHEN r.user_id = '0' THEN 'admin_protected'
-              WHEN i.user_id IS NOT NULL AND r.nth = 1 THEN 'deleted'
+              WHEN i.user_id IS NOT NULL THEN 'deleted'
               ELSE 'not_found' END AS reason
-  FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id) AS nth FROM delete_requests) r
+  FROM (SELECT user_id, count(*) AS requests FROM delete_requests GROUP BY user_id) r
   LEFT JOIN (SELECT DISTINCT user_id FROM info) i USING (user_id)
 )"""
 
@@ -216,8 +217,8 @@ USING (user_id)
 WHERE TRY_CAST(user_id AS BIGINT) >= 1""",
     "account_delete_outcome": _with(ACCOUNTS, OUTCOME) + "SELECT * FROM outcome",
     "account_delete_counts": _with(ACCOUNTS, OUTCOME)
-    + """SELECT count(*) FILTER (WHERE success) AS success_count,
-       count(*) FILTER (WHERE NOT success) AS fail_count FROM outcome""",
+    + """SELECT CAST(sum(CAST(success AS BIGINT)) AS BIGINT) AS success_count,
+       CAST(sum(failed) AS BIGINT) AS fail_count FROM outcome""",
     "time_format": _with(TRADES)
     + """SELECT TradeID,
        strftime(TradeTime, '%Y-%m-%dT%H:%M:%S') ||

@@ -98,3 +98,76 @@ def await_any(spark: SparkSession, timeout: float | None = None) -> None:
         spark.streams.awaitAnyTermination()
     else:
         spark.streams.awaitAnyTermination(timeout)
+
+
+# Per feed, the columns printed by the console sink.
+CONSOLE_COLUMNS = {
+    "trades": ["Symbol", "Price", "Quantity", "Side", "TradeValue", "TradeTime"],
+    "tickers": ["symbol", "close_price", "volume", "event_time", "open_time", "close_time"],
+    "orderbook": [
+        "symbol", "event_time", "bid_prices", "bid_quantities", "ask_prices", "ask_quantities",
+    ],
+}
+
+
+def _feeds():
+    from tickflow import schemas as S
+    from tickflow.operators.decode import decode_book, decode_tickers, decode_trades
+
+    return {
+        "trades": (decode_trades, S.TRADES_PARTITIONS, ("TradeTime", "Symbol")),
+        "tickers": (decode_tickers, S.TICKERS_PARTITIONS, ("event_time", "symbol")),
+        "orderbook": (decode_book, S.ORDERBOOK_PARTITIONS, ("event_time", "symbol")),
+    }
+
+
+def start_feed(
+    raw: DataFrame,
+    feed: str,
+    out_root: str,
+    checkpoint_root: str,
+    trigger=None,
+    console: bool = False,
+    single_query: bool = True,
+) -> list[StreamingQuery]:
+    """Decode one raw feed (``trades`` / ``tickers`` / ``orderbook``) and start its outputs:
+    symbol/day history + serving table, and optionally the console view."""
+    decode, parts, order = _feeds()[feed]
+    clean = decode(raw)
+    qs: list[StreamingQuery] = []
+    if console:
+        qs.append(
+            write_console_stream(
+                clean,
+                os.path.join(checkpoint_root, f"{feed}_console"),
+                CONSOLE_COLUMNS[feed],
+                trigger,
+            )
+        )
+    if single_query:
+        qs.append(
+            start_fanout(
+                clean, feed, out_root, os.path.join(checkpoint_root, feed), parts, order, trigger
+            )
+        )
+    else:
+        qs.extend(start_outputs(clean, feed, out_root, checkpoint_root, parts, order, None, trigger))
+    return qs
+
+
+def start_all(
+    spark: SparkSession,
+    raw_feeds: dict[str, DataFrame],
+    out_root: str,
+    checkpoint_root: str,
+    trigger=None,
+    console: bool = False,
+    wait: bool = True,
+) -> list[StreamingQuery]:
+    """Start every feed in ``raw_feeds`` in one session; with ``wait`` block until one ends."""
+    qs = []
+    for feed, raw in raw_feeds.items():
+        qs.extend(start_feed(raw, feed, out_root, checkpoint_root, trigger, console))
+    if wait:
+        await_any(spark)
+    return qs
