@@ -144,6 +144,8 @@ def test_start_all_feeds(spark):
     got = spark.read.parquet(root + "/out/history/trades")
     assert got.count() == catalog.trades(spark, SF_SMALL).count()
     assert set(S.TRADES_PARTITIONS) <= set(got.columns)
+    served_trades = spark.read.parquet(root + "/out/serving/trades")
+    assert served_trades.schema["IsBuyerMaker"].dataType.typeName() == "byte"  # contract applied
     served = spark.read.parquet(root + "/out/serving/tickers")
     from tickflow.operators.decode import decode_tickers
 

@@ -72,15 +72,26 @@ def start_fanout(
     partition_cols: Sequence[str],
     sort_cols: Sequence[str] = (),
     trigger=None,
+    contract=None,
 ) -> StreamingQuery:
+    """With a serving ``contract`` (``plans.contracts``), the serving table receives the
+    conformed rows and the rows it cannot hold go to ``rejects/<name>``; the history keeps every
+    decoded row."""
     history = table_batch_writer(os.path.join(out_root, "history", name), partition_cols)
     serving = table_batch_writer(os.path.join(out_root, "serving", name), (), sort_cols)
+    rejected = table_batch_writer(os.path.join(out_root, "rejects", name))
 
     def both(batch_df: DataFrame, batch_id: int) -> None:
         batch_df.persist()
         try:
             history(batch_df, batch_id)
-            serving(batch_df, batch_id)
+            if contract is None:
+                serving(batch_df, batch_id)
+            else:
+                from tickflow.plans.contracts import conform, rejects
+
+                serving(conform(batch_df, contract, sort=False), batch_id)
+                rejected(rejects(batch_df, contract), batch_id)
         finally:
             batch_df.unpersist()
 
@@ -113,11 +124,12 @@ CONSOLE_COLUMNS = {
 def _feeds():
     from tickflow import schemas as S
     from tickflow.operators.decode import decode_book, decode_tickers, decode_trades
+    from tickflow.plans import contracts as C
 
     return {
-        "trades": (decode_trades, S.TRADES_PARTITIONS, ("TradeTime", "Symbol")),
-        "tickers": (decode_tickers, S.TICKERS_PARTITIONS, ("event_time", "symbol")),
-        "orderbook": (decode_book, S.ORDERBOOK_PARTITIONS, ("event_time", "symbol")),
+        "trades": (decode_trades, S.TRADES_PARTITIONS, C.TRADES),
+        "tickers": (decode_tickers, S.TICKERS_PARTITIONS, C.TICKERS),
+        "orderbook": (decode_book, S.ORDERBOOK_PARTITIONS, C.ORDERBOOK),
     }
 
 
@@ -131,8 +143,10 @@ def start_feed(
     single_query: bool = True,
 ) -> list[StreamingQuery]:
     """Decode one raw feed (``trades`` / ``tickers`` / ``orderbook``) and start its outputs:
-    symbol/day history + serving table, and optionally the console view."""
-    decode, parts, order = _feeds()[feed]
+    symbol/day history, serving table under the feed's contract (+ rejects), and optionally the
+    console view."""
+    decode, parts, contract = _feeds()[feed]
+    order = contract.sort_cols
     clean = decode(raw)
     qs: list[StreamingQuery] = []
     if console:
@@ -147,7 +161,14 @@ def start_feed(
     if single_query:
         qs.append(
             start_fanout(
-                clean, feed, out_root, os.path.join(checkpoint_root, feed), parts, order, trigger
+                clean,
+                feed,
+                out_root,
+                os.path.join(checkpoint_root, feed),
+                parts,
+                order,
+                trigger,
+                contract,
             )
         )
     else:
