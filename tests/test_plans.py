@@ -48,3 +48,11 @@ def test_no_python_evaluation(spark, name):
         pytest.skip("runs a stream")
     text = plan_text(catalog.QUERIES[name](spark, SF_SMALL), "simple")
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
+
+
+def test_lookback_with_aware_as_of(history):
+    aware = dt.datetime(2024, 1, 30, 1, 0, tzinfo=dt.timezone(dt.timedelta(hours=5)))
+    naive = dt.datetime(2024, 1, 29, 20, 0)
+    a = trade_stats(history, as_of=aware, hours=24).collect()
+    b = trade_stats(history, as_of=naive, hours=24).collect()
+    assert sorted(a) == sorted(b) and len(a) > 0

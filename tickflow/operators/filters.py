@@ -45,6 +45,8 @@ def since(df: DataFrame, ts_col: str, as_of, hours: float) -> DataFrame:
     if literal and {"Year", "Month", "Day"} <= set(df.columns):
         if isinstance(as_of, str):
             as_of = _dt.datetime.fromisoformat(as_of)
+        if as_of.tzinfo is not None:  # calendar columns are UTC
+            as_of = as_of.astimezone(_dt.timezone.utc).replace(tzinfo=None)
         first_day = (as_of - _dt.timedelta(hours=hours)).date()
         out = out.where(F.make_date("Year", "Month", "Day") >= F.lit(first_day))
     return out
