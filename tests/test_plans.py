@@ -56,3 +56,18 @@ def test_lookback_with_aware_as_of(history):
     a = trade_stats(history, as_of=aware, hours=24).collect()
     b = trade_stats(history, as_of=naive, hours=24).collect()
     assert sorted(a) == sorted(b) and len(a) > 0
+
+
+def test_latest_book_lookback_prunes(spark):
+    from tickflow.operators.latest import latest_book
+
+    path = tempfile.mkdtemp() + "/book"
+    b = catalog.book(spark, SF_SMALL).where("symbol = '1-URGENT'")
+    write_history(b, path, S.ORDERBOOK_PARTITIONS)
+    hist = read_table(spark, path, S.ORDERBOOK)
+    last = b.agg({"event_time": "max"}).first()[0]
+    df = latest_book(hist, 10, as_of=last, lookback_hours=48)
+    pf = [line for line in plan_text(df).splitlines() if line.startswith("PartitionFilters")]
+    assert pf and "make_date" in pf[0], pf
+    full = latest_book(hist, 10).first()
+    assert df.first().event_time == full.event_time == last

@@ -75,8 +75,10 @@ class Market:
         return requested_stats(self.trades(syms), requested, as_of, hours)
 
     # GET /api/orderbook/{symbol}
-    def orderbook(self, symbol=None, depth: int = 10) -> DataFrame:
-        return latest_book(self.book(symbol), depth)
+    def orderbook(
+        self, symbol=None, depth: int = 10, as_of=None, lookback_hours: float | None = None
+    ) -> DataFrame:
+        return latest_book(self.book(symbol), depth, as_of=as_of, lookback_hours=lookback_hours)
 
     # GET /api/symbols
     def symbols(self) -> DataFrame:

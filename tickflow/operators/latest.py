@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickflow.functions.book import DEFAULT_DEPTH, spread, zip_levels
-from tickflow.operators.filters import select_symbols
+from tickflow.operators.filters import select_symbols, since
 
 
 def latest_trades(
@@ -37,11 +37,22 @@ def latest_trades(
 
 
 def latest_book(
-    book: DataFrame, depth: int = DEFAULT_DEPTH, symbols: Iterable[str] | None = None
+    book: DataFrame,
+    depth: int = DEFAULT_DEPTH,
+    symbols: Iterable[str] | None = None,
+    as_of=None,
+    lookback_hours: float | None = None,
 ) -> DataFrame:
     """Newest snapshot per symbol: ``bids``/``asks`` as ``array<struct<price, quantity>>`` (first
-    ``depth`` levels in arrival order, shorter of price/quantity arrays wins) and ``spread``."""
+    ``depth`` levels in arrival order, shorter of price/quantity arrays wins) and ``spread``.
+
+    By default the whole history is searched, as the reference does.  With ``lookback_hours``
+    only snapshots in ``[as_of - lookback, ...)`` are considered, which on the day-partitioned
+    store prunes the scan to the last days; a symbol without a snapshot in that window is absent.
+    """
     df = select_symbols(book, symbols, col="symbol").where(F.col("symbol").isNotNull())
+    if lookback_hours is not None:
+        df = since(df, "event_time", as_of, lookback_hours)
     # Ties on event_time are broken by content so that the pick is repeatable.
     w = Window.partitionBy("symbol").orderBy(
         F.col("event_time").desc(),
