@@ -15,6 +15,7 @@ import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickflow.streaming.sinks import (
@@ -73,25 +74,46 @@ def start_fanout(
     sort_cols: Sequence[str] = (),
     trigger=None,
     contract=None,
+    rebalance: bool = True,
 ) -> StreamingQuery:
     """With a serving ``contract`` (``plans.contracts``), the serving table receives the
     conformed rows and the rows it cannot hold go to ``rejects/<name>``; the history keeps every
-    decoded row."""
-    history = table_batch_writer(os.path.join(out_root, "history", name), partition_cols)
-    serving = table_batch_writer(os.path.join(out_root, "serving", name), (), sort_cols)
-    rejected = table_batch_writer(os.path.join(out_root, "rejects", name))
+    decoded row.
+
+    Per micro-batch: the decoded batch is persisted and one aggregate over it counts the rows and
+    the rejects (this also fills the cache); then only the needed writes run, from the cache."""
+    hist_w = table_batch_writer(
+        os.path.join(out_root, "history", name), partition_cols, rebalance=rebalance,
+        skip_empty=False,
+    )
+    serv_w = table_batch_writer(
+        os.path.join(out_root, "serving", name), (), sort_cols, skip_empty=False
+    )
+    rej_w = table_batch_writer(os.path.join(out_root, "rejects", name), skip_empty=False)
 
     def both(batch_df: DataFrame, batch_id: int) -> None:
         batch_df.persist()
         try:
-            history(batch_df, batch_id)
             if contract is None:
-                serving(batch_df, batch_id)
+                n, bad = batch_df.agg(F.count(F.lit(1))).first()[0], 0
             else:
-                from tickflow.plans.contracts import conform, rejects
-
-                serving(conform(batch_df, contract, sort=False), batch_id)
-                rejected(rejects(batch_df, contract), batch_id)
+                r = batch_df.agg(
+                    F.count(F.lit(1)).alias("n"),
+                    F.count_if(F.col(contract.symbol_col).isNull()).alias("bad"),
+                ).first()
+                n, bad = r["n"], r["bad"]
+            if n == 0:
+                return
+            hist_w(batch_df, batch_id)
+            if contract is None:
+                serv_w(batch_df, batch_id)
+                return
+            from tickflow.plans.contracts import conform, rejects
+
+            if n > bad:
+                serv_w(conform(batch_df, contract, sort=False), batch_id)
+            if bad:
+                rej_w(rejects(batch_df, contract), batch_id)
         finally:
             batch_df.unpersist()
 

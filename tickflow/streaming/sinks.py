@@ -80,20 +80,23 @@ def table_batch_writer(
     partition_cols: Sequence[str] = (),
     sort_cols: Sequence[str] = (),
     fmt: str = "parquet",
+    rebalance: bool = True,
+    skip_empty: bool = True,
 ) -> Callable[[DataFrame, int], None]:
     """S4 body for ``foreachBatch``: skip an empty batch (A6), else write it by column name
     into ``partition_cols`` + ``batch_id`` with dynamic partition overwrite.
 
-    With partition columns the batch is rebalanced on them first: one task per partition value,
-    and AQE splits a hot value (one symbol with a third of the rows) over several tasks/files.
+    With partition columns and ``rebalance`` the batch is rebalanced on them first: one task per
+    partition value, and AQE splits a hot value (one symbol with a third of the rows) over several
+    tasks/files.  ``skip_empty=False`` leaves the emptiness test to the caller.
     ``sort_cols`` orders rows within each file (the serving order, e.g. time then symbol), which
     keeps parquet min/max statistics tight for later pushed filters."""
 
     def write(batch_df: DataFrame, batch_id: int) -> None:
-        if batch_df.isEmpty():
+        if skip_empty and batch_df.isEmpty():
             return
         out = batch_df.withColumn(BATCH_COL, F.lit(batch_id).cast("long"))
-        if partition_cols:
+        if partition_cols and rebalance:
             out = out.hint("rebalance", *partition_cols)
         if sort_cols:
             out = out.sortWithinPartitions(*sort_cols)
