@@ -150,3 +150,24 @@ def test_start_all_feeds(spark):
     from tickflow.operators.decode import decode_tickers
 
     assert served.count() == decode_tickers(feeds.ticker_feed(spark.read.parquet(li_src))).count()
+
+
+def test_fanout_diverts_rejects(spark):
+    from tickflow.plans import contracts as C
+    from tickflow.streaming.fanout import start_fanout
+
+    d = tempfile.mkdtemp()
+    msgs = [json.dumps({"E": 1000, "s": "A", "t": i, "p": "1", "q": "2", "T": 1000}) for i in range(4)]
+    msgs += [json.dumps({"E": 1000, "t": 9, "p": "1", "q": "2", "T": 1000})]  # no symbol
+    with open(os.path.join(d, "m.json"), "w") as f:
+        f.write("\n".join(msgs) + "\n")
+    out = tempfile.mkdtemp()
+    q = start_fanout(
+        decode_trades(read_value_files(spark, d)), "trades", out, out + "/cp",
+        S.TRADES_PARTITIONS, C.TRADES.sort_cols, "available_now", C.TRADES,
+    )
+    q.awaitTermination()
+    assert spark.read.parquet(out + "/history/trades").count() == 5
+    assert spark.read.parquet(out + "/serving/trades").count() == 4
+    rej = spark.read.parquet(out + "/rejects/trades").collect()
+    assert len(rej) == 1 and rej[0].TradeID == 9

@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -80,8 +80,9 @@ def start_fanout(
     conformed rows and the rows it cannot hold go to ``rejects/<name>``; the history keeps every
     decoded row.
 
-    Per micro-batch: the decoded batch is persisted and one aggregate over it counts the rows and
-    the rejects (this also fills the cache); then only the needed writes run, from the cache."""
+    Per micro-batch: the decoded batch is persisted; the history write fills the cache and counts
+    rows and rejects on the way (an ``Observation``); the serving and reject writes then read the
+    cache, and run only when they have rows."""
     hist_w = table_batch_writer(
         os.path.join(out_root, "history", name), partition_cols, rebalance=rebalance,
         skip_empty=False,
@@ -94,17 +95,20 @@ def start_fanout(
     def both(batch_df: DataFrame, batch_id: int) -> None:
         batch_df.persist()
         try:
-            if contract is None:
-                n, bad = batch_df.agg(F.count(F.lit(1))).first()[0], 0
-            else:
-                r = batch_df.agg(
-                    F.count(F.lit(1)).alias("n"),
-                    F.count_if(F.col(contract.symbol_col).isNull()).alias("bad"),
-                ).first()
-                n, bad = r["n"], r["bad"]
+            # Row and reject counts ride along the history write (an Observation), so the batch
+            # is scanned once from the source and then served from the cache.
+            obs = Observation(f"{name}-{batch_id}")
+            bad_rows = (
+                F.count_if(F.col(contract.symbol_col).isNull())
+                if contract is not None
+                else F.lit(0).cast("long")
+            )
+            hist_w(batch_df.observe(obs, F.count(F.lit(1)).alias("n"), bad_rows.alias("bad")),
+                   batch_id)
+            m = obs.get
+            n, bad = m.get("n", 0), m.get("bad", 0)
             if n == 0:
                 return
-            hist_w(batch_df, batch_id)
             if contract is None:
                 serv_w(batch_df, batch_id)
                 return
