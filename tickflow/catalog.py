@@ -116,7 +116,8 @@ def q_trade_stats_30d(spark, sf_dir):
 def q_trade_stats_requested(spark, sf_dir):
     t = trades(spark, sf_dir)
     requested = (
-        available_symbols(t)
+        t.select(F.col("Symbol").alias("symbol"))
+        .where(F.col("symbol").isNotNull())
         .unionByName(tickers(spark, sf_dir).select("symbol"))
         .distinct()
     )
