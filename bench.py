@@ -73,7 +73,7 @@ def main():
         "trades": (decode_trades(feeds.trade_feed(src("events"))), ("TradeTime", "Symbol")),
         "tickers": (decode_tickers(feeds.ticker_feed(src("lineitem"))), ("event_time", "symbol")),
         "orderbook": (
-            decode_book(feeds.book_feed(src("orders"), tbl("lineitem"))),
+            decode_book(feeds.book_feed(src("orders"), src("lineitem"))),
             ("event_time", "symbol"),
         ),
     }
