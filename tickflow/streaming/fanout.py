@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -80,9 +81,9 @@ def start_fanout(
     conformed rows and the rows it cannot hold go to ``rejects/<name>``; the history keeps every
     decoded row.
 
-    Per micro-batch: the decoded batch is persisted; the history write fills the cache and counts
-    rows and rejects on the way (an ``Observation``); the serving and reject writes then read the
-    cache, and run only when they have rows."""
+    Per micro-batch: the decoded batch is persisted; history and serving table are written as two
+    concurrent jobs over it, the history write counting rows and rejects on the way (an
+    ``Observation``); the rejects are written afterwards, only when there are any."""
     hist_w = table_batch_writer(
         os.path.join(out_root, "history", name), partition_cols, rebalance=rebalance,
         skip_empty=False,
@@ -93,30 +94,26 @@ def start_fanout(
     rej_w = table_batch_writer(os.path.join(out_root, "rejects", name), skip_empty=False)
 
     def both(batch_df: DataFrame, batch_id: int) -> None:
+        from tickflow.plans.contracts import conform, rejects
+
         batch_df.persist()
         try:
-            # Row and reject counts ride along the history write (an Observation), so the batch
-            # is scanned once from the source and then served from the cache.
+            # Rows and rejects are counted on the way through the history write (an
+            # Observation); history and serving table are written as two concurrent jobs over
+            # the persisted batch, rejects afterwards and only when there are any.
             obs = Observation(f"{name}-{batch_id}")
             bad_rows = (
                 F.count_if(F.col(contract.symbol_col).isNull())
                 if contract is not None
                 else F.lit(0).cast("long")
             )
-            hist_w(batch_df.observe(obs, F.count(F.lit(1)).alias("n"), bad_rows.alias("bad")),
-                   batch_id)
-            m = obs.get
-            n, bad = m.get("n", 0), m.get("bad", 0)
-            if n == 0:
-                return
-            if contract is None:
-                serv_w(batch_df, batch_id)
-                return
-            from tickflow.plans.contracts import conform, rejects
-
-            if n > bad:
-                serv_w(conform(batch_df, contract, sort=False), batch_id)
-            if bad:
+            observed = batch_df.observe(obs, F.count(F.lit(1)).alias("n"), bad_rows.alias("bad"))
+            served = batch_df if contract is None else conform(batch_df, contract, sort=False)
+            with ThreadPoolExecutor(max_workers=2) as pool:
+                jobs = [pool.submit(hist_w, observed, batch_id), pool.submit(serv_w, served, batch_id)]
+                for j in jobs:
+                    j.result()
+            if contract is not None and obs.get.get("bad", 0):
                 rej_w(rejects(batch_df, contract), batch_id)
         finally:
             batch_df.unpersist()
