@@ -83,7 +83,8 @@ def start_fanout(
 
     Per micro-batch: the decoded batch is persisted; history and serving table are written as two
     concurrent jobs over it, the history write counting rows and rejects on the way (an
-    ``Observation``); the rejects are written afterwards, only when there are any."""
+    ``Observation``); the rejects are written afterwards, only when there are any.  An empty batch
+    creates no partition and so writes nothing (both tables are partitioned by ``batch_id``)."""
     hist_w = table_batch_writer(
         os.path.join(out_root, "history", name), partition_cols, rebalance=rebalance,
         skip_empty=False,
@@ -98,9 +99,6 @@ def start_fanout(
 
         batch_df.persist()
         try:
-            # Rows and rejects are counted on the way through the history write (an
-            # Observation); history and serving table are written as two concurrent jobs over
-            # the persisted batch, rejects afterwards and only when there are any.
             obs = Observation(f"{name}-{batch_id}")
             bad_rows = (
                 F.count_if(F.col(contract.symbol_col).isNull())
@@ -110,9 +108,12 @@ def start_fanout(
             observed = batch_df.observe(obs, F.count(F.lit(1)).alias("n"), bad_rows.alias("bad"))
             served = batch_df if contract is None else conform(batch_df, contract, sort=False)
             with ThreadPoolExecutor(max_workers=2) as pool:
-                jobs = [pool.submit(hist_w, observed, batch_id), pool.submit(serv_w, served, batch_id)]
+                jobs = [
+                    pool.submit(hist_w, observed, batch_id),
+                    pool.submit(serv_w, served, batch_id),
+                ]
                 for j in jobs:
-                    j.result()
+                    j.result()  # re-raises a failed write: the batch fails and is retried
             if contract is not None and obs.get.get("bad", 0):
                 rej_w(rejects(batch_df, contract), batch_id)
         finally:
