@@ -194,6 +194,10 @@ def q_serving_contract(spark, sf_dir):
     return contracts.conform(trades(spark, sf_dir), contracts.TRADES)
 
 
+def q_tickers_serving_contract(spark, sf_dir):
+    return contracts.conform(tickers(spark, sf_dir), contracts.TICKERS)
+
+
 def _event_stream(spark, sf_dir):
     """The ``events`` table as a file stream (one parquet file -> one micro-batch)."""
     src = os.path.join(sf_dir, "events.parquet")
@@ -261,6 +265,7 @@ QUERIES: dict[str, Query] = {
     "time_format": q_time_format,
     "json_publish": q_json_publish,
     "serving_contract": q_serving_contract,
+    "tickers_serving_contract": q_tickers_serving_contract,
     "stream_parquet": q_stream_parquet,
     "stream_table_sink": q_stream_table_sink,
 }

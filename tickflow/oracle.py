@@ -234,6 +234,11 @@ FROM trades""",
        CAST(coalesce(CAST(IsBuyerMaker AS TINYINT), 0) AS TINYINT) AS IsBuyerMaker, Side,
        TradeValue, Year, Month, Day, Hour
 FROM trades WHERE Symbol IS NOT NULL""",
+    "tickers_serving_contract": _with(TICKERS)
+    + """SELECT symbol, event_type, date_trunc('second', event_time) AS event_time,
+       date_trunc('second', open_time) AS open_time, date_trunc('second', close_time) AS close_time,
+       open_price, close_price, high_price, low_price, volume, quote_volume, Year, Month, Day
+FROM tickers WHERE symbol IS NOT NULL""",
     "stream_parquet": _with(TRADES) + "SELECT * FROM trades",
     "stream_table_sink": _with(TRADES) + "SELECT * FROM trades",
 }
