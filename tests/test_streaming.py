@@ -205,3 +205,20 @@ def test_restart_after_uncommitted_batch_adds_no_rows(spark):
     n = catalog.trades(spark, SF_SMALL).count()
     assert spark.read.parquet(out + "/history/trades").count() == n
     assert spark.read.parquet(out + "/serving/trades").count() == n
+
+
+def test_day_layout_history_prunes_by_stats(spark):
+    from tickflow.streaming.fanout import start_feed
+
+    root = tempfile.mkdtemp()
+    raw = catalog.feeds.trade_feed(_event_stream(spark))
+    (q,) = start_feed(raw, "trades", root + "/out", root + "/cp", trigger="available_now",
+                      history_partitions=S.DAY_PARTITIONS)
+    q.awaitTermination()
+    hist = root + "/out/history/trades"
+    assert sorted(os.listdir(hist))[0].startswith("Year=")
+    df = read_table(spark, hist, S.TRADES, symbols=["BTCUSDT"])
+    text = plan_text(df, "formatted")
+    assert "EqualTo(Symbol,BTCUSDT)" in text  # pushed to the parquet reader (row-group skipping)
+    want = catalog.trades(spark, SF_SMALL).where(F.col("Symbol") == "BTCUSDT").count()
+    assert df.count() == want

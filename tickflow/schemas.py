@@ -142,7 +142,10 @@ ACCOUNT_BALANCE = T.StructType(
     ]
 )
 
-# Hive-style partition columns of the historical parquet store, per feed.
+# Hive-style partition columns of the historical parquet store, per feed (the reference's layout).
+# With thousands of symbols, DAY_PARTITIONS keeps the folder count at one per day; files are then
+# sorted by (symbol, time) so that a symbol filter skips row groups by their min/max statistics.
+DAY_PARTITIONS = ("Year", "Month", "Day")
 TRADES_PARTITIONS = ("Symbol", "Year", "Month", "Day")
 TICKERS_PARTITIONS = ("symbol", "Year", "Month", "Day")
 ORDERBOOK_PARTITIONS = ("symbol", "Year", "Month", "Day")

@@ -76,6 +76,7 @@ def start_fanout(
     trigger=None,
     contract=None,
     rebalance: bool = True,
+    history_sort: Sequence[str] = (),
 ) -> StreamingQuery:
     """With a serving ``contract`` (``plans.contracts``), the serving table receives the
     conformed rows and the rows it cannot hold go to ``rejects/<name>``; the history keeps every
@@ -86,7 +87,10 @@ def start_fanout(
     ``Observation``); the rejects are written afterwards, only when there are any.  An empty batch
     creates no partition and so writes nothing (both tables are partitioned by ``batch_id``)."""
     hist_w = table_batch_writer(
-        os.path.join(out_root, "history", name), partition_cols, rebalance=rebalance,
+        os.path.join(out_root, "history", name),
+        partition_cols,
+        history_sort,
+        rebalance=rebalance,
         skip_empty=False,
     )
     serv_w = table_batch_writer(
@@ -165,12 +169,21 @@ def start_feed(
     trigger=None,
     console: bool = False,
     single_query: bool = True,
+    history_partitions: Sequence[str] | None = None,
 ) -> list[StreamingQuery]:
     """Decode one raw feed (``trades`` / ``tickers`` / ``orderbook``) and start its outputs:
     symbol/day history, serving table under the feed's contract (+ rejects), and optionally the
-    console view."""
+    console view.
+
+    ``history_partitions`` overrides the history layout, e.g. ``schemas.DAY_PARTITIONS`` for
+    many symbols; history files are then sorted by (symbol, time)."""
     decode, parts, contract = _feeds()[feed]
     order = contract.sort_cols
+    history_sort: tuple[str, ...] = ()
+    if history_partitions is not None:
+        parts = tuple(history_partitions)
+        if contract.symbol_col not in parts:
+            history_sort = (contract.symbol_col, order[0])
     clean = decode(raw)
     qs: list[StreamingQuery] = []
     if console:
@@ -193,6 +206,7 @@ def start_feed(
                 order,
                 trigger,
                 contract,
+                history_sort=history_sort,
             )
         )
     else:
