@@ -133,13 +133,21 @@ def write_history(
     path: str,
     partition_cols: Sequence[str],
     sort_cols: Sequence[str] = (),
-    mode: str = "append",
+    mode: str = "overwrite",
 ) -> None:
-    """Batch write (backfill, compaction) into the hive-partitioned history store.
+    """Batch write (backfill) into the hive-partitioned history store.
 
-    ``REBALANCE`` on the partition columns gathers each partition value into few files, and AQE
-    splits skewed values instead of sending a hot symbol-day to a single task."""
+    The default replaces exactly the partitions present in ``df`` (dynamic partition overwrite)
+    and leaves all others alone, so re-running a failed or repeated backfill of some days gives
+    the same table instead of duplicate rows.  ``REBALANCE`` on the partition columns gathers
+    each partition value into few files, and AQE splits skewed values instead of sending a hot
+    symbol-day to a single task."""
     out = df.hint("rebalance", *partition_cols)
     if sort_cols:
         out = out.sortWithinPartitions(*sort_cols)
-    out.write.mode(mode).partitionBy(*partition_cols).parquet(path)
+    (
+        out.write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*partition_cols)
+        .parquet(path)
+    )
