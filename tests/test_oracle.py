@@ -21,9 +21,8 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
-def test_every_query_has_sql_or_is_rows_only():
-    rows_only = set(NAMES) - set(SQL)
-    assert rows_only == {"json_publish"}
+def test_every_query_has_sql():
+    assert set(NAMES) == set(SQL)
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -239,6 +239,22 @@ FROM trades WHERE Symbol IS NOT NULL""",
        date_trunc('second', open_time) AS open_time, date_trunc('second', close_time) AS close_time,
        open_price, close_price, high_price, low_price, volume, quote_volume, Year, Month, Day
 FROM tickers WHERE symbol IS NOT NULL""",
+    # The wire JSON itself: prices travel as text, so both engines print the same characters;
+    # a missing maker flag is left out of the object, as Spark's to_json does with NULL fields.
+    "json_publish": """
+WITH r AS (
+  SELECT epoch_us(ts) // 1000 AS ms,
+         CASE event_type WHEN 'purchase' THEN 'BTCUSDT' WHEN 'click' THEN 'BNBBTC'
+                         WHEN 'view' THEN 'ETHUSDT' WHEN 'signup' THEN 'SOLETH'
+                         WHEN 'error' THEN 'XRPUSDT' END AS s,
+         event_id AS t, CAST(value AS VARCHAR) AS p, json_extract_string(props, '$.k') AS q,
+         CASE WHEN user_id % 10 = 9 THEN NULL ELSE user_id % 2 = 0 END AS m
+  FROM events)
+SELECT CAST(CASE WHEN m IS NULL
+         THEN json_object('e', 'trade', 'E', ms, 's', s, 't', t, 'p', p, 'q', q, 'T', ms)
+         ELSE json_object('e', 'trade', 'E', ms, 's', s, 't', t, 'p', p, 'q', q, 'T', ms, 'm', m)
+       END AS VARCHAR) AS value
+FROM r""",
     "stream_parquet": _with(TRADES) + "SELECT * FROM trades",
     "stream_table_sink": _with(TRADES) + "SELECT * FROM trades",
 }
