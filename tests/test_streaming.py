@@ -213,7 +213,7 @@ def test_day_layout_history_prunes_by_stats(spark):
     root = tempfile.mkdtemp()
     raw = catalog.feeds.trade_feed(_event_stream(spark))
     (q,) = start_feed(raw, "trades", root + "/out", root + "/cp", trigger="available_now",
-                      history_partitions=S.DAY_PARTITIONS)
+                      mode="fanout", history_partitions=S.DAY_PARTITIONS)
     q.awaitTermination()
     hist = root + "/out/history/trades"
     assert sorted(os.listdir(hist))[0].startswith("Year=")
@@ -235,3 +235,23 @@ def test_backfill_rerun_is_idempotent(spark):
     write_history(later, path, S.TRADES_PARTITIONS)  # other days: kept side by side
     write_history(later, path, S.TRADES_PARTITIONS)  # re-run of the same backfill
     assert spark.read.parquet(path).count() == t.count()
+
+
+def test_chained_feed_exactly_once_without_batch_folders(spark):
+    from tickflow.streaming.fanout import start_feed
+
+    root = tempfile.mkdtemp()
+    raw = catalog.feeds.trade_feed(_event_stream(spark))
+    qs = start_feed(raw, "trades", root + "/out", root + "/cp", trigger="available_now")
+    for q in qs:
+        q.awaitTermination()
+    assert len(qs) == 3
+    hist = root + "/out/history/trades"
+    assert "_spark_metadata" in os.listdir(hist)
+    for _, dirs, _ in os.walk(hist):
+        assert not any(d.startswith(BATCH_COL + "=") for d in dirs)
+    batch = catalog.trades(spark, SF_SMALL)
+    assert _rows(read_table(spark, hist, S.TRADES)) == _rows(batch)
+    served = spark.read.parquet(root + "/out/serving/trades")
+    assert served.count() == batch.count()
+    assert served.schema["IsBuyerMaker"].dataType.typeName() == "byte"

@@ -1,17 +1,25 @@
 """S10 — one clean stream to several outputs.
 
-Two wirings:
+Three wirings:
 
 - ``start_outputs``: the reference's shape, one streaming query per output (console, parquet
   history, serving table), each with its own checkpoint.  Simple, but every query reads and
   decodes the source on its own.
 - ``start_fanout``: one query whose ``foreachBatch`` persists the decoded batch once and writes
   the history and the serving table from it.  The source is read and decoded once per batch.
+  Replay safety comes from one ``batch_id`` folder per batch: right for an external table or a
+  short-lived one, but at a 2 s trigger a long-lived history would gather tens of thousands of
+  folders per symbol and day.
+- ``start_chained`` (default of ``start_feed``): the decoded stream goes to the history through
+  Spark's file sink, exactly-once by its ``_spark_metadata`` log, with files placed straight in
+  the symbol/day folders; the serving table and the rejects are two more queries that stream the
+  history's committed files (a parquet scan, no second JSON decode) into file sinks of their own.
 """
 
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -20,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickflow.streaming.sinks import (
+    AVAILABLE_NOW,
     table_batch_writer,
     trigger_options,
     write_console_stream,
@@ -131,6 +140,55 @@ def start_fanout(
     )
 
 
+def _wait_until_running(q: StreamingQuery, timeout: float = 60.0) -> None:
+    """The file sink creates its folder and log when its query starts; downstream queries that
+    read that folder must start after it (a stream source on a missing path fails)."""
+    deadline = time.monotonic() + timeout
+    while q.isActive and q.lastProgress is None and time.monotonic() < deadline:
+        if q.status.get("isTriggerActive") or q.status.get("isDataAvailable"):
+            return
+        time.sleep(0.2)
+    if q.exception() is not None:
+        raise q.exception()
+
+
+def start_chained(
+    spark: SparkSession,
+    clean: DataFrame,
+    name: str,
+    out_root: str,
+    checkpoint_root: str,
+    partition_cols: Sequence[str],
+    contract,
+    trigger=None,
+) -> list[StreamingQuery]:
+    """History (exactly-once file sink, hive layout) -> serving table (contract) and rejects."""
+    from tickflow.plans.contracts import conform, rejects
+
+    hist = os.path.join(out_root, "history", name)
+    q1 = write_parquet_stream(
+        clean, hist, os.path.join(checkpoint_root, f"{name}_history"), partition_cols, trigger
+    )
+    if trigger == AVAILABLE_NOW:
+        q1.awaitTermination()  # a backfill: the next stages see everything it wrote
+    else:
+        _wait_until_running(q1)
+    committed = spark.readStream.schema(clean.schema).parquet(hist)
+    q2 = write_parquet_stream(
+        conform(committed, contract, sort=False),
+        os.path.join(out_root, "serving", name),
+        os.path.join(checkpoint_root, f"{name}_serving"),
+        trigger=trigger,
+    )
+    q3 = write_parquet_stream(
+        rejects(committed, contract),
+        os.path.join(out_root, "rejects", name),
+        os.path.join(checkpoint_root, f"{name}_rejects"),
+        trigger=trigger,
+    )
+    return [q1, q2, q3]
+
+
 def await_any(spark: SparkSession, timeout: float | None = None) -> None:
     """Block until any running query ends (or fails, re-raising its error)."""
     if timeout is None:
@@ -168,15 +226,18 @@ def start_feed(
     checkpoint_root: str,
     trigger=None,
     console: bool = False,
-    single_query: bool = True,
+    mode: str = "chained",
     history_partitions: Sequence[str] | None = None,
 ) -> list[StreamingQuery]:
     """Decode one raw feed (``trades`` / ``tickers`` / ``orderbook``) and start its outputs:
     symbol/day history, serving table under the feed's contract (+ rejects), and optionally the
     console view.
 
-    ``history_partitions`` overrides the history layout, e.g. ``schemas.DAY_PARTITIONS`` for
-    many symbols; history files are then sorted by (symbol, time)."""
+    ``mode``: ``chained`` (default; file sinks, see the module doc), ``fanout`` (one
+    ``foreachBatch`` query) or ``separate`` (one query per output).  ``history_partitions``
+    overrides the history layout, e.g. ``schemas.DAY_PARTITIONS`` for many symbols; in ``fanout``
+    mode history files are then sorted by (symbol, time) (streams cannot sort, so ``chained``
+    mode keeps the symbol folders for that)."""
     decode, parts, contract = _feeds()[feed]
     order = contract.sort_cols
     history_sort: tuple[str, ...] = ()
@@ -195,7 +256,14 @@ def start_feed(
                 trigger,
             )
         )
-    if single_query:
+    if mode == "chained":
+        qs.extend(
+            start_chained(
+                clean.sparkSession, clean, feed, out_root, checkpoint_root, parts, contract,
+                trigger,
+            )
+        )
+    elif mode == "fanout":
         qs.append(
             start_fanout(
                 clean,
