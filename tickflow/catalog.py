@@ -32,7 +32,7 @@ from tickflow.plans import contracts
 from tickflow.plans.session import scratch_path, use_utc
 from tickflow.sources import feeds
 from tickflow.sources.serving import read_table
-from tickflow.streaming.fanout import start_fanout
+from tickflow.streaming.fanout import start_fanout, start_feed
 from tickflow.streaming.sinks import AVAILABLE_NOW, BATCH_COL, write_parquet_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,6 +242,24 @@ def q_stream_table_sink(spark, sf_dir):
     return served.select(*[F.col(f.name).cast(f.dataType) for f in S.TRADES.fields])
 
 
+def q_stream_chained_serving(spark, sf_dir):
+    """S10 default wiring: decoded stream -> history (exactly-once file sink) -> serving table
+    under the contract, streamed from the history's committed files; the serving table is read
+    back."""
+    root = scratch_path(spark, "stream-chained")
+    qs = start_feed(
+        feeds.trade_feed(_event_stream(spark, sf_dir)),
+        "trades",
+        root,
+        root + "-checkpoint",
+        trigger=AVAILABLE_NOW,
+    )
+    for q in qs:
+        q.awaitTermination()
+    served = spark.read.parquet(os.path.join(root, "serving", "trades"))
+    return served.select(*[F.col(f.name).cast(f.dataType) for f in contracts.TRADES.schema.fields])
+
+
 QUERIES: dict[str, Query] = {
     "trades_decode": q_trades_decode,
     "trades_side_notional": q_trades_side_notional,
@@ -268,4 +286,5 @@ QUERIES: dict[str, Query] = {
     "tickers_serving_contract": q_tickers_serving_contract,
     "stream_parquet": q_stream_parquet,
     "stream_table_sink": q_stream_table_sink,
+    "stream_chained_serving": q_stream_chained_serving,
 }

@@ -258,3 +258,6 @@ FROM r""",
     "stream_parquet": _with(TRADES) + "SELECT * FROM trades",
     "stream_table_sink": _with(TRADES) + "SELECT * FROM trades",
 }
+
+# The chained stream serves exactly the rows of the serving contract.
+SQL["stream_chained_serving"] = SQL["serving_contract"]
