@@ -255,3 +255,29 @@ def test_chained_feed_exactly_once_without_batch_folders(spark):
     served = spark.read.parquet(root + "/out/serving/trades")
     assert served.count() == batch.count()
     assert served.schema["IsBuyerMaker"].dataType.typeName() == "byte"
+
+
+def test_chained_feed_with_processing_time_trigger(spark):
+    import time
+
+    from tickflow.streaming.fanout import start_feed
+
+    root = tempfile.mkdtemp()
+    raw = catalog.feeds.trade_feed(_event_stream(spark))
+    qs = start_feed(raw, "trades", root + "/out", root + "/cp", trigger="1 second")
+    try:
+        n = catalog.trades(spark, SF_SMALL).count()
+        served = root + "/out/serving/trades"
+        deadline = time.monotonic() + 120
+        while time.monotonic() < deadline:
+            if os.path.exists(served + "/_spark_metadata") and any(
+                f.endswith(".parquet") for f in os.listdir(served)
+            ):
+                if spark.read.parquet(served).count() == n:
+                    break
+            time.sleep(1)
+        assert all(q.isActive for q in qs)
+        assert spark.read.parquet(served).count() == n
+    finally:
+        for q in qs:
+            q.stop()

@@ -26,6 +26,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tickflow.streaming.sinks import (
     AVAILABLE_NOW,
@@ -152,6 +153,16 @@ def _wait_until_running(q: StreamingQuery, timeout: float = 60.0) -> None:
         raise q.exception()
 
 
+def _file_order(schema: StructType, partition_cols: Sequence[str]) -> StructType:
+    """A partitioned folder is read as data columns first, partition columns last.  A stream
+    source declared in another order binds columns by position once files appear in a folder
+    that was empty at start (seen: the Side text landing in the maker flag), so the declared
+    schema follows the file order and the columns are taken by name afterwards."""
+    parts = list(partition_cols)
+    data = [f for f in schema.fields if f.name not in parts]
+    return StructType(data + [schema[p] for p in parts])
+
+
 def start_chained(
     spark: SparkSession,
     clean: DataFrame,
@@ -173,7 +184,7 @@ def start_chained(
         q1.awaitTermination()  # a backfill: the next stages see everything it wrote
     else:
         _wait_until_running(q1)
-    committed = spark.readStream.schema(clean.schema).parquet(hist)
+    committed = spark.readStream.schema(_file_order(clean.schema, partition_cols)).parquet(hist)
     q2 = write_parquet_stream(
         conform(committed, contract, sort=False),
         os.path.join(out_root, "serving", name),
