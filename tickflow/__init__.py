@@ -24,8 +24,10 @@ from tickflow.operators.accounts import (
     lookup_accounts,
 )
 from tickflow.operators.publish import publish_json
+from tickflow.market import Market
 
 __all__ = [
+    "Market",
     "available_symbols",
     "book_levels",
     "bulk_delete",
