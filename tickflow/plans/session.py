@@ -48,14 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only when neither is
     set — a local test session — a private folder is created and registered."""
     d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = None
     if not d:
         try:
-            d = spark.sparkContext.getCheckpointDir()
-        except Exception:  # pragma: no cover - older API
+            sc = spark.sparkContext  # absent under Spark Connect
+            d = sc.getCheckpointDir()
+        except Exception:
             d = None
     if not d:
         d = tempfile.mkdtemp(prefix="tickflow-")
-        spark.sparkContext.setCheckpointDir(d)
+        if sc is not None:
+            sc.setCheckpointDir(d)
     return d
 
 
