@@ -18,7 +18,7 @@ from tickflow.llm import (
     op9_templates,
     op10_contamination,
 )
-from tickflow.llm.common import table, written
+from tickflow.llm.common import keep_if, table, written
 
 #: A document is rejected if no language is found in it, or if it is nearer to the largest distance
 #: from every language's profile than this.
@@ -27,17 +27,12 @@ MIN_SCORE = 0.2
 MOST_DROPPED = 0.5
 
 
-def _columns(docs: DataFrame) -> list[str]:
-    return docs.columns
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is identified."""
     profiles = op6_language.learn(docs)
     found = op6_language.predict(docs, profiles)
     good = found.where((F.col("lang_pred") != op6_language.UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    good = good.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select(*_columns(docs))
+    return keep_if(docs, good.select("doc_id"), "doc_id", "left_semi")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,15 +44,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
-    gone = op5_minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti").select(*_columns(docs))
+    gone = op5_minhash.near_duplicates(docs).where(~F.col("kept"))
+    return keep_if(docs, gone.select("doc_id"), "doc_id", "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that contain no benchmark item."""
     found = op10_contamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    found = written(found.select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(found, docs["doc_id"] == F.col("_id"), "left_anti").select(*_columns(docs))
+    found = written(found.select("doc_id").distinct(), "contaminated")
+    return keep_if(docs, found, "doc_id", "left_anti")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

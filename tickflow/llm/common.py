@@ -36,6 +36,22 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     )
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def keep_if(df: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """``df`` with all its columns: the rows whose id is (``left_semi``) or isn't (``left_anti``)
+    among those of ``ids``, a table of one column.  A null id equals a null id."""
+    name = fresh(df, "id_")
+    ids = ids.toDF(name).distinct()
+    return df.join(ids, df[id_col].eqNullSafe(F.col(name)), how)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -154,10 +154,10 @@ WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\
 b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM benchmark),
 k AS (SELECT item_id, ws, least(len(ws), 5) AS w FROM b WHERE len(ws) > 0),
 i AS (SELECT item_id, w, unnest(list_distinct(list_transform(range(1, len(ws) - w + 2),
-  j -> array_to_string(ws[j:j + w - 1], ' ')))) AS g FROM k),
+  lambda j: array_to_string(ws[j:j + w - 1], ' ')))) AS g FROM k),
 n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
 x AS (SELECT doc_id, w, unnest(list_distinct(list_transform(range(1, len(ws) - w + 2),
-  j -> array_to_string(ws[j:j + w - 1], ' ')))) AS g FROM d, (SELECT DISTINCT w FROM k) WHERE len(ws) >= w),
+  lambda j: array_to_string(ws[j:j + w - 1], ' ')))) AS g FROM d, (SELECT DISTINCT w FROM k) WHERE len(ws) >= w),
 s AS (SELECT doc_id, item_id, count(*) AS shared FROM x JOIN i USING (w, g) GROUP BY ALL)
 SELECT doc_id, item_id, CAST(shared AS INTEGER) AS shared, CAST(n.n AS INTEGER) AS shingles,
   shared / n.n AS containment

@@ -8,7 +8,7 @@ the next two, so that texts of different lengths still have a block size in comm
 
 ``likeness`` compares at the smallest common block size by edit distance (insertions and
 deletions): ``1 - distance / (length + length)``; 0 without a common block size or a common run of
-``RUN`` characters (of the whole shorter signature if that is shorter), 1 for equal fingerprints.
+``RUN`` characters (half of the shorter signature if that is less), 1 for equal fingerprints.
 
 Defined cases: a null text is the empty text, whose fingerprint is ``1:::``, like itself alone.
 Repeated ids are ordered by their text's hash; null ids come last in descending order.  In a table
@@ -106,8 +106,8 @@ def likeness(f: str, g: str) -> float:
     if k - ka >= LEVELS or k - kb >= LEVELS:
         return 0.0
     x, y = a[k - ka], b[k - kb]
-    run = min(RUN, len(x), len(y))
-    if not run or not any(x[i : i + run] in y for i in range(len(x) - run + 1)):
+    run = min(RUN, max(1, min(len(x), len(y)) // 2))
+    if not x or not y or not any(x[i : i + run] in y for i in range(len(x) - run + 1)):
         return 0.0
     return 2.0 * _common(x, y) / (len(x) + len(y))
 

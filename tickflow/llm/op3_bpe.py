@@ -12,7 +12,8 @@ Words are the matches of the tokenizer's pattern.  A text is first cut before ea
 follows a non-blank: a match never reaches over such a place, so pieces cut there encode apart.
 
 Defined cases: null and empty texts give no ids and decode to no bytes; repeated rows and null ids
-pass through; an id outside the table raises an error on decoding; an empty table gives no rows.
+pass through; characters that Unicode has assigned only lately may be cut as the ``regex`` module's tables
+say, not tiktoken's; an id outside the table raises an error on decoding; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickflow.llm.common import map_rows, table, texts, written
+from tickflow.llm.common import fresh, map_rows, table, texts, written
 
 LEADING = 2
 MIN_DOCS = 20
@@ -107,18 +107,19 @@ def drop_lines(
     """``df`` with the lines of ``dropped`` cut from its texts; other columns stay as they are.  A
     document of whose words more than ``most`` stand in such lines is a copy rather than a page with
     boilerplate, and stays whole."""
-    numbers = dropped.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_lines"))
-    both = df.join(numbers, df[id_col].cast("long") == F.col("_id"), "left")
+    id_, lines = fresh(df, "id_"), fresh(df, "lines_")
+    numbers = dropped.groupBy("doc_id").agg(F.collect_set("line")).toDF(id_, lines)
+    both = df.join(numbers, df[id_col].cast("long") == F.col(id_), "left")
     cut = F.array_join(
-        F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains("_lines", i)), "\n"
+        F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains(lines, i)), "\n"
     )
-    whole = F.col("_lines").isNull()
+    whole = F.col(lines).isNull()
     if most < 1:
+
         def size(c):
             return F.size(F.split(F.trim(c), r"\s+"))
 
-        whole |= size(cut) < (1 - most) * size(F.col(text_col))
-        whole |= F.trim(cut) == ""
+        whole |= (size(cut) < (1 - most) * size(F.col(text_col))) | (F.trim(cut) == "")
     kept = F.when(whole, F.col(text_col)).otherwise(cut)
     return both.select(*[kept.alias(c) if c == text_col else F.col(c) for c in df.columns])
 
