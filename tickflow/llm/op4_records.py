@@ -1,8 +1,8 @@
 """Token ids in length-delimited binary records, with a separate offset index.
 
 A record is the length of its data (unsigned 64-bit), the masked CRC-32C of those eight bytes, the
-data and the data's masked CRC-32C (unsigned 32-bit each), all little-endian.  The data are the document's id (signed 64-bit) and its
-token ids (unsigned 32-bit).  Files are written in ascending doc_id order, one for each range of ids; the
+data and the data's masked CRC-32C (unsigned 32-bit each), all little-endian.  The data are the document's id (signed 64-bit), a byte with the
+width of its token ids, two or four bytes by the largest of them, and the ids (unsigned).  Files are written in ascending doc_id order, one for each range of ids; the
 index is a Parquet table with file, offset, length and token counts of every record, so that a
 reader can fetch records in any order.  Reading verifies lengths and checksums and raises on damage.
 
@@ -187,6 +187,23 @@ _INDEX = "doc_id long, part int, file string, offset long, length long, start_in
 _GROUP = 4 << 20
 
 
+_HEAD, _HEAD_BYTES = "<qB", 9
+
+
+def pack(key: int, ids: bytes) -> bytes:
+    """A record's data from an id and token ids of 32 bits."""
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and wide.max() > 0xFFFF:
+        return struct.pack(_HEAD, key, 4) + ids
+    return struct.pack(_HEAD, key, 2) + wide.astype("<u2").tobytes()
+
+
+def unpack(data: bytes) -> tuple[int, bytes]:
+    """The inverse of ``pack``."""
+    key, width = struct.unpack_from(_HEAD, data)
+    return key, np.frombuffer(data, f"<u{width}", offset=_HEAD_BYTES).astype("<u4").tobytes()
+
+
 def _frames(data: list[bytes]) -> list[bytes]:
     lengths = [struct.pack("<Q", len(d)) for d in data]
     heads, bodies = masked(crc32c(lengths)), masked(crc32c(data))
@@ -215,7 +232,7 @@ def write_records(
         encoder, held, size = worker_encoder(tokenizer_path), [], 0
         for doc_id, text in rows:
             key = NULL_ID if doc_id is None else doc_id
-            held.append((doc_id, struct.pack("<q", key) + encoder.encode(text) + end))
+            held.append((doc_id, pack(key, encoder.encode(text) + end)))
             size += len(held[-1][1])
             if size >= _GROUP:
                 yield held
@@ -235,7 +252,7 @@ def write_records(
             data = [d for _, d in group]
             for (doc_id, d), frame in zip(group, _frames(data), strict=True):
                 out.write(frame)
-                n = (len(d) - 8) // 4
+                n = (len(d) - _HEAD_BYTES) // d[8]
                 yield doc_id, part, name, offset, len(frame), start, n
                 offset, start = offset + len(frame), start + n
         if out is not None:
@@ -294,10 +311,10 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     name, f = file, system.open_input_file(f"{root}/{file}")
                 frames.append(f.read_at(length, offset))
             for (doc_id, part, _, _, _, start, n), d in zip(group, unframe(frames), strict=True):
-                key = struct.unpack_from("<q", d)[0]
-                if key != (NULL_ID if doc_id is None else doc_id) or len(d) != 8 + 4 * n:
+                key, ids = unpack(d)
+                if key != (NULL_ID if doc_id is None else doc_id) or len(ids) != 4 * n:
                     raise Damaged("the index names another record")
-                yield doc_id, part, start, d[8:]
+                yield doc_id, part, start, ids
         if f is not None:
             f.close()
 
