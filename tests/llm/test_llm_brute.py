@@ -209,6 +209,13 @@ def test_records_query(spark, small):
     assert got == want
 
 
+def test_records_width():
+    for ids in ([], [2], [65535, 1], [65536, 1, 2]):
+        data = np.array(ids, "<u4").tobytes()
+        packed = o4.pack(-5, data)
+        assert o4.unpack(packed) == (-5, data) and packed[8] == (4 if max(ids, default=0) > 65535 else 2)
+
+
 def test_records_damage():
     frame = o4._frames([b"12345678abcd"])[0]
     assert o4.unframe([frame]) == [b"12345678abcd"]
@@ -259,6 +266,24 @@ def test_near_duplicates_chain(spark):
         assert got == plain_components(docs, words_)
 
 
+def test_near_duplicates_hub(spark):
+    """Copies that link with an original or with each other, and many that just don't."""
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+    docs = []
+    for n in range(400):
+        ws = list(base)
+        for i in rng.integers(0, 150, int(rng.integers(0, 9))):
+            ws[i] = f"v{rng.integers(10**6)}"
+        docs.append((n, " ".join(ws)))
+    docs.append((1000, " ".join(base)))
+    want = plain_components(docs, 4)
+    assert 50 < len(set(want.values())) < 350
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in o5.near_duplicates(df, n_words=4).collect()}
+    assert got == want
+
+
 def test_words_are_ascii_runs():
     assert words("A\x0bB\x1cÉ\xa0x\n\tÇa") == ["a".encode(), "b\x1cÉ\xa0x".encode(), "Ça".encode()]
 

@@ -9,12 +9,19 @@ the estimate concentrates as if the coordinates were independent.
 Bands: ``BANDS`` of ``ROWS`` coordinates.  Sets with Jaccard 0.8 share none of 40 bands of 5 with
 probability (1 - 0.8**5)**40 = 1e-7.
 
-Work is done on classes of equal shingle sets, so exact copies cost one row each and no pairs.
-Pairs of classes that share a band are verified on their full sets in two steps.  First every
-class is held against the least class of each bucket (a star, linear in the bucket).  Verified links give
-components; a bucket then needs more only if classes of different components meet in it, and there every
-class is held against every class of another component that shares the bucket (each pair once over all
-buckets).  Links inside a component can't change it.  So no link that the bands show is lost.
+Work is done on classes of equal shingle sets, so exact copies cost one row each and no pairs.  Pairs of
+classes are verified on their full sets, in two steps, so that no group of copies is expanded into
+all its pairs.
+
+1. Stars: every class is held against one class of each bucket it is in, the one whose buckets are
+   fullest, which is the likely original of a group of edited copies.  Links give components.
+2. Buckets where classes of different components meet may still hide a link.  The classes
+   in them are joined on the rarest shingles of their sets: in any order of all shingles, two sets with enough overlap
+   share a shingle among the first of each, at places that leave room for the overlap (prefix and
+   position filter, both exact).  Rarest first, edits that are a class's own fill its prefix
+   and find no partner.  Links inside a component change nothing and aren't looked for.
+
+So no link between classes that share a band is lost.
 
 Defined cases: null and empty texts, and texts without words, have the empty set and link with
 nothing; rows that repeat an id and a text are in one class; a null id is a document whose
@@ -39,6 +46,8 @@ T = BANDS * ROWS
 _TOGETHER = 256
 #: Members of a star that are held against one copy of its centre.
 STAR = 512
+#: Counters of shingles; bounds what is broadcast (four bytes each).
+SLOTS = 1 << 21
 
 
 def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
@@ -130,6 +139,58 @@ def verified(pairs: DataFrame, class_texts: DataFrame, n_words: int, percent: in
     return map_rows(dealt, run, "a binary, b binary")
 
 
+def _counts(class_texts: DataFrame, n_words: int) -> np.ndarray:
+    """In how many sets the shingles of each of ``SLOTS`` slots are: an array of that size."""
+
+    def run(rows):
+        n = np.zeros(SLOTS, np.int64)
+        for _, _, text in rows:
+            n += np.bincount(_slots(shingles(text, n_words)), minlength=SLOTS)
+        full = np.flatnonzero(n)
+        return zip(full.tolist(), n[full].tolist(), strict=True)
+
+    counts = map_rows(class_texts, run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found, out = counts.toArrow(), np.zeros(SLOTS, np.uint32)  # a row a slot
+    out[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**32 - 1)
+    return out
+
+
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def prefix_pairs(class_texts: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of classes with different labels that may be similar enough: all that
+    are, and few others.  ``class_texts`` has ``node``, ``label`` and ``text``.
+
+    Shingles are ordered by how many sets they are in, as counted by slot: shingles that meet in a
+    slot only make the order less sharp.  For each shingle its most frequent label stands on one side of
+    the join only, so that a large component isn't paired with itself."""
+    counts = class_texts.sparkSession.sparkContext.broadcast(_counts(class_texts, n_words))
+
+    def run(rows):
+        for node, label, text in rows:
+            s = shingles(text, n_words)
+            order = np.lexsort((s, counts.value[_slots(s)]))
+            first = order[: len(s) - -(-percent * len(s) // 100) + 1]
+            for place, x in enumerate(s[first].view(np.int64).tolist()):
+                yield x, node, label, place, len(s)
+
+    schema = "shingle long, node binary, label binary, place int, size int"
+    prefixes = written(map_rows(class_texts.select("node", "label", "text"), run, schema), "prefixes")
+    labels = prefixes.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
+    top = F.max(F.struct("n", "label"))["label"].alias("top")
+    met = labels.groupBy("shingle").agg(top, F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    rows = written(prefixes.join(met.drop("labels"), "shingle"), "met-prefixes")
+    x, y = rows.where("label <> top").alias("x"), rows.alias("y")
+    room = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    enough = (100 + percent) * room >= percent * (F.col("x.size") + F.col("y.size"))
+    once = (F.col("y.label") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
+    differ = F.col("x.label") != F.col("y.label")
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & differ & once & enough)
+    return pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -151,13 +212,16 @@ def near_duplicates(
     keys = written(
         heads.select("node", F.explode("bands").alias("key")).distinct(), "band-keys"
     )
-    centres = keys.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n"))
-    centres = centres.where("n > 1").drop("n")
-    shared = written(keys.join(centres, "key"), "buckets").withColumnRenamed("node", "b")
-    stars = shared.where("a <> b").select("a", "b").distinct()
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(keys.join(sizes, "key"), "buckets")
+    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    heaviest = F.max(F.struct("weight", "node"))["node"]
+    centres = shared.join(weights, "node").groupBy("key").agg(heaviest.alias("a"))
+    stars = shared.select("key", F.col("node").alias("b")).join(centres, "key")
+    stars = written(stars.where("a <> b").select("a", "b").distinct(), "stars")
 
     # the text of one document for each class that shares a bucket
-    wanted = shared.select(F.col("b").alias("node")).distinct().join(classes, "node")
+    wanted = shared.select("node").distinct().join(classes, "node")
     wanted = written(wanted.select("node", F.col("least").alias("doc_id")), "wanted-classes")
     class_texts = written(
         docs.join(wanted, "doc_id").select("node", "text")
@@ -168,19 +232,12 @@ def near_duplicates(
     labels = components(links)
 
     # buckets where classes of different components meet
-    labelled = shared.select("key", F.col("b").alias("node")).join(labels, "node", "left")
+    labelled = shared.select("key", "node").join(labels, "node", "left")
     labelled = labelled.select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    rest = written(labelled.join(mixed.where("x <> y").select("key"), "key"), "mixed-buckets")
-    cross = (
-        rest.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-        .join(rest.select("key", F.col("node").alias("b"), F.col("label").alias("lb")), "key")
-        .where("la <> lb and a < b")
-        .select("a", "b")
-        .distinct()
-        .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    cross = written(cross, "cross-pairs")
+    open_ = labelled.join(mixed.where("x <> y").select("key"), "key").select("node", "label").distinct()
+    open_texts = written(open_.join(class_texts, "node"), "mixed-classes")
+    cross = written(prefix_pairs(open_texts, n_words, percent), "cross-pairs")
     more = written(verified(cross, class_texts, n_words, percent), "more-links")
     if not more.isEmpty():
         bound = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")
