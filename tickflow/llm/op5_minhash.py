@@ -145,7 +145,7 @@ def _counts(class_texts: DataFrame, n_words: int) -> np.ndarray:
     def run(rows):
         n = np.zeros(SLOTS, np.int64)
         for _, _, text in rows:
-            n += np.bincount(_slots(shingles(text, n_words)), minlength=SLOTS)
+            np.add.at(n, _slots(shingles(text, n_words)), 1)
         full = np.flatnonzero(n)
         return zip(full.tolist(), n[full].tolist(), strict=True)
 
@@ -220,11 +220,11 @@ def near_duplicates(
     stars = shared.select("key", F.col("node").alias("b")).join(centres, "key")
     stars = written(stars.where("a <> b").select("a", "b").distinct(), "stars")
 
-    # the text of one document for each class that shares a bucket
+    # the text of one document for each class that shares a bucket; the same plan at every size
     wanted = shared.select("node").distinct().join(classes, "node")
     wanted = written(wanted.select("node", F.col("least").alias("doc_id")), "wanted-classes")
     class_texts = written(
-        docs.join(wanted, "doc_id").select("node", "text")
+        docs.join(wanted.hint("merge"), "doc_id").select("node", "text")
         .withColumn("row", F.xxhash64("text")).dropDuplicates(["node"]).drop("row"),
         "class-texts",
     )
