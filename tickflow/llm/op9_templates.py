@@ -34,14 +34,16 @@ MIN_DOCS = 20
 MIN_TOKENS = 3
 SHARE = 0.5
 VARIABLE = "<*>"
-_DIGIT = re.compile(r"\S*\d\S*")
+_DIGIT = re.compile(r"\d")
 
 
 def masked_lines(text: str):
     """(number, masked line, leaf) of each line; the leaf is a signed 64-bit digest."""
     for number, line in enumerate(text.split("\n")):
-        tokens = _DIGIT.sub(VARIABLE, line).split()
+        tokens = line.split()
         if len(tokens) >= MIN_TOKENS:
+            if _DIGIT.search(line):
+                tokens = [VARIABLE if _DIGIT.search(t) else t for t in tokens]
             key = f"{len(tokens)} {' '.join(tokens[:LEADING])}"
             leaf = xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
             yield number, tokens, leaf - (1 << 63)
