@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tickflow import schemas as S
 from tickflow.functions.timecols import INTERVALS, iso_text, ms_text
+from tickflow.market import Market
 from tickflow.operators.accounts import (
     bulk_delete,
     delete_counts,
@@ -25,7 +26,7 @@ from tickflow.operators.accounts import (
 )
 from tickflow.operators.candles import candles, latest_candles
 from tickflow.operators.decode import decode_book, decode_tickers, decode_trades
-from tickflow.operators.filters import latest_time
+from tickflow.operators.filters import latest_time, select_symbols
 from tickflow.operators.latest import book_levels, latest_book, latest_trades
 from tickflow.operators.stats import available_symbols, requested_stats, trade_stats
 from tickflow.plans import contracts
@@ -33,7 +34,13 @@ from tickflow.plans.session import scratch_path, use_utc
 from tickflow.sources import feeds
 from tickflow.sources.serving import read_table
 from tickflow.streaming.fanout import start_fanout, start_feed
-from tickflow.streaming.sinks import AVAILABLE_NOW, BATCH_COL, write_parquet_stream
+from tickflow.streaming.sinks import (
+    AVAILABLE_NOW,
+    BATCH_COL,
+    write_history,
+    write_parquet_stream,
+    write_table_stream,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -260,6 +267,57 @@ def q_stream_chained_serving(spark, sf_dir):
     return served.select(*[F.col(f.name).cast(f.dataType) for f in contracts.TRADES.schema.fields])
 
 
+def q_stream_two_checkpoints(spark, sf_dir):
+    """The trade stream written twice into one table, under two checkpoints: batch numbers start
+    again, and neither writer replaces the other's rows."""
+    out = scratch_path(spark, "stream-two")
+    clean = decode_trades(feeds.trade_feed(_event_stream(spark, sf_dir)))
+    for checkpoint in ("-first", "-second"):
+        write_table_stream(clean, out, out + checkpoint, trigger=AVAILABLE_NOW).awaitTermination()
+    return read_table(spark, out, contract=S.TRADES)
+
+
+def q_stream_plus_backfill(spark, sf_dir):
+    """S2 and a backfill run twice, each in a folder of its own, read as one history."""
+    out = scratch_path(spark, "stream-and-backfill")
+    streamed, filled = os.path.join(out, "stream"), os.path.join(out, "backfill")
+    clean = decode_trades(feeds.trade_feed(_event_stream(spark, sf_dir)))
+    write_parquet_stream(
+        clean, streamed, out + "-checkpoint", S.TRADES_PARTITIONS, trigger={"availableNow": True}
+    ).awaitTermination()
+    for _ in range(2):
+        write_history(trades(spark, sf_dir), filled, S.DAY_PARTITIONS, ("Symbol", "TradeTime"))
+    return read_table(spark, [streamed, filled], contract=S.TRADES)
+
+
+def _served(spark, sf_dir) -> Market:
+    """The served questions over a history in the day layout."""
+    out = scratch_path(spark, "served")
+    write_history(
+        trades(spark, sf_dir), os.path.join(out, "trades"), S.DAY_PARTITIONS, ("Symbol", "TradeTime")
+    )
+    return Market(spark, out)
+
+
+def q_served_stats_24h(spark, sf_dir):
+    m = _served(spark, sf_dir)
+    return m.stats(as_of=latest_time(m.trades(), "TradeTime"))
+
+
+def q_served_price_history(spark, sf_dir):
+    m = _served(spark, sf_dir)
+    return m.price_history(as_of=latest_time(m.trades(), "TradeTime"))
+
+
+def q_candles_latest_20(spark, sf_dir):
+    t = trades(spark, sf_dir)
+    return latest_candles(t, "1m", limit=20, as_of=latest_time(t, "TradeTime"), lookback_hours=24)
+
+
+def q_trades_one_symbol(spark, sf_dir):
+    return select_symbols(trades(spark, sf_dir), ["BTCUSDT"])
+
+
 QUERIES: dict[str, Query] = {
     "trades_decode": q_trades_decode,
     "trades_side_notional": q_trades_side_notional,
@@ -287,4 +345,10 @@ QUERIES: dict[str, Query] = {
     "stream_parquet": q_stream_parquet,
     "stream_table_sink": q_stream_table_sink,
     "stream_chained_serving": q_stream_chained_serving,
+    "stream_two_checkpoints": q_stream_two_checkpoints,
+    "stream_plus_backfill": q_stream_plus_backfill,
+    "served_stats_24h": q_served_stats_24h,
+    "served_price_history": q_served_price_history,
+    "candles_latest_20": q_candles_latest_20,
+    "trades_one_symbol": q_trades_one_symbol,
 }

@@ -1,7 +1,7 @@
 """Time helpers: epoch-ms <-> timestamp, calendar columns, candle buckets, text forms.
 
-All computations assume the session time zone is UTC (see ``tickflow.plans.session``); bucket
-starts are computed on epoch microseconds and do not depend on it.
+Calendar columns and bucket starts are UTC, computed on epoch microseconds, and don't depend on the
+session's time zone; text forms print in it (see ``tickflow.plans.session``).
 """
 
 from __future__ import annotations
@@ -20,14 +20,25 @@ INTERVALS = {
 }
 DEFAULT_INTERVAL = "1m"
 
+DAY = 86_400_000_000
+#: Years 1 to 9999: what a timestamp can be printed and stored as.
+MIN_MS, MAX_MS = -62_135_596_800_000, 253_402_300_799_999
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def ms_to_ts(ms) -> Column:
-    """Epoch milliseconds -> timestamp (exact; same as ``(ms / 1000).cast('timestamp')``)."""
-    return F.timestamp_millis(_col(ms))
+    """Epoch milliseconds -> timestamp (exact; same as ``(ms / 1000).cast('timestamp')``).  A value
+    outside the years 1 to 9999 gives NULL: one bad message must not fail its batch."""
+    m = _col(ms)
+    return F.when(m.between(MIN_MS, MAX_MS), F.timestamp_millis(m))
+
+
+def utc_day(us: Column) -> Column:
+    """The UTC date of epoch microseconds."""
+    return F.date_from_unix_date(((us - F.pmod(us, F.lit(DAY))) / F.lit(DAY)).cast("int"))
 
 
 def ts_to_ms(ts) -> Column:
@@ -36,11 +47,12 @@ def ts_to_ms(ts) -> Column:
 
 
 def calendar_columns(ts, hour: bool = False) -> dict[str, Column]:
-    """Year / Month / Day (/ Hour) of a timestamp, as int columns."""
-    t = _col(ts)
+    """Year / Month / Day (/ Hour) of a timestamp in UTC, as int columns."""
+    us = F.unix_micros(_col(ts))
+    t = utc_day(us)
     cols = {"Year": F.year(t), "Month": F.month(t), "Day": F.dayofmonth(t)}
     if hour:
-        cols["Hour"] = F.hour(t)
+        cols["Hour"] = F.floor(F.pmod(us, F.lit(DAY)) / F.lit(3_600_000_000)).cast("int")
     return cols
 
 
@@ -68,4 +80,4 @@ def iso_text(ts) -> Column:
 def ms_text(ms) -> Column:
     """Epoch ms -> 'yyyy-MM-dd HH:mm:ss.SSS'; NULL and 0 (falsy) give NULL."""
     m = _col(ms)
-    return F.when(m != 0, F.date_format(F.timestamp_millis(m), "yyyy-MM-dd HH:mm:ss.SSS"))
+    return F.when(m != 0, F.date_format(ms_to_ts(m), "yyyy-MM-dd HH:mm:ss.SSS"))

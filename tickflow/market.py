@@ -11,7 +11,6 @@ import os
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tickflow import schemas as S
 from tickflow.operators.accounts import (
@@ -24,6 +23,7 @@ from tickflow.operators.accounts import (
 from tickflow.operators.candles import latest_candles
 from tickflow.operators.latest import latest_book, latest_trades
 from tickflow.operators.stats import available_symbols, requested_stats, trade_stats
+from tickflow.sources.serving import read_table
 
 
 def _symbols(symbol) -> list[str] | None:
@@ -34,23 +34,21 @@ def _symbols(symbol) -> list[str] | None:
 
 class Market:
     """Questions over ``<root>/trades`` and ``<root>/orderbook`` (symbol/day partitioned
-    history written by the stream fan-out or ``write_history``) and two account tables."""
+    history) and two account tables.  A streamed history and a backfill are two roots."""
 
     def __init__(
         self,
         spark: SparkSession,
-        root: str,
+        root: str | Iterable[str],
         accounts: tuple[DataFrame, DataFrame] | None = None,
     ):
         self.spark = spark
-        self.root = root
+        self.roots = [root] if isinstance(root, str) else list(root)
         self.accounts = accounts
 
     def _table(self, name: str, schema, symbols, symbol_col) -> DataFrame:
-        df = self.spark.read.parquet(os.path.join(self.root, name))
-        if symbols is not None:
-            df = df.where(F.col(symbol_col).isin(symbols))
-        return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        paths = [os.path.join(r, name) for r in self.roots]
+        return read_table(self.spark, paths, schema, symbols, symbol_col)
 
     def trades(self, symbol=None) -> DataFrame:
         return self._table("trades", S.TRADES, _symbols(symbol), "Symbol")

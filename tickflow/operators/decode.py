@@ -14,6 +14,9 @@ Row rules
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,19 +102,14 @@ def decode_book(raw: DataFrame, value_col: str = "value") -> DataFrame:
     Each side ``[[price, qty], ...]`` becomes two parallel double arrays, in arrival order.
     """
     d = parse_feed(raw, S.BOOK_WIRE, S.BOOK_USED, value_col)
-    base = d.select(
+    full = (F.coalesce(F.size(c), F.lit(0)) > 0 for c in ("bids", "asks"))
+    base = d.where(F.col("symbol").isNotNull() & reduce(or_, full)).select(
         F.col("symbol").alias("symbol"),
         ms_to_ts("event_ms").alias("event_time"),
         level_field("bids", 0).alias("bid_prices"),
         level_field("bids", 1).alias("bid_quantities"),
         level_field("asks", 0).alias("ask_prices"),
         level_field("asks", 1).alias("ask_quantities"),
-    ).where(
-        F.col("symbol").isNotNull()
-        & (
-            (F.coalesce(F.size("bid_prices"), F.lit(0)) > 0)
-            | (F.coalesce(F.size("ask_prices"), F.lit(0)) > 0)
-        )
     )
     cal = calendar_columns("event_time")
     return base.select("*", *[c.alias(n) for n, c in cal.items()])

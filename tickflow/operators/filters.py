@@ -8,16 +8,22 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickflow.functions.timecols import utc_day
+
 
 def as_of_column(as_of) -> Column:
-    """``None`` -> ``current_timestamp()``; datetime/str -> timestamp literal; Column as is."""
+    """``None`` -> ``current_timestamp()``; a Column as it is; a datetime or ISO text -> that instant,
+    in UTC if it names no zone, whatever the zones of the driver and the session are."""
     if as_of is None:
         return F.current_timestamp()
     if isinstance(as_of, Column):
         return as_of
     if isinstance(as_of, str):
-        return F.lit(as_of).cast("timestamp")
-    return F.lit(as_of)
+        as_of = _dt.datetime.fromisoformat(as_of)
+    if as_of.tzinfo is None:
+        as_of = as_of.replace(tzinfo=_dt.UTC)
+    micros = (as_of - _dt.datetime(1970, 1, 1, tzinfo=_dt.UTC)) // _dt.timedelta(microseconds=1)
+    return F.timestamp_micros(F.lit(micros).cast("long"))
 
 
 def latest_time(df: DataFrame, ts_col: str) -> Column:
@@ -33,20 +39,13 @@ def select_symbols(df: DataFrame, symbols: Iterable[str] | None, col: str = "Sym
 
 
 def since(df: DataFrame, ts_col: str, as_of, hours: float) -> DataFrame:
-    """rows with ``ts >= as_of - hours`` (inclusive edge).
-
-    When ``as_of`` is a literal and the table carries the calendar partition columns, the same
-    bound is also stated on ``make_date(Year, Month, Day)`` so that a partitioned store is pruned
-    to the days in the window (a time predicate alone prunes nothing).
-    """
-    cutoff = as_of_column(as_of) - F.make_dt_interval(hours=F.lit(hours))
-    out = df.where(F.col(ts_col) >= cutoff)
-    literal = isinstance(as_of, (_dt.datetime, str))
-    if literal and {"Year", "Month", "Day"} <= set(df.columns):
-        if isinstance(as_of, str):
-            as_of = _dt.datetime.fromisoformat(as_of)
-        if as_of.tzinfo is not None:  # calendar columns are UTC
-            as_of = as_of.astimezone(_dt.timezone.utc).replace(tzinfo=None)
-        first_day = (as_of - _dt.timedelta(hours=hours)).date()
-        out = out.where(F.make_date("Year", "Month", "Day") >= F.lit(first_day))
+    """rows with ``ts >= as_of - hours`` (inclusive edge; parts of an hour count).
+
+    A table with the calendar partition columns gets the same bound on ``make_date(Year, Month,
+    Day)``, since a time predicate alone prunes no folder: a literal and ``current_timestamp()`` fold into
+    a partition filter, a scalar subquery prunes at run time."""
+    cutoff = F.unix_micros(as_of_column(as_of)) - F.lit(round(hours * 3_600_000_000)).cast("long")
+    out = df.where(F.col(ts_col) >= F.timestamp_micros(cutoff))
+    if {"Year", "Month", "Day"} <= set(df.columns):
+        out = out.where(F.make_date("Year", "Month", "Day") >= utc_day(cutoff))
     return out

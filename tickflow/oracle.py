@@ -261,3 +261,10 @@ FROM r""",
 
 # The chained stream serves exactly the rows of the serving contract.
 SQL["stream_chained_serving"] = SQL["serving_contract"]
+_TWICE = "SELECT * FROM trades UNION ALL SELECT * FROM trades"
+SQL["stream_two_checkpoints"] = _with(TRADES) + _TWICE
+SQL["stream_plus_backfill"] = _with(TRADES) + _TWICE
+SQL["served_stats_24h"] = SQL["trade_stats"]
+SQL["served_price_history"] = SQL["candles_latest_n"]
+SQL["candles_latest_20"] = SQL["candles_latest_n"].replace("rn <= 100", "rn <= 20")
+SQL["trades_one_symbol"] = _with(TRADES) + "SELECT * FROM trades WHERE Symbol = 'BTCUSDT'"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -45,20 +46,17 @@ def use_utc(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints and written tables.
 
-    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only when neither is
-    set — a local test session — a private folder is created and registered."""
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  When neither is set, a
+    session in one process (``local``) gets a private folder and a cluster an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    sc = None
     if not d:
-        try:
-            sc = spark.sparkContext  # absent under Spark Connect
-            d = sc.getCheckpointDir()
-        except Exception:
-            d = None
+        sc = spark.sparkContext
+        d = sc.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tickflow-")
-        if sc is not None:
-            sc.setCheckpointDir(d)
+        sc.setCheckpointDir(d)
     return d
 
 

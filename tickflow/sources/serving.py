@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql.types import StructType
 
 def read_table(
     spark: SparkSession,
-    path: str,
+    path: str | Iterable[str],
     contract: StructType | None = None,
     symbols: Iterable[str] | None = None,
     symbol_col: str = "Symbol",
@@ -25,9 +26,16 @@ def read_table(
 ) -> DataFrame:
     """Read a parquet table; optional symbol and day bounds become ``PartitionFilters``.
 
-    With a ``contract`` the columns are returned in contract order and type (partition columns
-    come back last and with inferred types otherwise)."""
-    df = spark.read.parquet(path)
+    With a ``contract`` the columns are read and returned in its order and types: partition values
+    aren't guessed, so a symbol ``0700`` stays text.  Several paths, such as a streamed history
+    and its backfill, are read as one table."""
+    if not isinstance(path, str):
+        parts = [
+            read_table(spark, p, contract, symbols, symbol_col, first_day, last_day) for p in path
+        ]
+        return reduce(DataFrame.unionByName, parts)
+    reader = spark.read if contract is None else spark.read.schema(contract)
+    df = reader.parquet(path)
     if symbols is not None:
         df = df.where(F.col(symbol_col).isin(list(symbols)))
     day = F.make_date("Year", "Month", "Day")

@@ -29,12 +29,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tickflow.streaming.sinks import (
-    AVAILABLE_NOW,
     table_batch_writer,
     trigger_options,
     write_console_stream,
     write_parquet_stream,
     write_table_stream,
+    writer_of,
 )
 
 
@@ -101,16 +101,16 @@ def start_fanout(
         partition_cols,
         history_sort,
         rebalance=rebalance,
-        skip_empty=False,
     )
     serv_w = table_batch_writer(
-        os.path.join(out_root, "serving", name), (), sort_cols, skip_empty=False
+        os.path.join(out_root, "serving", name), (), sort_cols
     )
-    rej_w = table_batch_writer(os.path.join(out_root, "rejects", name), skip_empty=False)
+    rej_w = table_batch_writer(os.path.join(out_root, "rejects", name))
 
     def both(batch_df: DataFrame, batch_id: int) -> None:
         from tickflow.plans.contracts import conform, rejects
 
+        writer = writer_of(batch_df)  # of the stream's thread, not the pool's
         batch_df.persist()
         try:
             obs = Observation(f"{name}-{batch_id}")
@@ -123,13 +123,13 @@ def start_fanout(
             served = batch_df if contract is None else conform(batch_df, contract, sort=False)
             with ThreadPoolExecutor(max_workers=2) as pool:
                 jobs = [
-                    pool.submit(hist_w, observed, batch_id),
-                    pool.submit(serv_w, served, batch_id),
+                    pool.submit(hist_w, observed, batch_id, writer),
+                    pool.submit(serv_w, served, batch_id, writer),
                 ]
                 for j in jobs:
                     j.result()  # re-raises a failed write: the batch fails and is retried
             if contract is not None and obs.get.get("bad", 0):
-                rej_w(rejects(batch_df, contract), batch_id)
+                rej_w(rejects(batch_df, contract), batch_id, writer)
         finally:
             batch_df.unpersist()
 
@@ -145,9 +145,11 @@ def _wait_until_running(q: StreamingQuery, timeout: float = 60.0) -> None:
     """The file sink creates its folder and log when its query starts; downstream queries that
     read that folder must start after it (a stream source on a missing path fails)."""
     deadline = time.monotonic() + timeout
-    while q.isActive and q.lastProgress is None and time.monotonic() < deadline:
+    while q.isActive and q.lastProgress is None:
         if q.status.get("isTriggerActive") or q.status.get("isDataAvailable"):
             return
+        if time.monotonic() > deadline:
+            raise TimeoutError(f"the history's query didn't start within {timeout} s")
         time.sleep(0.2)
     if q.exception() is not None:
         raise q.exception()
@@ -180,7 +182,7 @@ def start_chained(
     q1 = write_parquet_stream(
         clean, hist, os.path.join(checkpoint_root, f"{name}_history"), partition_cols, trigger
     )
-    if trigger == AVAILABLE_NOW:
+    if trigger_options(trigger).get("availableNow") or trigger_options(trigger).get("once"):
         q1.awaitTermination()  # a backfill: the next stages see everything it wrote
     else:
         _wait_until_running(q1)
