@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
+from llm_fixtures import small, tables  # noqa: F401
 from oracle_compare import compare, duck
 from tickflow.llm import (
     op1_fingerprint as o1,

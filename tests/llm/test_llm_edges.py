@@ -4,6 +4,7 @@ import pytest
 
 
 import corpus_pipeline
+from llm_fixtures import small, tables  # noqa: F401
 from tickflow.llm.queries import QUERIES
 
 LONG = "lang " * 30_000 + "x" * 5000
