@@ -11,8 +11,8 @@ keeps its lines, so nothing leaves the corpus altogether.
 Documents with exactly equal texts count once, as copies of one document don't make a template.
 
 Only leaves with ``min_docs`` documents are looked into: first leaves are counted (eight bytes a
-line), then the lines of the frequent ones are fetched, and places are counted over
-distinct lines.
+line), then the lines of the frequent ones are fetched: a bitmap of fixed size keeps most others
+out of the shuffle, a join all of them.  Places are counted over distinct lines, which travel as digests.
 
 Defined cases: null and empty texts have no lines; lines under ``MIN_TOKENS`` tokens are never
 templates; a null id ranks after all others; rows that repeat an id are one document for keeping,
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ MIN_DOCS = 20
 MIN_TOKENS = 3
 SHARE = 0.5
 VARIABLE = "<*>"
+#: Bits of the map of frequent leaves; bounds what is broadcast (2 MB).
+SLOTS = 1 << 24
 _DIGIT = re.compile(r"\d")
 
 
@@ -45,8 +48,7 @@ def masked_lines(text: str):
             if _DIGIT.search(line):
                 tokens = [VARIABLE if _DIGIT.search(t) else t for t in tokens]
             key = f"{len(tokens)} {' '.join(tokens[:LEADING])}"
-            leaf = xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
-            yield number, tokens, leaf - (1 << 63)
+            yield number, tokens, _digest(key)
 
 
 def recurring(
@@ -61,46 +63,78 @@ def recurring(
 
     counted = map_rows(docs, leaves, "leaf long").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     frequent = written(counted.where(F.col("n") >= min_docs).select("leaf"), "leaves")
+    marks = df.sparkSession.sparkContext.broadcast(_marks(frequent))
 
-    def all_lines(rows):
+    def likely_lines(rows):
+        marked = marks.value
         for doc_id, t in rows:
-            origin = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
+            origin = _digest(t)
             for number, tokens, leaf in masked_lines(t):
-                yield doc_id, origin, number, leaf, " ".join(tokens)
+                if marked[(leaf & (SLOTS - 1)) >> 3] >> (leaf & 7) & 1:
+                    text = " ".join(tokens)
+                    yield doc_id, origin, number, leaf, _digest(text), text
 
-    schema = "doc_id long, origin long, line int, leaf long, text string"
-    lines = written(map_rows(docs, all_lines, schema).join(frequent, "leaf"), "lines")
+    schema = "doc_id long, origin long, line int, leaf long, form long, text string"
+    lines = written(map_rows(docs, likely_lines, schema).join(frequent, "leaf"), "lines")
 
-    keys = ["leaf", "text"]
-    distinct = lines.select(*keys, "origin").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # from here on a distinct line is known by its leaf and its digest, and its text moves once
+    keys = ["leaf", "form"]
+    origins = lines.select(*keys, "origin").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    distinct = lines.groupBy(*keys).agg(F.min("text").alias("text")).join(origins, keys)
     distinct = written(distinct, "distinct-lines")
     tokens = distinct.select(*keys, "n", F.posexplode(F.split("text", " ")).alias("place", "token"))
-    place = ["leaf", "place", "token"]
-    constant = tokens.groupBy(*place).agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
-    held = tokens.join(constant.select(*place, F.lit(True).alias("held")), place, "left")
-    share = F.count("held") / F.count(F.lit(1))
-    parts = F.sort_array(
-        F.collect_list(F.struct("place", F.when(F.col("held"), F.col("token")).otherwise(VARIABLE).alias("t")))
-    )  # of one line
-    template = F.array_join(F.transform(parts, lambda p: p["t"]), " ")
+    cells = tokens.select(*keys, "n", "place", F.xxhash64("leaf", "place", "token").alias("cell"))
+    constant = cells.groupBy("cell").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
+    held = cells.select(*keys, "place", "cell").join(constant.select("cell"), "cell")
+    held = held.groupBy(*keys).agg(F.collect_list("place").alias("held"))  # of one line
+
+    def generalise(rows):
+        for leaf, form, text, held in rows:
+            parts, held = text.split(" "), set(held or ())
+            if len(held) >= SHARE * len(parts):
+                text = " ".join(t if i in held else VARIABLE for i, t in enumerate(parts))
+            yield leaf, form, _digest(f"{leaf} {text}"), text
+
     templates = written(
-        held.groupBy(*keys).agg(F.when(share >= SHARE, template).otherwise(F.col("text")).alias("template")),
+        map_rows(
+            distinct.join(held, keys, "left").select(*keys, "text", "held"),
+            generalise,
+            "leaf long, form long, mould long, template string",
+        ),
         "templates",
     )
-    placed = lines.join(templates, keys)
+    placed = lines.select("doc_id", "origin", "line", *keys).join(templates.drop("template"), keys)
+    placed = written(placed.select("doc_id", "origin", "line", "mould"), "placed-lines")
     last = 2**63 - 1
     known = (
-        placed.groupBy("leaf", "template", "origin")
+        placed.groupBy("mould", "origin")
         .agg(F.min(F.coalesce("doc_id", F.lit(last))).alias("least"))
-        .groupBy("leaf", "template")
+        .groupBy("mould")
         .agg(F.count(F.lit(1)).alias("docs"), F.min("least").alias("first"))
         .where(F.col("docs") >= min_docs)
     )
+    names = templates.groupBy("mould").agg(F.min("template").alias("template"))
     return (
-        placed.join(written(known, "recurring"), ["leaf", "template"])
+        placed.drop("origin").join(written(known.join(names, "mould"), "recurring"), "mould")
         .where(F.coalesce("doc_id", F.lit(last)) != F.col("first"))
         .select("doc_id", "line", "template", "docs")
-    )
+    )
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _marks(leaves: DataFrame) -> bytes:
+    """A bitmap of ``SLOTS`` bits, in which the slots of the leaves are set: a fixed size at any scale.  A
+    line whose slot isn't set is in none of the leaves; the join with the leaves sorts out the rest."""
+    slot = F.col("leaf").bitwiseAND(F.lit(SLOTS - 1))
+    byte, bit = F.shiftright(slot, 3).cast("int"), slot.bitwiseAND(F.lit(7)).cast("int")
+    slots = leaves.select(byte.alias("byte"), bit.alias("bit"))
+    set_ = slots.groupBy("byte").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("bits"))
+    found, out = set_.toArrow(), np.zeros(SLOTS // 8, np.uint8)  # a row a byte at most
+    out[found["byte"].to_numpy()] = found["bits"].to_numpy()
+    return out.tobytes()
 
 
 def drop_lines(
