@@ -25,7 +25,8 @@ So no link between classes that share a band is lost.
 
 Defined cases: null and empty texts, and texts without words, have the empty set and link with
 nothing; rows that repeat an id and a text are in one class; a null id is a document whose
-component is that of its class (null if alone) and which is never kept in favour of another; an empty table gives no rows.
+component is that of its class (null if alone) and which is never kept in favour of another; rows that
+repeat an id with other texts are of the classes of their texts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ _TOGETHER = 256
 STAR = 512
 #: Counters of shingles; bounds what is broadcast (four bytes each).
 SLOTS = 1 << 21
+#: Bits of the map of rows whose texts are fetched; bounds what is broadcast (2 MB).
+MARKS = 1 << 24
 
 
 def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
@@ -79,25 +82,67 @@ def bands(sketch: np.ndarray, n_bands: int = BANDS) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _row(doc_id: int | None, text: str) -> bytes:
+    """Digest of a row: equal for rows that repeat both id and text."""
+    return xxhash.xxh3_128_digest(f"{doc_id} {text}".encode("utf-8", "surrogatepass"))
+
+
+def _place(row: bytes) -> int:
+    return int.from_bytes(row[:4], "little") & (MARKS - 1)
+
+
+def _marks(rows: DataFrame) -> bytes:
+    """A bitmap of ``MARKS`` bits, a fixed size at any scale, in which the places of the rows are set."""
+
+    def places(found):
+        bits = np.zeros(MARKS // 8, np.uint8)
+        for (row,) in found:
+            bits[_place(row) >> 3] |= 1 << (_place(row) & 7)
+        full = np.flatnonzero(bits)
+        return zip(full.tolist(), bits[full].tolist(), strict=True)
+
+    marked = map_rows(rows, places, "byte int, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits"))
+    found, out = marked.toArrow(), np.zeros(MARKS // 8, np.uint8)  # a row a byte at most
+    out[found["byte"].to_numpy()] = found["bits"].to_numpy()
+    return out.tobytes()
+
+
+def class_texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node`` and ``text`` of the documents whose row digests ``wanted`` (``node``, ``row``) has.  Rows
+    whose place in the bitmap isn't set stay out of the shuffle; the join sorts out the rest."""
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(wanted.select("row")))
+
+    def likely(rows):
+        marked = marks.value
+        for doc_id, text in rows:
+            row = _row(doc_id, text)
+            if marked[_place(row) >> 3] >> (_place(row) & 7) & 1:
+                yield row, text
+
+    found = map_rows(docs, likely, "row binary, text string").dropDuplicates(["row"])
+    return found.join(wanted, "row").select("node", "text")
+
+
 def _set_rows(n_words: int):
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        def flush(held):
-            full = [s for _, s in held if len(s)]
+        def flush(ids, held):
+            full = [s for s in held if len(s)]
             keys = iter(bands(sketches(full)).tolist() if full else ())
-            for doc_id, s in held:
+            for (doc_id, row), s in zip(ids, held, strict=True):
                 if len(s):
-                    yield doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), next(keys)
+                    yield doc_id, row, len(s), xxhash.xxh3_128_digest(s.tobytes()), next(keys)
                 else:
-                    yield doc_id, 0, None, None
+                    yield doc_id, row, 0, None, None
 
-        held, size = [], 0
+        ids, held, size = [], [], 0
         for doc_id, text in rows:
-            held.append((doc_id, shingles(text, n_words)))
-            size += len(held[-1][1])
+            ids.append((doc_id, _row(doc_id, text)))
+            held.append(shingles(text, n_words))
+            size += len(held[-1])
             if len(held) >= _TOGETHER or size >= 1 << 18:
-                yield from flush(held)
-                held, size = [], 0
-        yield from flush(held)
+                yield from flush(ids, held)
+                ids, held, size = [], [], 0
+        yield from flush(ids, held)
 
     return run
 
@@ -201,17 +246,14 @@ def near_duplicates(
     """Every document with ``n_shingles``, ``component_id`` (the least id that links reach) and
     ``kept`` (whether that is its own)."""
     docs = texts(df, id_col, text_col)
-    schema = "doc_id long, n_shingles long, node binary, bands array<long>"
+    schema = "doc_id long, row binary, n_shingles long, node binary, bands array<long>"
     sets = written(map_rows(docs, _set_rows(n_words), schema), "sketches")
-    least = F.min("doc_id").alias("least")
-    # bands of a class are those of any of its documents: the first of an id's (equal) rows
-    classes = sets.where("node is not null").groupBy("node").agg(least)
-    heads = sets.join(
-        classes.select("node", F.col("least").alias("doc_id")), ["node", "doc_id"], "left_semi"
-    )
-    keys = written(
-        heads.select("node", F.explode("bands").alias("key")).distinct(), "band-keys"
+    # the bands of a class are those of any of its documents, and any one's text will do
+    classes = sets.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("bands").alias("bands")
     )
+    classes = written(classes, "classes")
+    keys = classes.select("node", F.explode(F.array_distinct("bands")).alias("key"))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(keys.join(sizes, "key"), "buckets")
     weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
@@ -221,13 +263,9 @@ def near_duplicates(
     stars = written(stars.where("a <> b").select("a", "b").distinct(), "stars")
 
     # the text of one document for each class that shares a bucket
-    wanted = shared.select("node").distinct().join(classes, "node")
-    wanted = written(wanted.select("node", F.col("least").alias("doc_id")), "wanted-classes")
-    class_texts = written(
-        docs.join(wanted, "doc_id").select("node", "text")
-        .withColumn("row", F.xxhash64("text")).dropDuplicates(["node"]).drop("row"),
-        "class-texts",
-    )
+    wanted = classes.select("node", "row").join(shared.select("node").distinct(), "node")
+    wanted = written(wanted, "wanted-classes")
+    class_texts = written(class_texts_of(docs, wanted), "class-texts")
     links = written(verified(stars, class_texts, n_words, percent), "links")
     labels = components(links)
 
