@@ -30,9 +30,7 @@ MOST_DROPPED = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is identified."""
     profiles = op6_language.learn(docs)
-    found = op6_language.predict(docs, profiles)
-    good = found.where((F.col("lang_pred") != op6_language.UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    return keep_if(docs, good.select("doc_id"), "doc_id", "left_semi")
+    return op6_language.identified(docs, profiles, MIN_SCORE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

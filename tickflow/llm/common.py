@@ -109,7 +109,12 @@ def map_batches(
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
-    return df.mapInArrow(fn, schema)
+
+    def run(parts):
+        yield from fn(parts)
+        pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
+
+    return df.mapInArrow(run, schema)
 
 
 def map_rows(

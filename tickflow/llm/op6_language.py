@@ -21,11 +21,12 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tickflow.llm.common import map_rows, table, texts
+from tickflow.llm.common import map_batches, map_rows, table, texts
 
 PROFILE = 400
 SAMPLE = 2000
@@ -92,10 +93,12 @@ def learn(
         F.coalesce(df[text_col], F.lit("")).alias("text"),
     ).where("lang is not null")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # a share of each language's rows, by hash: the draw needs no ordering and no window
-    drawn = rows.join(sizes, "lang").where(
-        F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * sample / F.col("n")
-    )
+    rates = {r.lang: float(1 << 40) * sample / r.n for r in sizes.toLocalIterator()}  # a row a language
+    if not rates:
+        return {}
+    # a share of each language's rows, by hash: the draw moves no text
+    rate = F.create_map(*[F.lit(x) for pair in sorted(rates.items()) for x in pair])[F.col("lang")]
+    drawn = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < rate)
 
     def count(rows):
         totals: dict[str, Counter] = {}
@@ -126,19 +129,39 @@ def predict(
     by_lang = {lang: Profile(ranked) for lang, ranked in sorted(profiles.items())}
 
     def run(rows):
-        for doc_id, text in rows:
-            ranked = ranking(*grams(text))
-            if not len(ranked) or not by_lang:
-                yield doc_id, UNKNOWN, 0.0
-                continue
-            d, lang = min((p.distance(ranked), lang) for lang, p in by_lang.items())
-            yield doc_id, lang, 1.0 - d / (PROFILE * len(ranked))
+        return ((doc_id, *nearest(text, by_lang)) for doc_id, text in rows)
 
     return map_rows(
         texts(df, id_col, text_col), run, "doc_id long, lang_pred string, score double"
     )
 
 
+def nearest(text: str, by_lang: dict[str, Profile]) -> tuple[str, float]:
+    """The language of the nearest profile, and the score."""
+    ranked = ranking(*grams(text))
+    if not len(ranked) or not by_lang:
+        return UNKNOWN, 0.0
+    d, lang = min((p.distance(ranked), lang) for lang, p in by_lang.items())
+    return lang, 1.0 - d / (PROFILE * len(ranked))
+
+
+def identified(
+    df: DataFrame, profiles: dict[str, list[int]], min_score: float, text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``df``, with all its columns, in whose text a language is found with at least
+    ``min_score``.  Each row is judged where it lies: nothing is shuffled."""
+    by_lang = {lang: Profile(ranked) for lang, ranked in sorted(profiles.items())}
+    at = df.columns.index(text_col)
+
+    def run(parts):
+        for part in parts:
+            found = (nearest(t.as_py() or "", by_lang) for t in part.column(at))
+            kept = [lang != UNKNOWN and score >= min_score for lang, score in found]
+            yield part.filter(pa.array(kept, pa.bool_()))
+
+    return map_batches(df, run, df.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether a document is kept from learning: crc32 of the id's text modulo 3 is 1."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
