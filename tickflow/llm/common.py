@@ -22,6 +22,9 @@ from tickflow.plans.session import scratch_path
 
 #: Rows and bytes after which a batch of results goes back to Spark.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Session setting for the bytes of a batch that Spark sends to a worker, and its value here: several
+#: copies of a batch are alive at once, in the JVM's buffers and in the worker.
+SENT_CONF, SENT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,12 +107,15 @@ def map_batches(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema
 ) -> DataFrame:
     """``mapInArrow`` in workers that import this package from where the driver did, in case
-    it is not installed there (a cluster without a common path needs ``--py-files``)."""
+    it is not installed there (a cluster without a common path needs ``--py-files``).  Batches of
+    more than ``SENT_BYTES`` are split; the session's setting is lowered for that."""
     env = df.sparkSession.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
 
+    df.sparkSession.conf.set(SENT_CONF, SENT_BYTES)
+
     def run(parts):
         yield from fn(parts)
         pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
