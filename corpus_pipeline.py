@@ -55,7 +55,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes every text and decodes it again; counts and digests of both."""
-    return op3_bpe.digests(op3_bpe.decode(op3_bpe.encode(docs)))
+    return op3_bpe.digests(op3_bpe.round_trip(docs))
 
 
 STAGES = [

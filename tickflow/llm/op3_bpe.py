@@ -4,7 +4,7 @@ Encoding folds the ranked merges over the bytes of distinct words: a text is cut
 distinct word is merged once a task (pair of lowest rank first, the leftmost of equals) and the ids
 are put together by word.  Decoding looks the ids up in the table of binary pieces and concatenates.
 
-``encode`` runs the fold in Arrow batches.  ``encode_words`` and ``decode_ids`` are the same fold
+``encode`` runs the fold in Arrow batches; ``round_trip`` decodes them in the same worker.  ``encode_words`` and ``decode_ids`` are the same fold
 and the same concatenation in Spark's higher-order functions over a literal rank map; they are exact but
 too slow for whole tables (figures in the README), so they serve small vocabularies and the tests.
 
@@ -38,9 +38,9 @@ from tickflow.llm.common import BATCH_ROWS, map_batches, rows_of, table, texts
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Bound of the words that a Python worker remembers between texts.
-MEMORY = 400_000
+MEMORY = 200_000
 #: Characters of text whose new words are merged together.
-TOGETHER = 2 << 20
+TOGETHER = 1 << 20
 _RUNS = re.compile(r"\s[ ]")
 _NONE = 1 << 62
 #: Marks after which a word's last letter ends a match; the apostrophe may begin a contraction.
@@ -227,17 +227,16 @@ def worker_encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS
-) -> DataFrame:
-    """``doc_id`` and ``ids`` of every row; no shuffle."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+_DECODED = pa.schema([*_ENCODED, ("bytes", pa.binary())])
 
+
+def _encoding(ranks_path: str):
     def flush(doc_ids, ids):
         ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
         values = pa.array(np.frombuffer(b"".join(ids), np.int32))
         lists = pa.ListArray.from_arrays(pa.array(ends), values)
-        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), lists], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), lists], schema=_ENCODED)
 
     def run(parts):
         encoder, doc_ids, held, size = worker_encoder(ranks_path), [], [], 0
@@ -251,15 +250,10 @@ def encode(
         if held:
             yield flush(doc_ids, encoder.encode(held))
 
-    return map_batches(texts(df, id_col, text_col), run, "doc_id long, ids array<int>")
+    return run
 
 
-def decode(df: DataFrame, ids_col: str = "ids", ranks_path: str = RANKS) -> DataFrame:
-    """``doc_id``, ``ids`` and ``bytes``: the pieces of the ids, concatenated."""
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("bytes", pa.binary())]
-    )
-
+def _decoding(ranks_path: str):
     def run(parts):
         pieces = {i: piece for piece, i in load_ranks(ranks_path).items()}
         for part in parts:
@@ -268,12 +262,36 @@ def decode(df: DataFrame, ids_col: str = "ids", ranks_path: str = RANKS) -> Data
                 ids = piece.column(1)
                 out = [b"".join(map(pieces.__getitem__, ids[i].as_py() or ())) for i in range(len(ids))]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), ids.cast(schema.field(1).type), pa.array(out, pa.binary())],
-                    schema=schema,
+                    [piece.column(0), ids.cast(_DECODED.field(1).type), pa.array(out, pa.binary())],
+                    schema=_DECODED,
                 )
 
+    return run
+
+
+def encode(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS
+) -> DataFrame:
+    """``doc_id`` and ``ids`` of every row; no shuffle."""
+    return map_batches(texts(df, id_col, text_col), _encoding(ranks_path), "doc_id long, ids array<int>")
+
+
+def decode(df: DataFrame, ids_col: str = "ids", ranks_path: str = RANKS) -> DataFrame:
+    """``doc_id``, ``ids`` and ``bytes``: the pieces of the ids, concatenated."""
     picked = df.select("doc_id", F.col(ids_col).alias("ids"))
-    return map_batches(picked, run, "doc_id long, ids array<int>, bytes binary")
+    return map_batches(picked, _decoding(ranks_path), "doc_id long, ids array<int>, bytes binary")
+
+
+def round_trip(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS
+) -> DataFrame:
+    """The rows of ``decode(encode(df))``, both done by one worker, one batch of ids after the other."""
+    encoding, decoding = _encoding(ranks_path), _decoding(ranks_path)
+
+    def run(parts):
+        return decoding(encoding(parts))
+
+    return map_batches(texts(df, id_col, text_col), run, "doc_id long, ids array<int>, bytes binary")
 
 
 def digests(df: DataFrame) -> DataFrame:
@@ -344,4 +362,4 @@ def decode_ids(ids: Column | str, ranks_path: str = RANKS) -> Column:
 
 
 def query(spark, sf_dir) -> DataFrame:
-    return digests(decode(encode(table(spark, sf_dir, "documents"))))
+    return digests(round_trip(table(spark, sf_dir, "documents")))
