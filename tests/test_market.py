@@ -60,3 +60,9 @@ def test_users(market):
     c = counts.first()
     assert c.success_count + c.fail_count == 3
     assert info2.where(F.col("user_id") == "1").count() == 0
+
+
+def test_orderbook_without_data(market):
+    rows = {r.symbol: r for r in market.orderbook(["1-URGENT", "NOPE"]).collect()}
+    assert rows["1-URGENT"].message is None and rows["1-URGENT"].bids is not None
+    assert rows["NOPE"].message == "No orderbook data" and rows["NOPE"].bids is None

@@ -27,7 +27,7 @@ from tickflow.operators.accounts import (
 from tickflow.operators.candles import candles, latest_candles
 from tickflow.operators.decode import decode_book, decode_tickers, decode_trades
 from tickflow.operators.filters import latest_time, select_symbols
-from tickflow.operators.latest import book_levels, latest_book, latest_trades
+from tickflow.operators.latest import book_levels, latest_book, latest_trades, requested_book
 from tickflow.operators.stats import available_symbols, requested_stats, trade_stats
 from tickflow.plans import contracts
 from tickflow.plans.session import scratch_path, use_utc
@@ -318,6 +318,54 @@ def q_trades_one_symbol(spark, sf_dir):
     return select_symbols(trades(spark, sf_dir), ["BTCUSDT"])
 
 
+def q_latest_book_depth3(spark, sf_dir):
+    """The cut to the first levels binds: most books have more than three a side."""
+    return book_levels(latest_book(book(spark, sf_dir), depth=3))
+
+
+def q_orderbook_requested(spark, sf_dir):
+    """Requested are the symbols of books and of tickers; the latter have no book."""
+    b = book(spark, sf_dir)
+    requested = b.select("symbol").unionByName(tickers(spark, sf_dir).select("symbol")).distinct()
+    return requested_book(b, requested).select(
+        "symbol",
+        "event_time",
+        "spread",
+        F.get("bids", 0)["price"].alias("best_bid"),
+        F.get("asks", 0)["price"].alias("best_ask"),
+        "message",
+    )
+
+
+def q_orderbook_serving_contract(spark, sf_dir):
+    return book_levels(contracts.conform(book(spark, sf_dir), contracts.ORDERBOOK))
+
+
+def q_serving_rejects(spark, sf_dir):
+    """Trades without a maker flag lose their symbol and those of the first hour their time; rows
+    that the contract can't hold, by reason."""
+    t = trades(spark, sf_dir)
+    t = t.withColumn("Symbol", F.when(F.col("IsBuyerMaker").isNotNull(), F.col("Symbol")))
+    t = t.withColumn("TradeTime", F.when(F.col("Hour") != 0, F.col("TradeTime")))
+    return contracts.rejects(t, contracts.TRADES).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("trades")
+    )
+
+
+def q_account_delete_repeats(spark, sf_dir):
+    """Every id is requested twice."""
+    c, info, _ = _accounts(spark, sf_dir)
+    requests = feeds.delete_requests(c)
+    return delete_outcome(info, requests.unionByName(requests))
+
+
+def q_accounts_admin(spark, sf_dir):
+    """D19, D20 for every account, the admin's included."""
+    _, info, _ = _accounts(spark, sf_dir)
+    roles = info.select("user_id", F.coalesce("role", F.lit("user")).alias("role"))
+    return roles.withColumn("is_admin", is_admin())
+
+
 QUERIES: dict[str, Query] = {
     "trades_decode": q_trades_decode,
     "trades_side_notional": q_trades_side_notional,
@@ -351,4 +399,10 @@ QUERIES: dict[str, Query] = {
     "served_price_history": q_served_price_history,
     "candles_latest_20": q_candles_latest_20,
     "trades_one_symbol": q_trades_one_symbol,
+    "latest_book_depth3": q_latest_book_depth3,
+    "orderbook_requested": q_orderbook_requested,
+    "orderbook_serving_contract": q_orderbook_serving_contract,
+    "serving_rejects": q_serving_rejects,
+    "account_delete_repeats": q_account_delete_repeats,
+    "accounts_admin": q_accounts_admin,
 }

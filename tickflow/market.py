@@ -21,7 +21,7 @@ from tickflow.operators.accounts import (
     lookup_accounts,
 )
 from tickflow.operators.candles import latest_candles
-from tickflow.operators.latest import latest_book, latest_trades
+from tickflow.operators.latest import latest_book, latest_trades, requested_book
 from tickflow.operators.stats import available_symbols, requested_stats, trade_stats
 from tickflow.sources.serving import read_table
 
@@ -72,11 +72,15 @@ class Market:
         requested = self.spark.createDataFrame([(s,) for s in syms], "symbol string")
         return requested_stats(self.trades(syms), requested, as_of, hours)
 
-    # GET /api/orderbook/{symbol}
+    # GET /api/orderbook/{symbol} ; a requested symbol without a book gets a message
     def orderbook(
         self, symbol=None, depth: int = 10, as_of=None, lookback_hours: float | None = None
     ) -> DataFrame:
-        return latest_book(self.book(symbol), depth, as_of=as_of, lookback_hours=lookback_hours)
+        syms = _symbols(symbol)
+        if syms is None:
+            return latest_book(self.book(), depth, as_of=as_of, lookback_hours=lookback_hours)
+        requested = self.spark.createDataFrame([(s,) for s in syms], "symbol string")
+        return requested_book(self.book(syms), requested, depth, as_of, lookback_hours)
 
     # GET /api/symbols
     def symbols(self) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tickflow.functions.book import DEFAULT_DEPTH, spread, zip_levels
 from tickflow.operators.filters import select_symbols, since
 
+NO_BOOK = "No orderbook data"
+
 
 def latest_trades(
     trades: DataFrame, n: int = 10, symbols: Iterable[str] | None = None
@@ -69,6 +71,23 @@ def latest_book(
     return sides.withColumn("spread", spread("bids", "asks"))
 
 
+def requested_book(
+    book: DataFrame,
+    requested: DataFrame,
+    depth: int = DEFAULT_DEPTH,
+    as_of=None,
+    lookback_hours: float | None = None,
+) -> DataFrame:
+    """The latest book of every requested symbol (column ``symbol``); a symbol without a
+    snapshot gets NULLs and the message 'No orderbook data'."""
+    found = latest_book(book, depth, as_of=as_of, lookback_hours=lookback_hours)
+    found = found.withColumn("found", F.lit(True))
+    message = F.when(F.col("found").isNull(), F.lit(NO_BOOK)).alias("message")
+    return requested.select("symbol").join(found, "symbol", "left").select(
+        *found.drop("found").columns, message
+    )
+
+
 def book_levels(book: DataFrame, depth: int | None = None) -> DataFrame:
     """Flat view, one row per (symbol, event_time, side, level): level 1 is the first level as
     delivered.  Accepts a decoded book (parallel arrays) or ``latest_book`` output.

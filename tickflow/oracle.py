@@ -268,3 +268,27 @@ SQL["served_stats_24h"] = SQL["trade_stats"]
 SQL["served_price_history"] = SQL["candles_latest_n"]
 SQL["candles_latest_20"] = SQL["candles_latest_n"].replace("rn <= 100", "rn <= 20")
 SQL["trades_one_symbol"] = _with(TRADES) + "SELECT * FROM trades WHERE Symbol = 'BTCUSDT'"
+SQL["latest_book_depth3"] = _with(BOOK, LATEST_BOOK) + "SELECT * FROM latest_book WHERE level <= 3"
+SQL["orderbook_requested"] = (
+    _with(BOOK, LATEST_BOOK, TICKERS)
+    + f"""SELECT q.symbol, s.event_time, s.spread, s.best_bid, s.best_ask,
+       CASE WHEN s.symbol IS NULL THEN 'No orderbook data' END AS message
+FROM (SELECT symbol FROM book UNION SELECT symbol FROM tickers) q
+LEFT JOIN ({SQL["book_spread"].removeprefix(_with(BOOK, LATEST_BOOK))}) s ON q.symbol = s.symbol"""
+)
+SQL["orderbook_serving_contract"] = _with(BOOK) + "SELECT * FROM book"
+SQL["serving_rejects"] = (
+    _with(TRADES)
+    + """SELECT concat_ws(', ', CASE WHEN IsBuyerMaker IS NULL OR Symbol IS NULL THEN 'Symbol' END,
+         CASE WHEN Hour = 0 THEN 'TradeTime' END) AS reason, count(*) AS trades
+FROM trades WHERE IsBuyerMaker IS NULL OR Symbol IS NULL OR Hour = 0 GROUP BY 1"""
+)
+SQL["account_delete_repeats"] = (
+    _with(ACCOUNTS, OUTCOME.replace("count(*) AS requests", "2 * count(*) AS requests"))
+    + "SELECT * FROM outcome"
+)
+SQL["accounts_admin"] = (
+    _with(ACCOUNTS)
+    + """SELECT user_id, coalesce(role, 'user') AS role,
+       (user_id = '0' OR coalesce(role = 'admin', false)) AS is_admin FROM info"""
+)

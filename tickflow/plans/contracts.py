@@ -1,8 +1,8 @@
 """S5 — serving-table contracts: fixed column types and (time, symbol) order.
 
 The serving store declares whole-second times for trades and tickers, a 0/1 byte for the maker
-flag and no NULL symbol.  ``conform`` casts a clean table to its contract; rows the contract
-cannot hold (NULL symbol) go to ``rejects`` instead of being silently written.
+flag and no NULL symbol, id or time.  ``conform`` casts a clean table to its contract; rows the
+contract cannot hold go to ``rejects``, with the reason, instead of being silently written.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ class Contract:
     sort_cols: tuple[str, ...]
     symbol_col: str
     second_cols: tuple[str, ...] = ()  # times stored at whole seconds
+    required: tuple[str, ...] = ()  # never NULL, besides the symbol
 
 
 def _schema(*fields) -> T.StructType:
@@ -40,6 +41,7 @@ TRADES = Contract(
     ("TradeTime", "Symbol"),
     "Symbol",
     ("EventTime", "TradeTime"),
+    ("TradeID", "EventTime", "TradeTime"),
 )
 
 TICKERS = Contract(
@@ -53,6 +55,7 @@ TICKERS = Contract(
     ("event_time", "symbol"),
     "symbol",
     ("event_time", "open_time", "close_time"),
+    ("event_time", "open_time", "close_time"),
 )
 
 ORDERBOOK = Contract(
@@ -63,9 +66,16 @@ ORDERBOOK = Contract(
     ),
     ("event_time", "symbol"),
     "symbol",
+    required=("event_time",),
 )
 
 
+def missing(c: Contract) -> Column:
+    """The columns that are NULL though the contract has them, as text; empty if the row fits."""
+    names = (c.symbol_col, *c.required)
+    return F.concat_ws(", ", *[F.when(F.col(n).isNull(), F.lit(n)) for n in names])
+
+
 def _column(df: DataFrame, c: Contract, f: T.StructField) -> Column:
     col = F.col(f.name)
     if f.name in c.second_cols:
@@ -77,15 +87,16 @@ def _column(df: DataFrame, c: Contract, f: T.StructField) -> Column:
 
 def conform(df: DataFrame, c: Contract, sort: bool = True) -> DataFrame:
     """Rows the contract can hold, cast and ordered as the contract says."""
-    out = df.where(F.col(c.symbol_col).isNotNull()).select(
+    out = df.where(missing(c) == "").select(
         *[_column(df, c, f) for f in c.schema.fields]
     )
     return out.sortWithinPartitions(*c.sort_cols) if sort else out
 
 
 def rejects(df: DataFrame, c: Contract) -> DataFrame:
-    """Rows kept by the decoder but not storable under the contract (NULL symbol)."""
-    return df.where(F.col(c.symbol_col).isNull())
+    """Rows kept by the decoder but not storable under the contract; ``reason`` names the columns
+    that are NULL."""
+    return df.withColumn("reason", missing(c)).where(F.col("reason") != "")
 
 
 def create_if_absent(spark: SparkSession, path: str, c: Contract) -> None:

@@ -108,14 +108,14 @@ def start_fanout(
     rej_w = table_batch_writer(os.path.join(out_root, "rejects", name))
 
     def both(batch_df: DataFrame, batch_id: int) -> None:
-        from tickflow.plans.contracts import conform, rejects
+        from tickflow.plans.contracts import conform, missing, rejects
 
         writer = writer_of(batch_df)  # of the stream's thread, not the pool's
         batch_df.persist()
         try:
             obs = Observation(f"{name}-{batch_id}")
             bad_rows = (
-                F.count_if(F.col(contract.symbol_col).isNull())
+                F.count_if(missing(contract) != "")
                 if contract is not None
                 else F.lit(0).cast("long")
             )
