@@ -96,3 +96,14 @@ def test_pipeline_keeps_columns(spark, edges):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, edges)
         assert docs.columns == columns
+
+
+def test_bpe_round_trip_edges(spark, edges):
+    """One worker for both gives the rows of encoding and decoding apart."""
+    from tickflow.llm import op3_bpe
+    from tickflow.llm.common import table
+
+    docs = table(spark, edges, "documents")
+    apart = op3_bpe.digests(op3_bpe.decode(op3_bpe.encode(docs)))
+    once = op3_bpe.digests(op3_bpe.round_trip(docs))
+    assert sorted(map(str, once.collect())) == sorted(map(str, apart.collect()))
