@@ -4,9 +4,16 @@ A tree of fixed depth sends a line to a leaf by its number of tokens and its ``L
 tokens with a digit count as the variable ``<*>`` from the start.  In a leaf a token stays constant at its
 place if it stands there in at least ``min_docs`` documents, and becomes ``<*>`` otherwise: fields
 that vary from line to line are generalised, whatever their order of arrival, and no leaf has
-to be held in one place.  A line of which less than ``SHARE`` is constant is its own template.  A
-template that recurs in ``min_docs`` documents is dropped; the document with the smallest id
-keeps its lines, so nothing leaves the corpus altogether.
+to be held in one place.  A line of which less than ``SHARE`` is constant is its own template.
+
+In a large table the values of a field reach ``min_docs`` too.  So a line has coarser moulds
+besides: its rarest constant tokens become variable one count after the other, as long as ``SHARE`` of
+the line stays constant.  A mould depends on the order of the counts, not on their size, so a table
+that grows has the templates it had.  Of the moulds that recur in ``min_docs`` documents the finest
+is the line's template, and gives way to a coarser one, with a constant behind the leading tokens, of
+whose documents it has less than ``SHARE``: the token that tells them apart is a field's value
+there.  Recurring templates are dropped; the document with the smallest id keeps its lines, so
+nothing leaves the corpus altogether.
 
 Documents with exactly equal texts count once, as copies of one document don't make a template.
 
@@ -85,27 +92,24 @@ def recurring(
     tokens = distinct.select(*keys, "n", F.posexplode(F.split("text", " ")).alias("place", "token"))
     cells = tokens.select(*keys, "n", "place", F.xxhash64("leaf", "place", "token").alias("cell"))
     constant = cells.groupBy("cell").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
-    held = cells.select(*keys, "place", "cell").join(constant.select("cell"), "cell")
-    held = held.groupBy(*keys).agg(F.collect_list("place").alias("held"))  # of one line
+    held = cells.select(*keys, "place", "cell").join(constant, "cell")
+    held = held.groupBy(*keys).agg(F.collect_list(F.struct("place", "docs")).alias("held"))  # of one line
 
     def generalise(rows):
-        for leaf, form, text, held in rows:
-            parts, held = text.split(" "), set(held or ())
-            if len(held) >= SHARE * len(parts):
-                text = " ".join(t if i in held else VARIABLE for i, t in enumerate(parts))
-            yield leaf, form, _digest(f"{leaf} {text}"), text
-
-    templates = written(
-        map_rows(
-            distinct.join(held, keys, "left").select(*keys, "text", "held"),
-            generalise,
-            "leaf long, form long, mould long, template string",
-        ),
-        "templates",
-    )
-    placed = lines.select("doc_id", "origin", "line", *keys).join(templates.drop("template"), keys)
-    placed = written(placed.select("doc_id", "origin", "line", "mould"), "placed-lines")
+        for leaf, form, n, text, held in rows:
+            counts = {x["place"]: x["docs"] for x in held or ()}
+            for step, (template, tail) in enumerate(moulds(text.split(" "), counts)):
+                key = f"{leaf} {template}" if not step else f"{leaf}  {template}"
+                yield leaf, form, n, step, _digest(key), template, tail
+
+    schema = "leaf long, form long, n long, step int, mould long, template string, tail boolean"
+    steps = distinct.join(held, keys, "left").select(*keys, "n", "text", "held")
+    steps = written(map_rows(steps, generalise, schema), "moulds")
+    # lines with copies in one document count more than once here, so this only spares the join lines
+    likely = steps.groupBy("mould").agg(F.sum("n").alias("most")).where(F.col("most") >= min_docs)
+    steps = written(steps.drop("n").join(likely.select("mould"), "mould"), "likely-moulds")
     last = 2**63 - 1
+    placed = lines.select("doc_id", "origin", *keys).join(steps.select(*keys, "mould"), keys)
     known = (
         placed.groupBy("mould", "origin")
         .agg(F.min(F.coalesce("doc_id", F.lit(last))).alias("least"))
@@ -113,14 +117,51 @@ def recurring(
         .agg(F.count(F.lit(1)).alias("docs"), F.min("least").alias("first"))
         .where(F.col("docs") >= min_docs)
     )
-    names = templates.groupBy("mould").agg(F.min("template").alias("template"))
+    known = written(known, "recurring")
+    found = steps.join(known, "mould").groupBy(*keys)
+    found = found.agg(F.sort_array(F.collect_list(F.struct("step", "docs", "first", "tail", "template"))).alias("found"))
+
+    def choose(rows):
+        for leaf, form, found in rows:
+            best = found[0]
+            for x in found[1:]:
+                if x["tail"] and best["docs"] < SHARE * x["docs"]:
+                    best = x
+            yield leaf, form, best["docs"], best["first"], best["template"]
+
+    schema = "leaf long, form long, docs long, first long, template string"
+    chosen = written(map_rows(found, choose, schema), "templates")
     return (
-        placed.drop("origin").join(written(known.join(names, "mould"), "recurring"), "mould")
+        lines.select("doc_id", "line", *keys).join(chosen, keys)
         .where(F.coalesce("doc_id", F.lit(last)) != F.col("first"))
         .select("doc_id", "line", "template", "docs")
     )
 
 
+def moulds(tokens: list[str], counts: dict[int, int]):
+    """(template, whether a token behind the leading ones is constant) of a line, from the finest mould to
+    the coarsest; ``counts`` has the documents of the tokens that are constant in the finest.  The
+    first is its own, for all lines with the same tokens in ``counts``; each of the others is for all lines
+    that have its constant tokens and else only rarer ones."""
+
+    def mould(least):
+        held = [counts.get(i, 0) >= least for i in range(len(tokens))]
+        text = " ".join(t if h else VARIABLE for t, h in zip(tokens, held, strict=True))
+        return text, any(held[LEADING:])
+
+    if len(counts) < SHARE * len(tokens):
+        yield " ".join(tokens), False
+        return
+    yield mould(1)
+    ranked = sorted(counts.values(), reverse=True)
+    for least in sorted(set(ranked)):
+        held = sum(n >= least for n in ranked)
+        if held < SHARE * len(tokens):
+            return
+        if held < len(tokens):
+            yield mould(least)
+
+
 def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
