@@ -1,5 +1,8 @@
 """Cases of the second review: places where an operator did less than the whole job."""
 
+import pytest
+
+from tickflow.llm import op7_html as o7
 from tickflow.llm import op9_templates as o9
 
 
@@ -35,3 +38,25 @@ def test_templates_of_a_repeated_corpus(spark):
         got = dropped(spark, corpus(times))
         assert {r.template: r.docs for r in got} == {t: n * times for t, n in least.items()}
         assert len(got) == 2 * (24 * times - 1)
+
+
+# --- 7 pages ------------------------------------------------------------------------------------
+LONG = "A sentence of the article that is long enough to be found, and it goes on for some more words."
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "<script>for(i=0;i<n;i++){f()}</script>",
+        "<SCRIPT type=x>if(a<b)c='</p>'</SCRIPT >",
+        "<style>a<b{color:'red'}</style>",
+        "<textarea>x<y and 'so on</textarea>",
+        "<svg><title>x<y</title></svg>",
+    ],
+)
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_page_raw_text(raw, tag):
+    html = f"<body><{tag}>{raw}<p>{LONG}</p><p>{LONG}</p>{raw}<p>{LONG}</p></{tag}></body>"
+    assert o7.main_text(html) == "\n".join([LONG] * 3)
+    assert o7.main_text(html + "<script>for(i=0;i<n;i++){f()} never closed > here") == "\n".join([LONG] * 3)
+    assert o7.main_text(f"<title>1 <b or 2</title>{html}") == "\n".join([LONG] * 3)

@@ -53,6 +53,8 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements whose content is text without tags, with their end tags.
+PLAIN = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in ("script", "style", "textarea", "title")}
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -75,6 +77,29 @@ def _close_of(tokens: list[re.Match], at: int, name: str) -> int:
     return -1
 
 
+def _tokens(page: str) -> list[re.Match]:
+    """The page's tokens; what stands in an element of ``PLAIN`` is text up to its own end tag, whatever
+    it looks like.  A script or style that is never closed is the last token."""
+    out: list[re.Match] = []
+    unclosed: set[str] = set()
+    at: int | None = 0
+    while at is not None:
+        start, at = at, None
+        for m in _TOKEN.finditer(page, start):
+            out.append(m)
+            name = (m["name"] or "").lower()
+            if name not in PLAIN or m["close"] or m["attrs"].endswith("/") or name in unclosed:
+                continue
+            end = PLAIN[name].search(page, m.end())
+            if end:
+                at = end.start()
+                break
+            if name in ("script", "style"):
+                break
+            unclosed.add(name)
+    return out
+
+
 def _attrs(m: re.Match) -> str:
     return m["attrs"] if m["attrs"] and "=" in m["attrs"] else ""
 
@@ -87,7 +112,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     outside = links = 0
     inside: list[int] = []
     counted = 0
-    tokens = list(_TOKEN.finditer(page))
+    tokens = _tokens(page)
 
     def flush():
         nonlocal outside
