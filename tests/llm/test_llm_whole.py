@@ -59,4 +59,25 @@ def test_page_raw_text(raw, tag):
     html = f"<body><{tag}>{raw}<p>{LONG}</p><p>{LONG}</p>{raw}<p>{LONG}</p></{tag}></body>"
     assert o7.main_text(html) == "\n".join([LONG] * 3)
     assert o7.main_text(html + "<script>for(i=0;i<n;i++){f()} never closed > here") == "\n".join([LONG] * 3)
-    assert o7.main_text(f"<title>1 <b or 2</title>{html}") == "\n".join([LONG] * 3)
+    assert o7.main_text(f"<head><title>1 <b or 2</title></head>{html}") == "\n".join([LONG] * 3)
+
+
+@pytest.mark.parametrize("left_out", ["<div class=ad><p>Buy this.</p></div>", "<form><input><p>Name and address</p></form>",
+                                      "<div class=cookie-notice>We use cookies.</div>", "<aside><p>See also</p></aside>",
+                                      "<nav><a href=/>Home</a></nav>", "<script>x()</script>"])
+def test_page_parts_after_left_out(left_out):
+    short = "The last paragraph has sixty characters, so it is a short one"
+    menu, foot = "<nav><a href=/>Menu</a></nav>", "<footer>Site</footer><p>Powered by it</p>"
+    article = f"<h1>Title</h1>{left_out}<p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>{left_out}<p>{short}</p>"
+    want = "\n".join(["Title", LONG, LONG, LONG, short])
+    for tag in ("article", "div", "section", 'div class="content"'):
+        name = tag.split()[0]
+        assert o7.main_text(f"<body>{menu}<{tag}>{article}</{name}>{foot}</body>") == want
+        assert o7.main_text(f"<body><div>{menu}<{tag}>{article}</{name}>{foot}</div></body>") == want
+    assert o7.main_text(f"<body>{menu}{article}</body>") == want
+
+
+@pytest.mark.parametrize("left_out", ["<div class=ad>Buy this.</div>", "<form><p>Name</p></form>", "<script>x()</script>"])
+def test_page_sections_after_left_out(left_out):
+    html = f"<body><div><section><p>{LONG}</p><p>{LONG}</p></section>{left_out}<section><p>Short.</p></section></div></body>"
+    assert o7.main_text(html) == f"{LONG}\n{LONG}\nShort."

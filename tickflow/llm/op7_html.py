@@ -1,10 +1,14 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element; the text of menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts and styles is left out and leaves blank lines.  The distribution
-is the text length (links not counted) summed over windows of ``WINDOW`` lines.  The text starts where the
+sidebars, notices, adverts, forms, comments, scripts and styles is left out.  Menus, headers, footers and sidebars
+leave blank lines, and so does all that is left out directly in the body; the rest, such as an advert in the text, leaves
+none.  The distribution is the text length (links not counted) summed over windows of ``WINDOW`` lines.  The text starts where the
 sum surges over a threshold and ends where it dives to nothing; lines that adjoin it without a
-blank line belong to it, and so do all lines of the ``article`` or ``main`` element it lies in.
+blank line belong to it, and so do all lines of the ``article`` or ``main`` element it lies in.  On a
+page without these, all lines of a container (``div``, ``section``, a table's cell) belong to it that
+holds a surge's worth of the text in lines of its own, whatever was left out between them; of the body,
+the lines of its own.
 
 Defined cases: null or empty html, and pages without text, give the empty text; an element left
 out that is never closed hides nothing (script and style hide the rest, as in browsers); repeated rows and
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +41,9 @@ LEFT_OUT = RAW | frozenset(
     "head nav header footer aside form menu button select textarea dialog input label".split()
 )
 MAIN = ("article", "main")
+#: What parts a page, rather than stand in its text.
+PARTING = frozenset("head nav header footer aside menu".split())
+CONTAINERS = frozenset("blockquote center details div fieldset figure section td th".split())
 #: Words of class, id and role names that mark what isn't the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner "
@@ -104,13 +112,14 @@ def _attrs(m: re.Match) -> str:
     return m["attrs"] if m["attrs"] and "=" in m["attrs"] else ""
 
 
-def lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, length outside links, number of the article or main element or 0) of every block;
-    what is left out gives blank lines."""
-    out: list[tuple[str, int, int]] = []
+def lines(page: str) -> list[tuple[str, int, int, tuple[int, ...]]]:
+    """(text, length outside links, number of the article or main element or 0, numbers of the
+    containers from the outermost) of every block; what parts the page gives blank lines."""
+    out: list[tuple[str, int, int, tuple[int, ...]]] = []
     held: list[str] = []
     outside = links = 0
     inside: list[int] = []
+    within: list[tuple[str, int]] = []
     counted = 0
     tokens = _tokens(page)
 
@@ -118,7 +127,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         nonlocal outside
         text = " ".join(entities.unescape("".join(held)).split())
         if text:
-            out.append((text, min(outside, len(text)), inside[-1] if inside else 0))
+            out.append((text, min(outside, len(text)), inside[-1] if inside else 0, tuple(n for _, n in within)))
         held.clear()
         outside = 0
 
@@ -152,7 +161,8 @@ def lines(page: str) -> list[tuple[str, int, int]]:
                     end = _close_of(tokens, i, name)
                 if end >= 0:
                     flush()
-                    out.extend([("", 0, 0)] * WINDOW)
+                    if name in PARTING or not within:
+                        out.extend([("", 0, 0, ())] * WINDOW)
                     closed = tokens[end]["close"] or end > i
                     at = tokens[end].end() if closed else len(page)
                     i = end + 1
@@ -168,6 +178,13 @@ def lines(page: str) -> list[tuple[str, int, int]]:
                     inside.append(counted)
                 elif inside:
                     inside.pop()
+            elif name in CONTAINERS:
+                if opens:
+                    counted += 1
+                    within.append((name, counted))
+                else:
+                    last = max((k for k, (n, _) in enumerate(within) if n == name), default=len(within))
+                    del within[last:]
         elif name in ("br", "wbr", "img"):
             held.append(" " if name == "br" else "")
         i += 1
@@ -178,10 +195,10 @@ def lines(page: str) -> list[tuple[str, int, int]]:
 
 def main_text(page: str | None) -> str:
     found = lines(page or "")
-    weights = [w for _, w, _ in found]
+    weights = [w for _, w, *_ in found]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(found))]
     if not sums or not max(sums):
-        weights = [len(t) for t, _, _ in found]  # nothing but links
+        weights = [len(t) for t, *_ in found]  # nothing but links
         sums = [sum(weights[i : i + WINDOW]) for i in range(len(found))]
         if not sums or not max(sums):
             return ""
@@ -203,10 +220,18 @@ def main_text(page: str | None) -> str:
         while i < len(found) and found[i][0]:  # links that end the text
             kept[i] = True
             i += 1
-    mains = {m for (_, _, m), k in zip(found, kept, strict=True) if k and m}
+    mains = {m for (_, _, m, _), k in zip(found, kept, strict=True) if k and m}
+    if mains:
+        return "\n".join(t for t, _, m, _ in found if t and m in mains)
+    own: Counter[int] = Counter()
+    for (_, _, _, path), weight, k in zip(found, weights, kept, strict=True):
+        if k:
+            own[path[-1] if path else 0] += weight
+    holds = {c for c, n in own.items() if n >= surge}
     return "\n".join(
-        t for (t, _, m), k in zip(found, kept, strict=True) if t and (m in mains if mains else k)
-    )
+        t for (t, _, _, path), k in zip(found, kept, strict=True)
+        if t and (k or (not holds.isdisjoint(path) if path else 0 in holds))
+    )
 
 
 def extract(
