@@ -2,6 +2,7 @@
 
 import pytest
 
+from tickflow.llm import op2_substring as o2
 from tickflow.llm import op7_html as o7
 from tickflow.llm import op9_templates as o9
 
@@ -81,3 +82,14 @@ def test_page_parts_after_left_out(left_out):
 def test_page_sections_after_left_out(left_out):
     html = f"<body><div><section><p>{LONG}</p><p>{LONG}</p></section>{left_out}<section><p>Short.</p></section></div></body>"
     assert o7.main_text(html) == f"{LONG}\n{LONG}\nShort."
+
+
+# --- 2 substrings -------------------------------------------------------------------------------
+def test_units_with_longer_lower_case():
+    """One letter whose lower case is longer changes neither the digests nor the offsets of the others."""
+    passage = "The River ran fast past the Old Mill. It had done so for a Hundred years!"
+    text = f"In İstanbul they say İ and more of it. {passage}"
+    plain = {d: n for _, n, _, d in o2.units(passage.lower())}
+    found = {d: text[s : s + n] for s, n, _, d in o2.units(text)}
+    assert len(plain) == 2 and [found[d] for d in plain] == [passage[:37], passage[38:]]
+    assert [d for *_, d in o2.units("In İstanbul they say İ and more of it.")] == [d for *_, d in o2.units("In İSTANBUL they say İ and more of it.")]

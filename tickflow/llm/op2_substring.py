@@ -31,14 +31,11 @@ _END = re.compile(r"[.!?。！？](?=\s)|\n")
 def units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
     """(start, length, words, digest) of every unit; start and length in code points, white space
     before and after a unit left out."""
-    low = text.lower()
-    if len(low) != len(text):  # a letter whose lower case is longer: offsets are the text's own
-        low = text
     at, run_start, run_end, run_words = 0, 0, 0, []
-    ends = [m.end() for m in _END.finditer(low)]
-    ends.append(len(low))
+    ends = [m.end() for m in _END.finditer(text)]
+    ends.append(len(text))
     for end in ends:
-        sentence = low[at:end]
+        sentence = text[at:end]
         ws = sentence.split()
         if len(ws) >= MIN_WORDS:
             if len(run_words) >= MIN_WORDS:
@@ -51,7 +48,7 @@ def units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
                 run_start = end - len(sentence.lstrip())
             run_end = at + len(sentence.rstrip())
             run_words += ws
-        if sentence[-1:] == "\n" or end == len(low):
+        if sentence[-1:] == "\n" or end == len(text):
             if len(run_words) >= MIN_WORDS:
                 yield run_start, run_end - run_start, len(run_words), _digest(run_words)
             run_words = []
@@ -59,7 +56,8 @@ def units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
 
 
 def _digest(ws: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(ws).encode("utf-8", "surrogatepass"))
+    # only the words are lower-cased: the lower case of some letters is longer, and offsets are the text's
+    return xxhash.xxh3_128_digest(" ".join(ws).lower().encode("utf-8", "surrogatepass"))
 
 
 def unit_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
