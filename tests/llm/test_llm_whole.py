@@ -93,3 +93,39 @@ def test_units_with_longer_lower_case():
     found = {d: text[s : s + n] for s, n, _, d in o2.units(text)}
     assert len(plain) == 2 and [found[d] for d in plain] == [passage[:37], passage[38:]]
     assert [d for *_, d in o2.units("In İstanbul they say İ and more of it.")] == [d for *_, d in o2.units("In İSTANBUL they say İ and more of it.")]
+
+
+UNSPACED = [
+    "他们去年夏天一起去了北京的颐和园。", "彼女は毎朝早く起きて公園を散歩します！", "ฉันชอบกินข้าวผัดกับเพื่อนของฉันทุกวัน",
+]
+
+
+@pytest.mark.parametrize("sentence", UNSPACED)
+def test_units_without_blanks(spark, sentence):
+    long = sentence if sentence[-1] in "。！" else sentence + "\n"
+    docs = [(1, f"{sentence}"), (2, f"我们今天不出门也不想做饭。{long}天气很好大家都高兴地出门。"), (3, "另外的一段文字在这里写着。")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in o2.deduplicate(df).collect()}
+    assert got[1] == docs[0][1] and got[3] == docs[2][1]
+    if long == sentence:
+        assert got[2] == "我们今天不出门也不想做饭。天气很好大家都高兴地出门。"
+    assert [t for t in ("好。", "はい！", "短い。") if list(o2.units(t))] == []
+    line = [(1, f"a\n{sentence}\nb"), (2, f"c\n{sentence}\nd")]
+    got = {r.doc_id: r.text for r in o2.deduplicate(spark.createDataFrame(line, "doc_id long, text string")).collect()}
+    assert got == {1: line[0][1], 2: "c\nd"}
+
+
+def test_short_lines_are_units(spark):
+    docs = [(1, "Some words.\nErrereen thing restat.\nNo. Yes it is."), (2, "Other words.\nErrereen thing restat.\nNo. Yes it is.")]
+    got = {r.doc_id: r.text for r in o2.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: "Other words.\nNo. Yes it is."}
+
+
+@pytest.mark.parametrize("line", [x.strip("。！") for x in UNSPACED] + ["本网站第{}页由张三制作"])
+def test_templates_without_blanks(spark, line):
+    rows = "零一二三四五六七八九甲乙丙丁戊己庚辛壬癸子丑寅卯"
+    texts = [f"{x}的开始在这里写下一些话{x * 9}\n{line.format(i)}\n好{x}" for i, x in enumerate(rows)]
+    got = [r for r in dropped(spark, texts) if r.line == 1]
+    assert len(got) == len(rows) - 1 and {r.docs for r in got} == {len(rows)}
+    assert {r.template.replace(" ", "") for r in got} == {line.format("<*>")}
+    assert not any(r.line == 2 for r in dropped(spark, texts))

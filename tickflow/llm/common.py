@@ -8,6 +8,7 @@ that extra columns of the input, whatever their names, neither clash nor pass th
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -136,6 +137,19 @@ def map_rows(
     return map_batches(df, run, ddl)
 
 
+#: Letters of scripts written without blanks between words: Thai, Lao, Myanmar, Khmer, kana, bopomofo, Han.
+UNSPACED = re.compile(
+    "[\u0e01-\u0e4f\u0e81-\u0ecf\u1000-\u103f\u1780-\u17d3\u3005-\u3007\u3041-\u312f\u31f0-\u31ff"
+    "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]"
+)
+
+
+def letters(text: str) -> int:
+    """Letters and digits of the text; one of a script without blanks counts as two."""
+    n = sum(map(str.isalnum, text))
+    return n if text.isascii() else n + len(UNSPACED.findall(text))
+
+
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 

@@ -1,11 +1,11 @@
 """Substring dedup: units of lines hashed, repeated units removed, offsets retained.
 
 A unit is a sentence of at least ``MIN_WORDS`` words inside a line, or a run of shorter sentences
-between such sentences or the line's ends.  So a passage that stands in the middle of a line of another
+between such sentences or the line's ends, of ``MIN_WORDS`` words or ``MIN_LETTERS`` letters.  In scripts without
+blanks between words a sentence, too, is measured by its letters, and ends at a full-width mark without a blank.  So a passage that stands in the middle of a line of another
 document still meets its copies sentence by sentence.  Units are normalised (lower case,
 white space collapsed) and digested to 128 bits; digests are grouped over the whole table and the
-occurrence first in (doc_id, start) is kept.  Units under ``MIN_WORDS`` words, such as blank lines,
-are never removed.
+occurrence first in (doc_id, start) is kept.  What is under both, such as blank lines, is never removed.
 
 Defined cases: null and empty texts have no units; a null id ranks after all others; rows that repeat
 an id share its rank, so a unit that is first in one of them is first in each.  An empty table gives no
@@ -21,24 +21,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickflow.llm.common import map_rows, table, texts, written
+from tickflow.llm.common import UNSPACED, letters, map_rows, table, texts, written
 
 MIN_WORDS = 5
-#: Where a sentence ends: at marks that white space follows, or at the end of its line.
-_END = re.compile(r"[.!?。！？](?=\s)|\n")
+#: Fewer words suffice with this many letters, of which those of scripts without blanks count twice.
+MIN_LETTERS = 15
+#: Where a sentence ends: at marks that white space follows, at full-width marks and the closing marks
+#: behind them, or at the end of its line.
+_END = re.compile(r"[.!?](?=\s)|[。！？｡]+[」』”’）】》〉]*|\n")
 
 
 def units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
     """(start, length, words, digest) of every unit; start and length in code points, white space
     before and after a unit left out."""
     at, run_start, run_end, run_words = 0, 0, 0, []
+
+    def enough(ws):
+        return len(ws) >= MIN_WORDS or letters("".join(ws)) >= MIN_LETTERS
+
     ends = [m.end() for m in _END.finditer(text)]
     ends.append(len(text))
     for end in ends:
         sentence = text[at:end]
         ws = sentence.split()
-        if len(ws) >= MIN_WORDS:
-            if len(run_words) >= MIN_WORDS:
+        if len(ws) >= MIN_WORDS or not sentence.isascii() and UNSPACED.search(sentence) and enough(ws):
+            if run_words and enough(run_words):
                 yield run_start, run_end - run_start, len(run_words), _digest(run_words)
             run_words = []
             start = end - len(sentence.lstrip())
@@ -49,7 +56,7 @@ def units(text: str) -> Iterator[tuple[int, int, int, bytes]]:
             run_end = at + len(sentence.rstrip())
             run_words += ws
         if sentence[-1:] == "\n" or end == len(text):
-            if len(run_words) >= MIN_WORDS:
+            if run_words and enough(run_words):
                 yield run_start, run_end - run_start, len(run_words), _digest(run_words)
             run_words = []
         at = end

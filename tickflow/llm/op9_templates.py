@@ -21,8 +21,10 @@ Only leaves with ``min_docs`` documents are looked into: first leaves are counte
 line), then the lines of the frequent ones are fetched: a bitmap of fixed size keeps most others
 out of the shuffle, a join all of them.  Places are counted over distinct lines, which travel as digests.
 
-Defined cases: null and empty texts have no lines; lines under ``MIN_TOKENS`` tokens are never
-templates; a null id ranks after all others; rows that repeat an id are one document for keeping,
+In scripts without blanks between words every letter is a token.
+
+Defined cases: null and empty texts have no lines; lines under ``MIN_TOKENS`` tokens, and in scripts without
+blanks under ``MIN_LETTERS`` letters, are never templates; a null id ranks after all others; rows that repeat an id are one document for keeping,
 and one for counting if their texts are equal; an empty table gives no rows.
 """
 
@@ -35,11 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickflow.llm.common import fresh, map_rows, table, texts, written
+from tickflow.llm.common import UNSPACED, fresh, letters, map_rows, table, texts, written
 
 LEADING = 2
 MIN_DOCS = 20
 MIN_TOKENS = 3
+#: Of a line in a script without blanks, in which a letter is a token and counts as two letters.
+MIN_LETTERS = 12
 SHARE = 0.5
 VARIABLE = "<*>"
 #: Bits of the map of frequent leaves; bounds what is broadcast (2 MB).
@@ -51,6 +55,10 @@ def masked_lines(text: str):
     """(number, masked line, leaf) of each line; the leaf is a signed 64-bit digest."""
     for number, line in enumerate(text.split("\n")):
         tokens = line.split()
+        if not line.isascii() and UNSPACED.search(line):
+            tokens = UNSPACED.sub(r" \g<0> ", line).split()
+            if len(tokens) < MIN_TOKENS or letters(line) < MIN_LETTERS:
+                continue
         if len(tokens) >= MIN_TOKENS:
             if _DIGIT.search(line):
                 tokens = [VARIABLE if _DIGIT.search(t) else t for t in tokens]
