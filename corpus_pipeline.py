@@ -23,8 +23,6 @@ from tickflow.llm.common import keep_if, table, written
 #: A document is rejected if no language is found in it, or if it is nearer to the largest distance
 #: from every language's profile than this.
 MIN_SCORE = 0.2
-#: A document with more of its words than this in recurring lines is left whole for the next stage.
-MOST_DROPPED = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +32,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops recurring lines from the texts."""
+    """Drops recurring lines from the texts; a document of nothing else is left whole for the next stage."""
     dropped = op9_templates.recurring(docs)
-    cut = op9_templates.drop_lines(docs, dropped, most=MOST_DROPPED)
+    cut = op9_templates.drop_lines(docs, dropped, empty=False)
     return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 

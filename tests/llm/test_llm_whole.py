@@ -2,6 +2,8 @@
 
 import pytest
 
+import corpus_pipeline
+
 from tickflow.llm import op2_substring as o2
 from tickflow.llm import op7_html as o7
 from tickflow.llm import op9_templates as o9
@@ -129,3 +131,14 @@ def test_templates_without_blanks(spark, line):
     assert len(got) == len(rows) - 1 and {r.docs for r in got} == {len(rows)}
     assert {r.template.replace(" ", "") for r in got} == {line.format("<*>")}
     assert not any(r.line == 2 for r in dropped(spark, texts))
+
+
+# --- the pipeline -------------------------------------------------------------------------------
+def test_pipeline_cuts_short_pages(spark):
+    """A page of mostly recurring lines loses them as well; one of nothing else stays whole."""
+    foot = "All of the many rights in this are reserved as ever"
+    docs = [(i, f"own{chr(97 + i)} words\n{foot}", "en", "s", 1) for i in range(25)] + [(90, f"{foot}\n \t", "en", "s", 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    own = {i: t.split("\n")[0] for i, t, *_ in docs}
+    assert got == {i: (x, len(x)) for i, t, *_ in docs for x in [own[i] if 0 < i < 90 else t]}

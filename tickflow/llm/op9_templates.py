@@ -187,11 +187,16 @@ def _marks(leaves: DataFrame) -> bytes:
 
 
 def drop_lines(
-    df: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: float = 1.0
+    df: DataFrame,
+    dropped: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    most: float = 1.0,
+    empty: bool = True,
 ) -> DataFrame:
     """``df`` with the lines of ``dropped`` cut from its texts; other columns stay as they are.  A
     document of whose words more than ``most`` stand in such lines is a copy rather than a page with
-    boilerplate, and stays whole."""
+    boilerplate, and stays whole; without ``empty``, so does one of which nothing would be left."""
     id_, lines = fresh(df, "id_"), fresh(df, "lines_")
     numbers = dropped.groupBy("doc_id").agg(F.collect_set("line")).toDF(id_, lines)
     both = df.join(numbers, df[id_col].cast("long") == F.col(id_), "left")
@@ -205,6 +210,8 @@ def drop_lines(
             return F.size(F.split(F.trim(c), r"\s+"))
 
         whole |= (size(cut) < (1 - most) * size(F.col(text_col))) | (F.trim(cut) == "")
+    if not empty:
+        whole |= ~cut.rlike(r"\S")
     kept = F.when(whole, F.col(text_col)).otherwise(cut)
     return both.select(*[kept.alias(c) if c == text_col else F.col(c) for c in df.columns])
 
