@@ -3,10 +3,12 @@
 import pytest
 
 import corpus_pipeline
+from llm_fixtures import tables  # noqa: F401
 
 from tickflow.llm import op2_substring as o2
 from tickflow.llm import op7_html as o7
 from tickflow.llm import op9_templates as o9
+from tickflow.llm.queries import QUERIES
 
 
 def dropped(spark, texts, **more):
@@ -133,6 +135,20 @@ def test_templates_without_blanks(spark, line):
     assert not any(r.line == 2 for r in dropped(spark, texts))
 
 
+def test_templates_in_few_documents(spark):
+    long, middle, short = "The whole of this footer stands under every page here", "Os arcoí con de", "a b c"
+    texts = [f"own{i} text{i} line{chr(97 + i)}\n" + "\n".join(t for t, n in ((long, 5), (middle, 16), (short, 19)) if i < n) for i in range(19)]
+    got = {(r.template, r.docs) for r in dropped(spark, texts, few_docs=o9.FEW_DOCS)}
+    assert got == {(long, 5), (middle, 16)} and not dropped(spark, texts)
+    assert not dropped(spark, texts[1:5], few_docs=o9.FEW_DOCS)
+
+
+def test_templates_query_in_few_documents(spark, tables):
+    docs = [(i, f"own{i} text\nThe whole of this footer stands under every page here", "en", "s", 60) for i in range(6)]
+    got = QUERIES["op9_templates"](spark, tables(documents=docs)).collect()
+    assert sorted((r.doc_id, r.line, r.docs) for r in got) == [(i, 1, 6) for i in range(1, 6)]
+
+
 # --- the pipeline -------------------------------------------------------------------------------
 def test_pipeline_cuts_short_pages(spark):
     """A page of mostly recurring lines loses them as well; one of nothing else stays whole."""

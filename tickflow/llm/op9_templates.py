@@ -15,6 +15,10 @@ whose documents it has less than ``SHARE``: the token that tells them apart is a
 there.  Recurring templates are dropped; the document with the smallest id keeps its lines, so
 nothing leaves the corpus altogether.
 
+With ``few_docs`` a template recurs in that many documents already, if the letters of its constants, counted
+once for each document, are ``FEW_LETTERS`` for each of ``min_docs``: the fewer the documents, the
+longer the line has to be, which spares clean text.
+
 Documents with exactly equal texts count once, as copies of one document don't make a template.
 
 Only leaves with ``min_docs`` documents are looked into: first leaves are counted (eight bytes a
@@ -41,6 +45,9 @@ from tickflow.llm.common import UNSPACED, fresh, letters, map_rows, table, texts
 
 LEADING = 2
 MIN_DOCS = 20
+#: Long templates are dropped from so many documents up: those of ``MIN_DOCS * FEW_LETTERS`` letters in all.
+FEW_DOCS = 5
+FEW_LETTERS = 8
 MIN_TOKENS = 3
 #: Of a line in a script without blanks, in which a letter is a token and counts as two letters.
 MIN_LETTERS = 12
@@ -67,17 +74,26 @@ def masked_lines(text: str):
 
 
 def recurring(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_docs: int = MIN_DOCS,
+    few_docs: int | None = None,
 ) -> DataFrame:
     """One row for each line that is dropped: ``doc_id``, ``line`` (number from 0), ``template``,
     ``docs`` (distinct documents that hold the template)."""
     docs = texts(df, id_col, text_col)
+    least = min(min_docs, few_docs or min_docs)
+
+    def recur(n: str):
+        few = F.col(n) * F.col("letters") >= min_docs * FEW_LETTERS
+        return (F.col(n) >= min_docs) | ((F.col(n) >= least) & few)
 
     def leaves(rows):
         return ((leaf,) for _, t in rows for leaf in {leaf for _, _, leaf in masked_lines(t)})
 
     counted = map_rows(docs, leaves, "leaf long").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    frequent = written(counted.where(F.col("n") >= min_docs).select("leaf"), "leaves")
+    frequent = written(counted.where(F.col("n") >= least).select("leaf"), "leaves")
     marks = df.sparkSession.sparkContext.broadcast(_marks(frequent))
 
     def likely_lines(rows):
@@ -99,7 +115,7 @@ def recurring(
     distinct = written(distinct, "distinct-lines")
     tokens = distinct.select(*keys, "n", F.posexplode(F.split("text", " ")).alias("place", "token"))
     cells = tokens.select(*keys, "n", "place", F.xxhash64("leaf", "place", "token").alias("cell"))
-    constant = cells.groupBy("cell").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
+    constant = cells.groupBy("cell").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least)
     held = cells.select(*keys, "place", "cell").join(constant, "cell")
     held = held.groupBy(*keys).agg(F.collect_list(F.struct("place", "docs")).alias("held"))  # of one line
 
@@ -108,13 +124,13 @@ def recurring(
             counts = {x["place"]: x["docs"] for x in held or ()}
             for step, (template, tail) in enumerate(moulds(text.split(" "), counts)):
                 key = f"{leaf} {template}" if not step else f"{leaf}  {template}"
-                yield leaf, form, n, step, _digest(key), template, tail
+                yield leaf, form, n, step, _digest(key), letters(template), template, tail
 
-    schema = "leaf long, form long, n long, step int, mould long, template string, tail boolean"
+    schema = "leaf long, form long, n long, step int, mould long, letters int, template string, tail boolean"
     steps = distinct.join(held, keys, "left").select(*keys, "n", "text", "held")
     steps = written(map_rows(steps, generalise, schema), "moulds")
     # lines with copies in one document count more than once here, so this only spares the join lines
-    likely = steps.groupBy("mould").agg(F.sum("n").alias("most")).where(F.col("most") >= min_docs)
+    likely = steps.groupBy("mould", "letters").agg(F.sum("n").alias("most")).where(recur("most"))
     steps = written(steps.drop("n").join(likely.select("mould"), "mould"), "likely-moulds")
     last = 2**63 - 1
     placed = lines.select("doc_id", "origin", *keys).join(steps.select(*keys, "mould"), keys)
@@ -123,10 +139,10 @@ def recurring(
         .agg(F.min(F.coalesce("doc_id", F.lit(last))).alias("least"))
         .groupBy("mould")
         .agg(F.count(F.lit(1)).alias("docs"), F.min("least").alias("first"))
-        .where(F.col("docs") >= min_docs)
+        .where(F.col("docs") >= least)
     )
     known = written(known, "recurring")
-    found = steps.join(known, "mould").groupBy(*keys)
+    found = steps.join(known, "mould").where(recur("docs")).groupBy(*keys)
     found = found.agg(F.sort_array(F.collect_list(F.struct("step", "docs", "first", "tail", "template"))).alias("found"))
 
     def choose(rows):
@@ -217,4 +233,4 @@ def drop_lines(
 
 
 def query(spark, sf_dir) -> DataFrame:
-    return recurring(table(spark, sf_dir, "documents"))
+    return recurring(table(spark, sf_dir, "documents"), few_docs=FEW_DOCS)
