@@ -13,6 +13,7 @@ def tables(spark, tmp_path_factory):
         "documents": "doc_id long, text string, lang string, source string, n_chars long",
         "pages": "page_id long, url string, html string",
         "benchmark": "item_id long, text string",
+        "conversations": "conv_id long, turn long, role string, text string",
     }
 
     def make(extra=False, **rows):

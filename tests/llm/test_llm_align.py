@@ -1,0 +1,100 @@
+"""The alignment against a plain version over byte ranges."""
+
+import hashlib
+from collections import Counter, defaultdict
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import tickflow.llm.op12_align as o
+from llm_fixtures import small, tables  # noqa: F401
+
+
+@pytest.fixture(scope="module")
+def aligner():
+    return o.Aligner()
+
+
+def ranges(tokenizer, ids):
+    at, out = 0, []
+    for i in ids:
+        out.append((at, at + len(tokenizer.bytes[i]), i))
+        at = out[-1][1]
+    return out
+
+
+def plain_groups(aligner, text):
+    """The groups as text and the links of a text; None without tokens."""
+    if not text:
+        return None
+    found = [(t, t.encode([text])[0]) for t in (aligner.a, aligner.b)]
+    if any(b"".join(t.bytes[i] for i in ids) != b" " + text.encode() for t, ids in found):
+        return None
+    a, b = [ranges(t, ids) for t, ids in found]
+    groups, links, begin = [], [], 0
+    for cut in sorted({e for _, e, _ in a} & {e for _, e, _ in b}):
+        here = [[r for r in rs if begin <= r[0] and r[1] <= cut] for rs in (a, b)]
+        groups.append("|".join(",".join(str(i) for *_, i in rs) for rs in here))
+        links += [(p, q) for s, e, p in here[0] for u, v, q in here[1] if max(s, u) < min(e, v)]
+        begin = cut
+    return len(a), len(b), groups, links
+
+
+def plain(aligner, docs):
+    held = [(d, plain_groups(aligner, t)) for d, t in docs]
+    counts = Counter(p for _, f in held if f for p in set(f[3]))
+    top = defaultdict(int)
+    for (a, _), n in counts.items():
+        top[a] = max(top[a], n)
+    for d, f in held:
+        if f is None:
+            yield d, 0, 0, 0, 0, 0, 0, ""
+        else:
+            n_a, n_b, groups, links = f
+            best = sum(counts[p] == top[p[0]] for p in links)
+            sha = hashlib.sha256(";".join(groups).encode()).hexdigest()
+            yield d, n_a, n_b, len(groups), len(links), best, sum(counts[p] for p in links), sha
+
+
+ODD = ["  two  spaces ", "a\u2581b", "\u2581", "日本語のテキスト。改行\n\n\ttabs 😀😀 é", "x" * 3000, "", None, "<|endoftext|> <s> <unk> <0x41>",
+       "\x00 nul \x01", "a  b   c\n\n d ", "don't we'll 12345 67", " ", "\n", "ÀÉ" * 40]
+
+
+def test_query_plain(spark, tables, small, aligner, monkeypatch):
+    monkeypatch.setattr(o, "BLOCK_BYTES", 20_000)  # many blocks
+    docs = small + [(100_000 + i, t) for i, t in enumerate(ODD)] + [(None, "a b"), (None, "a b"), (1, "again")]
+    folder = tables(extra=True, documents=[(d, t, "en", "s", 0) for d, t in docs])
+    got = [tuple(r) for r in o.query(spark, folder).collect()]
+    assert sorted(got, key=str) == sorted(plain(aligner, docs), key=str)
+
+
+def test_groups(spark, aligner):
+    texts = [t for t in ODD if t and plain_groups(aligner, t)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in o.groups(df).collect():
+        ends, begin, got = [tuple(g) for g in r.groups], (0, 0), []
+        for end in ends:
+            ids = r.a_ids[begin[0] : end[0]], r.b_ids[begin[1] : end[1]]
+            got.append("|".join(",".join(map(str, x)) for x in ids))
+            begin = end
+        assert got == plain_groups(aligner, texts[r.doc_id])[2]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab cdé'日😀\n.,12\t The"), max_size=40))
+def test_windows_as_plain(aligner, text):
+    found = next(aligner.align([text]))
+    want = plain_groups(aligner, text)
+    assert (found is None) == (want is None)
+    if want:
+        assert found.groups().decode() == ";".join(want[2])
+        assert Counter(found.links().tolist()) == Counter(a << 32 | b for a, b in want[3])
+
+
+def test_memory_is_bounded(aligner, monkeypatch):
+    monkeypatch.setattr(o, "MEMORY", 10)
+    aligner.new.clear()
+    text = " ".join(f"word{i}" for i in range(200))
+    assert next(aligner.align([text])).groups().decode() == ";".join(plain_groups(aligner, text)[2])
+    assert len(aligner.new) <= 10 and len(aligner.old) <= 10

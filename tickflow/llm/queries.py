@@ -11,6 +11,9 @@ from tickflow.llm import (
     op8_warc,
     op9_templates,
     op10_contamination,
+    op11_merkle,
+    op12_align,
+    op13_chat,
 )
 
 QUERIES = {
@@ -24,10 +27,14 @@ QUERIES = {
     "op8_warc": op8_warc.query,
     "op9_templates": op9_templates.query,
     "op10_contamination": op10_contamination.query,
+    "op11_merkle": op11_merkle.query,
+    "op12_align": op12_align.query,
+    "op13_chat": op13_chat.query,
 }
 
 SQL = {
     "op5_minhash": op5_minhash.SQL,
     "op8_warc": op8_warc.SQL,
     "op10_contamination": op10_contamination.SQL,
+    "op11_merkle": op11_merkle.SQL,
 }
