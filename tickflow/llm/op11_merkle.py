@@ -229,7 +229,7 @@ def number(nodes: DataFrame, *order: str) -> DataFrame:
     """The rows with their number ``idx`` within ``tree``, by ``order``, and the tree's size ``n``.
 
     Equal rows of a tree are dealt by their place in the input, so that no value fills a partition."""
-    spread = nodes.withColumn("tie", F.monotonically_increasing_id())
+    spread = written(nodes.withColumn("tie", F.monotonically_increasing_id()), "merkle-digests")
     keys = [F.asc_nulls_first(c) for c in ("tree", *order, "tie")]
     dealt = spread.repartitionByRange(shuffle_parts(nodes.sparkSession), *keys).sortWithinPartitions(*keys)
     placed = written(dealt.drop("tie").withColumn("at", F.monotonically_increasing_id()), "merkle-order")
