@@ -84,7 +84,7 @@ def test_groups(spark, aligner):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("ab cdé'日😀\n.,12\t The"), max_size=40))
 def test_windows_as_plain(aligner, text):
-    found = next(aligner.align([text]))
+    (found,) = aligner.align([text])
     want = plain_groups(aligner, text)
     assert (found is None) == (want is None)
     if want:
@@ -95,6 +95,21 @@ def test_windows_as_plain(aligner, text):
 def test_memory_is_bounded(aligner, monkeypatch):
     monkeypatch.setattr(o, "MEMORY", 10)
     aligner.new.clear()
-    text = " ".join(f"word{i}" for i in range(200))
-    assert next(aligner.align([text])).groups().decode() == ";".join(plain_groups(aligner, text)[2])
-    assert len(aligner.new) <= 10 and len(aligner.old) <= 10
+    for k in range(5):
+        text = " ".join(f"word{i}x{k}" for i in range(200))
+        assert aligner.align([text])[0].groups().decode() == ";".join(plain_groups(aligner, text)[2])
+        assert aligner.align([text + " one more"])[0].groups()
+    assert len(aligner.new) <= 220 and len(aligner.old) <= 220
+
+
+def test_ids_are_the_file_s(aligner):
+    """The ranks give the ids of the tokenizers library with the vocabulary's file, for every character."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    file.encode_special_tokens = True
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    batch = ["".join(f"a{c}b {c}1{c}{c} !{c} " for c in chars[i : i + 500]) for i in range(0, len(chars), 500)] + [t for t in ODD if t]
+    want = file.encode_batch([" " + t for t in batch], add_special_tokens=False)
+    assert aligner.a.encode(batch) == [e.ids for e in want]

@@ -18,13 +18,12 @@ gives no rows.
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import os
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from typing import NamedTuple
+from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
@@ -36,39 +35,31 @@ from pyspark.sql import types as T
 
 from tickflow.llm.common import map_batches, map_rows, rows_of, table, texts, written
 
-BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text whose documents are scored together, and of text that is encoded at once.
 BLOCK_BYTES, BATCH_BYTES = 8 << 20, 1 << 20
-#: Windows that a worker remembers, in two generations, and tokens of the longest one remembered.
+#: Windows that a worker remembers, in two generations of so many each, and ids of the longest one remembered.
 MEMORY, LONGEST = 100_000, 24
 SPACE = "▁"
 
 
 class ByteLevel:
-    """A byte-level BPE of the tokenizers library; special strings in a text are plain text."""
+    """A byte-level BPE from its ranks, by tiktoken: the ids of the tokenizers library's file of the same vocabulary, at a
+    fourth of the time.  There are no special tokens; their strings in a text are plain text."""
 
-    def __init__(self, path: str = BYTE_LEVEL):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    def __init__(self, path: str = BYTE_LEVEL, pattern: str = public_tokenizers.PATTERN):
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        of = self._alphabet()
-        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
-        self.bytes = [bytes([of[c] for c in n]) if all(c in of for c in n) else b"" for n in names]
-
-    @staticmethod
-    def _alphabet() -> dict[str, int]:
-        """The byte that each character of a token stands for: printable Latin-1 for itself, the others in
-        order from U+0100 on."""
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        rest = sorted(set(range(256)).difference(plain))
-        return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = [b""] * (max(ranks.values()) + 1)
+        for piece, i in ranks.items():
+            self.bytes[i] = piece
 
     def encode(self, batch: list[str]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch_fast([" " + t for t in batch], add_special_tokens=False)
-        return [e.ids for e in found]
+        return [self.encoding.encode_ordinary(" " + t) for t in batch]
 
 
 class Pieces:
@@ -90,99 +81,129 @@ class Pieces:
         return self.model.encode(batch, num_threads=1)
 
 
-class Window(NamedTuple):
-    """``groups`` as text (``a1,a2|b1;a3|b2``), and the numbers of ids (``sizes``) in each group, a and b in turn;
-    ``links`` as pairs of ids in one integer each.  Integers are packed, 32 and 64 bits."""
-
-    groups: bytes
-    sizes: bytes
-    links: bytes
+#: A window's groups as text (``a1,a2|b1;a3|b2``), and its links as pairs of ids, packed, 64 bits each.
+Window = tuple[bytes, bytes]
 
 
 @dataclass
 class Alignment:
-    a: np.ndarray
-    b: np.ndarray
+    a: list[int]
+    b: list[int]
     windows: list[Window]
 
     def groups(self) -> bytes:
-        return b";".join([w.groups for w in self.windows])
+        return b";".join([text for text, _ in self.windows])
 
-    def ends(self) -> np.ndarray:
+    def ends(self) -> list[tuple[int, int]]:
         """Where each group ends in both lists of ids."""
-        sizes = np.frombuffer(b"".join([w.sizes for w in self.windows]), "=i4")
-        return np.cumsum(sizes.reshape(-1, 2), axis=0)
+        sizes = [[len(ids.split(b",")) for ids in g.split(b"|")] for g in self.groups().split(b";")]
+        return list(zip(accumulate(i for i, _ in sizes), accumulate(j for _, j in sizes), strict=True))
 
     def links(self) -> np.ndarray:
-        return np.frombuffer(b"".join([w.links for w in self.windows]), "=i8")
+        return np.frombuffer(b"".join([links for _, links in self.windows]), np.int64)
+
+
+#: Between the ids of both tokenizers in a window's key.
+_BAR = -1
 
 
 class Aligner:
     def __init__(self, a=None, b=None):
         self.a, self.b = a or ByteLevel(), b or Pieces()
-        self.sizes = [np.array([len(x) for x in t.bytes]) for t in (self.a, self.b)]
+        self.sizes = [np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b)]
         self.spaced = [np.array([x[:1] == b" " for x in t.bytes]) for t in (self.a, self.b)]
-        self.new: dict[tuple[bytes, bytes], Window] = {}
-        self.old: dict[tuple[bytes, bytes], Window] = {}
-
-    def align(self, batch: list[str]) -> Iterator[Alignment | None]:
+        # an id as text with what follows it: within a group, and at the end of its half
+        ends = [(range(len(t.bytes)), s) for t, s in zip((self.a, self.b), (b"|", b";"), strict=True)]
+        self.shown = [str(i).encode() + mark for ids, end in ends for mark in (b",", end) for i in ids]
+        self.shown_sizes = np.array([len(x) for x in self.shown], np.int64)
+        self.new: dict[bytes, Window] = {}
+        self.old: dict[bytes, Window] = {}
+
+    def align(self, batch: list[str]) -> list[Alignment | None]:
         """An alignment for each text; None where a tokenizer's tokens aren't the text's bytes."""
-        for text, a, b in zip(batch, self.a.encode(batch), self.b.encode(batch), strict=True):
-            want = b" " + text.encode("utf-8", "surrogatepass")
-            if not text or any(b"".join(map(t.bytes.__getitem__, ids)) != want for t, ids in ((self.a, a), (self.b, b))):
-                yield None
-            else:
-                a, b = np.array(a, np.int32), np.array(b, np.int32)
-                yield Alignment(a, b, list(self._windows(a, b)))
-
-    def _windows(self, a: np.ndarray, b: np.ndarray) -> Iterator[Window]:
-        starts, marked = [], []
-        for ids, sizes, spaced in zip((a, b), self.sizes, self.spaced, strict=True):
-            ends = np.cumsum(sizes[ids])
-            starts.append(np.r_[0, ends[:-1]])
-            marked.append(starts[-1][spaced[ids]])
+        ids = list(zip(self.a.encode(batch), self.b.encode(batch), strict=True))
+        good = [i for i, text in enumerate(batch) if text and self._faithful(text, *ids[i])]
+        out: list[Alignment | None] = [None] * len(batch)
+        if not good:
+            return out
+        a, b = [self._flat([ids[i][side] for i in good]) for side in (0, 1)]
+        first_a, first_b = self._anchored(a, b)
+        windows = self._windows(a, b, first_a, first_b)
+        begins = np.searchsorted(first_a, np.cumsum([0, *(len(ids[i][0]) for i in good)])).tolist()
+        for i, begin, end in zip(good, begins, begins[1:], strict=False):
+            out[i] = Alignment(*ids[i], windows[begin:end])
+        return out
+
+    def _faithful(self, text: str, a: list[int], b: list[int]) -> bool:
+        want = b" " + text.encode("utf-8", "surrogatepass")
+        return all(b"".join([t.bytes[i] for i in ids]) == want for t, ids in ((self.a, a), (self.b, b)))
+
+    @staticmethod
+    def _flat(lists: list[list[int]]) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(lists), np.int32, sum(map(len, lists)))
+
+    def _anchored(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens at the anchors.  The texts stand one after the other in the same bytes for both tokenizers;
+        each begins with a space, and so with an anchor."""
+        starts = [np.cumsum(sizes[ids]) - sizes[ids] for ids, sizes in zip((a, b), self.sizes, strict=True)]
+        marked = [at[spaced[ids]] for at, spaced, ids in zip(starts, self.spaced, (a, b), strict=True)]
         anchors = np.intersect1d(*marked, assume_unique=True)
-        anchors = anchors if len(anchors) and not anchors[0] else np.r_[0, anchors]
-        at_a = np.searchsorted(starts[0], anchors).tolist()
-        at_b = np.searchsorted(starts[1], anchors).tolist()
-        bytes_a, bytes_b = a.tobytes(), b.tobytes()
-        for i, to_i, j, to_j in zip(at_a, [*at_a[1:], len(a)], at_b, [*at_b[1:], len(b)], strict=True):
-            key = bytes_a[4 * i : 4 * to_i], bytes_b[4 * j : 4 * to_j]
-            window = self.new.get(key)
-            if window is None:
-                window = self._remembered(key, a[i:to_i], b[j:to_j])
-            yield window
-
-    def _remembered(self, key, a: np.ndarray, b: np.ndarray) -> Window:
-        window = self.old.get(key) or self.window(a.tolist(), b.tolist())
-        if len(a) + len(b) <= LONGEST:
-            if len(self.new) >= MEMORY:
+        return np.searchsorted(starts[0], anchors), np.searchsorted(starts[1], anchors)
+
+    def _windows(self, a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> list[Window]:
+        """The windows, taken from memory by their ids: those of ``a``, a bar, those of ``b``."""
+        n = len(first_a)
+        count_a, count_b = np.diff(np.r_[first_a, len(a)]), np.diff(np.r_[first_b, len(b)])
+        of_a, of_b = np.repeat(np.arange(n), count_a), np.repeat(np.arange(n), count_b)
+        keyed = np.full(len(a) + len(b) + n, _BAR, np.int32)
+        keyed[np.arange(len(a)) + first_b[of_a] + of_a] = a
+        keyed[np.arange(len(b)) + (first_a + count_a)[of_b] + of_b + 1] = b
+        raw = keyed.tobytes()
+        at = (4 * np.r_[first_a + first_b + np.arange(n), len(keyed)]).tolist()
+        keys = [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
+        found = list(map(self.new.get, keys))
+        missing = {keys[i] for i, w in enumerate(found) if w is None}
+        if missing:
+            known = {k: w for k in missing if (w := self.old.get(k)) is not None}
+            known |= self.solve([k for k in missing if k not in known])
+            found = [known[k] if w is None else w for k, w in zip(keys, found, strict=True)]
+            if len(self.new) + len(known) > MEMORY:
                 self.new, self.old = {}, self.new
-            self.new[key] = window
-        return window
-
-    def window(self, a: list[int], b: list[int]) -> Window:
-        """Two pointers over the tokens: each step links the tokens that now overlap."""
-        size_a, size_b = self.a.bytes, self.b.bytes
-        groups, sizes, links = [], [], []
-        i = j = 0
-        while i < len(a):
-            first_i, first_j = i, j
-            end_a, end_b = len(size_a[a[i]]), len(size_b[b[j]])
-            links.append(a[i] << 32 | b[j])
-            while end_a != end_b:
-                if end_a < end_b:
-                    i += 1
-                    end_a += len(size_a[a[i]])
-                else:
-                    j += 1
-                    end_b += len(size_b[b[j]])
-                links.append(a[i] << 32 | b[j])
-            i, j = i + 1, j + 1
-            sizes += (i - first_i, j - first_j)
-            groups.append(f"{','.join(map(str, a[first_i:i]))}|{','.join(map(str, b[first_j:j]))}")
-        packed = struct.pack(f"={len(sizes)}i", *sizes), struct.pack(f"={len(links)}q", *links)
-        return Window(";".join(groups).encode(), *packed)
+            self.new.update((k, w) for k, w in known.items() if len(k) <= 4 * LONGEST)
+        return found
+
+    def solve(self, keys: list[bytes]) -> dict[bytes, Window]:
+        """The windows of some keys, all at once.  Laid one after the other, their tokens are ranges of the same bytes;
+        where tokens of both end, a group ends; between two neighbouring ends of either, one pair overlaps."""
+        if not keys:
+            return {}
+        keyed = np.frombuffer(b"".join(keys), np.int32)
+        sizes = np.array([len(k) // 4 for k in keys])
+        of = np.repeat(np.arange(len(keys)), sizes)
+        bars = np.flatnonzero(keyed == _BAR)
+        place = np.arange(len(keyed))
+        in_a, in_b = place < bars[of], place > bars[of]
+        a, b, of_a = keyed[in_a], keyed[in_b], of[in_a]
+        ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        each = np.union1d(ends_a, ends_b)
+        at_a, at_b = np.searchsorted(ends_a, each), np.searchsorted(ends_b, each)
+        links = (a[at_a].astype(np.int64) << 32 | b[at_b]).tobytes()
+        link_ends = (8 * np.cumsum(np.bincount(of_a[at_a], minlength=len(keys)))).tolist()
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        closes_a, closes_b = both[group_a] == ends_a, both[group_b] == ends_b
+        n_a, n_b = len(self.a.bytes), len(self.b.bytes)
+        shown = np.concatenate([a + closes_a * n_a, 2 * n_a + b + closes_b * n_b])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        shown = shown[order]
+        text = b"".join([self.shown[i] for i in shown.tolist()])
+        done = np.cumsum(self.shown_sizes[shown])
+        text_ends = done[np.cumsum(sizes - 1) - 1].tolist()  # a window's tokens are its ids without the bar
+        out, begin, first = {}, 0, 0
+        for key, end, last in zip(keys, text_ends, link_ends, strict=True):
+            out[key] = text[begin : end - 1], links[first:last]
+            begin, first = end, last
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -191,13 +212,13 @@ def worker_aligner() -> Aligner:
     return Aligner()
 
 
-def _aligned(rows) -> Iterator[tuple[int | None, str, Alignment | None]]:
-    """Rows of (id, text) with their alignments, encoded ``BATCH_BYTES`` at once."""
+def _aligned(rows) -> Iterator[tuple[int | None, int, Alignment | None]]:
+    """Ids, lengths and alignments of rows of (id, text), encoded ``BATCH_BYTES`` at once."""
     held, size, aligner = [], 0, worker_aligner()
 
     def flush():
         for (key, text), found in zip(held, aligner.align([t for _, t in held]), strict=True):
-            yield key, text, found
+            yield key, len(text), found
 
     for row in rows:
         held.append(row)
@@ -217,8 +238,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             if found is None:
                 yield doc_id, [], [], []
             else:
-                ends = [{"a_end": i, "b_end": j} for i, j in found.ends().tolist()]
-                yield doc_id, found.a.tolist(), found.b.tolist(), ends
+                yield doc_id, found.a, found.b, [{"a_end": i, "b_end": j} for i, j in found.ends()]
 
     schema = "doc_id long, a_ids array<int>, b_ids array<int>, groups array<struct<a_end:int,b_end:int>>"
     return map_rows(texts(df, id_col, text_col), run, schema)
@@ -250,14 +270,14 @@ def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(rows):
         part, block, held, size = TaskContext.get().partitionId(), 0, [], 0
-        for doc_id, text, found in _aligned(rows):
+        for doc_id, length, found in _aligned(rows):
             if found is None:
                 held.append((doc_id, (0, 0, 0, 0), "", np.empty(0, np.int64)))
             else:
                 told, links = found.groups(), found.links()
                 n = (len(found.a), len(found.b), told.count(b";") + 1, len(links))
                 held.append((doc_id, n, hashlib.sha256(told).hexdigest(), links))
-            size += len(text) + 64
+            size += length + 64
             if size >= BLOCK_BYTES:
                 yield packed(part << 32 | block, held)
                 block, held, size = block + 1, [], 0
