@@ -62,3 +62,49 @@ def test_admin_flag(accounts):
     info, _ = accounts
     got = {r.user_id: r.a for r in info.select("user_id", is_admin().alias("a")).collect()}
     assert got == {"0": True, "1": False, "2": False, "3": False}
+
+
+# --- the stored delete --------------------------------------------------------------------------
+@pytest.fixture()
+def store(spark, tmp_path):
+    from tickflow.operators.account_store import AccountStore
+
+    info = spark.createDataFrame([("0", "root", "admin"), ("1", "a", None), ("2", "b", None)], "user_id string, username string, role string")
+    money = spark.createDataFrame([(i, "1", "2", "0", "0") for i in ("0", "1", "2")], "user_id string, usd string, btc string, reserved_usd string, reserved_btc string")
+    s = AccountStore(spark, str(tmp_path / "accounts"))
+    s.replace(info, money)
+    return s
+
+
+def _ids(store):
+    info, balance = store.read()
+    return [sorted(r.user_id for r in t.collect()) for t in (info, balance)]
+
+
+def test_stored_delete(spark, store):
+    req = spark.createDataFrame([("1",), ("0",), ("9",)], "user_id string")
+    outcome = {r.user_id: r.reason for r in store.delete(req).collect()}
+    assert outcome == {"1": "deleted", "0": "admin_protected", "9": "not_found"}
+    assert _ids(store) == [["0", "2"], ["0", "2"]] and store.current() == 2
+    assert [r.user_id for r in store.listing().collect()] == ["2"]
+    again = type(store)(spark, store.root)  # another reader
+    assert _ids(again) == [["0", "2"], ["0", "2"]]
+
+
+def test_failure_between_the_two_writes(spark, store):
+    from pyspark.sql import functions as F
+
+    info, balance = store.read()
+    broken = balance.withColumn("usd", F.raise_error(F.lit("planted failure")).cast("string"))
+    with pytest.raises(Exception, match="planted failure"):
+        store.replace(info.where("user_id <> '1'"), broken)
+    assert store.current() == 1 and _ids(store) == [["0", "1", "2"]] * 2
+    store.delete(spark.createDataFrame([("2",)], "user_id string"))
+    assert _ids(store) == [["0", "1"]] * 2
+
+
+def test_no_accounts_yet(spark, tmp_path):
+    from tickflow.operators.account_store import AccountStore
+
+    with pytest.raises(FileNotFoundError):
+        AccountStore(spark, str(tmp_path / "none")).read()

@@ -13,6 +13,20 @@ FORBIDDEN = {
     r"\bF\.broadcast\(|hint\(\"broadcast": "forced broadcast",
     r"localCheckpoint": "local checkpoint",
 }
+#: Tables pulled to the driver, each of a bounded number of rows, by file.
+PULLED = {
+    "streaming/compact.py": 1,  # names of files of days that got late ones
+    "llm/op10_contamination.py": 1,  # a block of benchmark items
+    "llm/op5_minhash.py": 2,  # a row a byte, a row a slot
+    "llm/op6_language.py": 2,  # a row a language, PROFILE rows a language
+    "llm/op9_templates.py": 1,  # a row a byte
+}
+
+
+def test_bounded_pulls():
+    for path in LIB.rglob("*.py"):
+        n = len(re.findall(r"\.toArrow\(|\.toLocalIterator\(", path.read_text()))
+        assert n <= PULLED.get(str(path.relative_to(LIB)), 0), path
 
 
 def test_library_rules():

@@ -1,0 +1,193 @@
+"""The side output and the decoders part a feed in two; A6, S8 and S9 on streams."""
+
+import json
+import os
+import subprocess
+import sys
+
+import pytest
+from pyspark.sql import functions as F
+
+from tickflow import catalog
+from tickflow import schemas as S
+from tickflow.functions.timecols import iso_text, ms_text
+from tickflow.operators.decode import decode_book, decode_tickers, decode_trades
+from tickflow.operators.messages import bad_messages
+from tickflow.plans.inspect import plan_text
+from tickflow.sources import feeds
+from tickflow.sources.kafka import read_value_files
+from tickflow.sources.serving import read_table
+from tickflow.streaming.counts import BatchCounts, counted
+from tickflow.streaming.fanout import start_feed
+from tickflow.streaming.restart import run_with_restarts
+from tickflow.streaming.sinks import AVAILABLE_NOW, write_parquet_stream, write_table_stream
+from conftest import ROOT, SF_SMALL
+
+TRADE = {"e": "trade", "E": 1, "s": "A", "t": 1, "p": "1.5", "q": "2", "T": 1, "m": True}
+TICKER = {"e": "t", "E": 1, "s": "A", "O": 1, "C": 2, "o": "1", "h": "2", "l": "1", "c": "1", "v": "0", "q": "0"}
+BOOK = {"e": "b", "E": 1, "s": "A", "b": [["1", "2"]], "a": []}
+DECODE = {"trades": decode_trades, "tickers": decode_tickers, "orderbook": decode_book}
+
+CASES = {
+    "trades": [
+        (TRADE, None), (None, "no value"), ("", "blank value"), (" \t\n ", "blank value"), ("junk", "malformed JSON"),
+        ('{"e": "trade", "E": 1, "s": "A", "p": "1"', "malformed JSON"), (TRADE | {"p": "x"}, "price"),
+        (TRADE | {"p": "0", "q": "-1"}, "price, quantity"), (TRADE | {"s": None}, None), (TRADE | {"q": None}, "quantity"),
+        (TRADE | {"p": "NaN"}, None), ("{}", "price, quantity"), ("[]", "malformed JSON"),
+        (TRADE | {"E": "x", "p": None}, "malformed JSON"),
+    ],
+    "tickers": [
+        (TICKER, None), (TICKER | {"s": None}, "symbol"), (TICKER | {"h": "0.5"}, "high below low"),
+        (TICKER | {"o": "0", "v": "-1"}, "open, volume"), (TICKER | {"c": "x"}, "close"), (None, "no value"),
+    ],
+    "orderbook": [
+        (BOOK, None), (BOOK | {"b": []}, "no level"), (BOOK | {"s": None, "b": None, "a": None}, "symbol, no level"),
+        ("{", "malformed JSON"), ("", "blank value"),
+    ],
+}
+
+
+@pytest.mark.parametrize("feed", CASES)
+def test_reasons(spark, feed):
+    text = [m if m is None or isinstance(m, str) else json.dumps(m) for m, _ in CASES[feed]]
+    raw = spark.createDataFrame([(t,) for t in text], "value string")
+    bad = [tuple(r) for r in bad_messages(raw, feed).collect()]
+    assert bad == [(t, reason) for t, (_, reason) in zip(text, CASES[feed], strict=True) if reason]
+    assert DECODE[feed](raw).count() + len(bad) == len(text)
+    assert plan_text(bad_messages(raw, feed), "simple").count("from_json(") == 1
+
+
+def test_binary_values(spark):
+    raw = spark.createDataFrame([(b"x",), (None,)], "value binary")
+    assert [r.reason for r in bad_messages(raw, "trades").collect()] == ["malformed JSON", "no value"]
+
+
+def test_counts_of_a_chained_run(spark, tmp_path):
+    counts = BatchCounts()
+    spark.streams.addListener(counts)
+    try:
+        raw = feeds.damaged_trade_feed(catalog._event_batches(spark, SF_SMALL, 4))
+        qs = start_feed(raw, "trades", str(tmp_path / "out"), str(tmp_path / "cp"), AVAILABLE_NOW)
+        for q in qs:
+            q.awaitTermination()
+        counts.wait(*qs)
+    finally:
+        spark.streams.removeListener(counts)
+    rows = counts.rows()
+    history = [r for r in rows if r.output == "trades_history"]
+    messages = [r for r in rows if r.output == "trades_messages"]
+    assert [r.batch_id for r in history] == [0, 1, 2, 3] == [r.batch_id for r in messages]
+    assert all(h.rows_in == m.rows_in == h.rows_out + m.rows_out for h, m in zip(history, messages, strict=True))
+    stored = read_table(spark, str(tmp_path / "out/history/trades"), S.TRADES).count()
+    assert sum(r.rows_out for r in history) == stored > 0
+    assert counts.dataframe(spark).count() == len(rows)
+
+
+def test_an_empty_batch_isn_t_listed(spark, tmp_path):
+    counts = BatchCounts()
+    os.mkdir(tmp_path / "feed")
+    spark.streams.addListener(counts)
+    try:
+        clean = counted(decode_trades(read_value_files(spark, str(tmp_path / "feed"))), "empty")
+        q = write_parquet_stream(clean, str(tmp_path / "out"), str(tmp_path / "cp"), trigger=AVAILABLE_NOW)
+        q.awaitTermination()
+        counts.wait(q)
+    finally:
+        spark.streams.removeListener(counts)
+    assert counts.rows() == []
+
+
+def test_restarts(spark, tmp_path):
+    """Each failure is met: in the midst of a batch, and between a batch's write and its commit."""
+    want = sorted(map(str, catalog.trades(spark, SF_SMALL).collect()))
+    source = catalog._event_batches(spark, SF_SMALL)
+
+    def files(attempt):
+        clean = catalog._failing(decode_trades(feeds.trade_feed(source)), attempt)
+        return write_parquet_stream(clean, str(tmp_path / "f"), str(tmp_path / "fc"), S.TRADES_PARTITIONS, AVAILABLE_NOW)
+
+    _, again = run_with_restarts(files)
+    assert again == 1
+    assert sorted(map(str, read_table(spark, str(tmp_path / "f"), S.TRADES).collect())) == want
+    seen = []
+
+    def rows(attempt):
+        def told(batch_id, n):
+            seen.append((attempt, batch_id))
+            if attempt < 2 and batch_id == 2:
+                raise RuntimeError("planted failure")
+
+        clean = decode_trades(feeds.trade_feed(source))
+        return write_table_stream(clean, str(tmp_path / "t"), str(tmp_path / "tc"), trigger=AVAILABLE_NOW, on_batch=told)
+
+    _, again = run_with_restarts(rows)
+    assert again == 2 and [a for a, b in seen if b == 2] == [0, 1, 2] and [a for a, b in seen if b == 1] == [0]
+    assert sorted(map(str, read_table(spark, str(tmp_path / "t"), S.TRADES).collect())) == want
+
+
+def test_restarts_end(spark, tmp_path):
+    clean = catalog._failing(decode_trades(feeds.trade_feed(catalog._event_stream(spark, SF_SMALL))), 0)
+    start = lambda _: write_parquet_stream(clean, str(tmp_path / "o"), str(tmp_path / "c"), trigger=AVAILABLE_NOW)
+    with pytest.raises(Exception, match="planted failure"):
+        run_with_restarts(start, restarts=1)
+
+
+def test_backlog_is_drained_in_bounded_batches(spark, tmp_path):
+    feed = str(tmp_path / "feed")
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet").repartition(8)
+    feeds.trade_feed(events).select(F.col("value").cast("string")).write.text(feed)
+    sizes = [os.path.getsize(os.path.join(feed, f)) for f in os.listdir(feed) if f.endswith(".txt")]
+    raw = read_value_files(spark, feed, max_bytes_per_trigger=2 * max(sizes) + 1)
+    q = write_parquet_stream(
+        decode_trades(raw), str(tmp_path / "out"), str(tmp_path / "cp"), S.TRADES_PARTITIONS, {"availableNow": True}
+    )
+    q.awaitTermination()
+    batches = [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
+    assert len(batches) >= 4 and max(batches) <= 0.3 * sum(batches)
+    got = read_table(spark, str(tmp_path / "out"), S.TRADES)
+    assert sorted(map(str, got.collect())) == sorted(map(str, catalog.trades(spark, SF_SMALL).collect()))
+    with pytest.raises(ValueError):
+        read_value_files(spark, feed, max_files_per_trigger=1, max_bytes_per_trigger=1)
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kathmandu", "UTC"])
+def test_text_times_are_utc_in_any_session(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        ms = [1_700_000_000_123, 0, None, -1, 1_709_164_800_000, 951_782_399_999]
+        df = spark.createDataFrame([(m,) for m in ms], "ms long")
+        rows = df.select(ms_text("ms"), iso_text(F.timestamp_millis("ms"))).collect()
+        assert [tuple(r) for r in rows] == [
+            ("2023-11-14 22:13:20.123", "2023-11-14T22:13:20.123000"), (None, "1970-01-01T00:00:00"), (None, None),
+            ("1969-12-31 23:59:59.999", "1969-12-31T23:59:59.999000"), ("2024-02-29 00:00:00.000", "2024-02-29T00:00:00"),
+            ("2000-02-28 23:59:59.999", "2000-02-28T23:59:59.999000"),
+        ]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+CONSOLE = """
+import sys, tempfile
+from tickflow.plans.session import build_session
+from tickflow.sources.kafka import read_value_files
+from tickflow.operators.decode import decode_trades
+from tickflow.streaming.sinks import write_console_stream
+spark = build_session("local[2]", shuffle_partitions=2)
+clean = decode_trades(read_value_files(spark, sys.argv[1]))
+q = write_console_stream(clean, tempfile.mkdtemp(), ["Symbol", "Price", "Side"], "available_now")
+q.awaitTermination()
+"""
+
+
+def test_console_prints_its_columns(tmp_path):
+    """S3: the rows as they appear, untruncated; a session of its own, whose output can be read."""
+    os.mkdir(tmp_path / "feed")
+    long = "SYMBOL" * 8
+    (tmp_path / "feed/a").write_text("\n".join(json.dumps(TRADE | {"s": s, "p": p}) for s, p in ((long, "1.5"), ("B", "2"))))
+    run = subprocess.run(
+        [sys.executable, "-c", CONSOLE, str(tmp_path / "feed")], capture_output=True, text=True, timeout=120, cwd=ROOT, check=True
+    )
+    rows = [[c.strip() for c in line.strip("|").split("|")] for line in run.stdout.splitlines() if line.startswith("|")]
+    assert rows == [["Symbol", "Price", "Side"], [long, "1.5", "SELL"], ["B", "2.0", "SELL"]]
+    assert "Batch: 0" in run.stdout

@@ -1,6 +1,7 @@
 """Candles, stats, latest trades / book, time text: FIXTURES.md §2 edge cases."""
 
 import datetime as dt
+import re
 import json
 
 import pytest
@@ -144,6 +145,12 @@ def test_candles_stay_in_hash_aggregate(trades):
     assert "HashAggregate" in text and "SortAggregate" not in text
 
 
-def test_latest_trades_limit_before_shuffle(trades):
-    text = plan_text(latest_trades(trades(msg(1, BASE_MS, 1)), 10), "simple")
-    assert "WindowGroupLimit" in text and "Partial" in text
+def test_latest_trades_limit_before_shuffle(spark):
+    """A symbol's earlier days are dropped by a join before its rows are dealt to a rank, at every n."""
+    from conftest import SF_SMALL
+    from tickflow import catalog
+
+    for n in (10, 5000):
+        text = plan_text(latest_trades(catalog.trades(spark, SF_SMALL), n), "simple")
+        slots = re.search(r"Exchange hashpartitioning\(\w+#\d+, slot#", text)
+        assert slots and "first_day" in text[slots.end() :] and "Join" in text[slots.end() :]

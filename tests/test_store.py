@@ -120,3 +120,18 @@ def test_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_files_are_sorted(spark, tmp_path):
+    """The order within files holds beside the order of folders that a partitioned write makes."""
+    from conftest import SF_SMALL
+    from tickflow import catalog
+    from tickflow.streaming.sinks import table_batch_writer
+
+    t = catalog.trades(spark, SF_SMALL).repartition(3)
+    write_history(t, str(tmp_path / "h"), S.DAY_PARTITIONS, ("Symbol", "TradeTime"))
+    table_batch_writer(str(tmp_path / "t"), S.DAY_PARTITIONS, ("Symbol", "TradeTime"))(t, 7)
+    for name in ("h", "t"):
+        for file in spark.read.parquet(str(tmp_path / name)).inputFiles()[:5]:
+            rows = [tuple(r) for r in spark.read.parquet(file).select("Symbol", "TradeTime").collect()]
+            assert len(rows) > 3 and rows == sorted(rows)

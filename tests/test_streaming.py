@@ -245,7 +245,7 @@ def test_chained_feed_exactly_once_without_batch_folders(spark):
     qs = start_feed(raw, "trades", root + "/out", root + "/cp", trigger="available_now")
     for q in qs:
         q.awaitTermination()
-    assert len(qs) == 3
+    assert len(qs) == 5  # history, serving table, rejects, symbols, bad messages
     hist = root + "/out/history/trades"
     assert "_spark_metadata" in os.listdir(hist)
     for _, dirs, _ in os.walk(hist):

@@ -24,16 +24,24 @@ from tickflow.operators.accounts import (
     list_accounts,
     lookup_accounts,
 )
+from tickflow.operators.account_store import AccountStore
 from tickflow.operators.candles import candles, latest_candles
 from tickflow.operators.decode import decode_book, decode_tickers, decode_trades
 from tickflow.operators.filters import latest_time, select_symbols
 from tickflow.operators.latest import book_levels, latest_book, latest_trades, requested_book
+from tickflow.operators.messages import bad_messages
 from tickflow.operators.stats import available_symbols, requested_stats, trade_stats
 from tickflow.plans import contracts
 from tickflow.plans.session import scratch_path, use_utc
 from tickflow.sources import feeds
+from tickflow.sources.files import Folder
+from tickflow.sources.kafka import read_value_files
 from tickflow.sources.serving import read_table
+from tickflow.streaming.compact import compact_days, read_compacted
+from tickflow.streaming.counts import BatchCounts
 from tickflow.streaming.fanout import start_fanout, start_feed
+from tickflow.streaming.registry import registry_path
+from tickflow.streaming.restart import run_with_restarts
 from tickflow.streaming.sinks import (
     AVAILABLE_NOW,
     BATCH_COL,
@@ -205,17 +213,25 @@ def q_tickers_serving_contract(spark, sf_dir):
     return contracts.conform(tickers(spark, sf_dir), contracts.TICKERS)
 
 
-def _event_stream(spark, sf_dir):
-    """The ``events`` table as a file stream (one parquet file -> one micro-batch)."""
-    src = os.path.join(sf_dir, "events.parquet")
-    schema = table(spark, sf_dir, "events").schema
-    if os.path.isdir(src):
+def _stream(spark, sf_dir, name: str) -> DataFrame:
+    """A table as a file stream (one parquet file -> one micro-batch)."""
+    src = os.path.join(sf_dir, f"{name}.parquet")
+    schema = table(spark, sf_dir, name).schema
+    if Folder(spark, src).names("*.parquet"):
         return spark.readStream.schema(schema).parquet(src)
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _event_stream(spark, sf_dir):
+    return _stream(spark, sf_dir, "events")
+
+
+def _event_batches(spark, sf_dir, files: int = 6):
+    """The ``events`` table in the order of time as a stream of several micro-batches."""
+    out = scratch_path(spark, "event-files")
+    events = table(spark, sf_dir, "events")
+    events.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(out)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(out)
 
 
 def q_stream_parquet(spark, sf_dir):
@@ -291,14 +307,55 @@ def q_stream_plus_backfill(spark, sf_dir):
 
 
 def _served(spark, sf_dir) -> Market:
-    """The served questions over a history in the day layout."""
+    """The served questions over a history in the day layout, with its registry."""
     out = scratch_path(spark, "served")
     write_history(
-        trades(spark, sf_dir), os.path.join(out, "trades"), S.DAY_PARTITIONS, ("Symbol", "TradeTime")
-    )
+        trades(spark, sf_dir), os.path.join(out, "trades"), S.DAY_PARTITIONS, ("Symbol", "TradeTime"),
+        registry=registry_path(out, "trades"),
+    )
     return Market(spark, out)
 
 
+def q_latest_trades_2000(spark, sf_dir):
+    """T1 beyond the number up to which Spark itself cuts before a shuffle."""
+    return latest_trades(trades(spark, sf_dir), n=2000)
+
+
+def q_latest_trades_1500(spark, sf_dir):
+    """As before, with a number that is less than every symbol's trades at sf0.01."""
+    return latest_trades(trades(spark, sf_dir), n=1500)
+
+
+def q_served_latest_trades(spark, sf_dir):
+    """T1 over the store, from the newest days alone."""
+    return _served(spark, sf_dir).realtime()
+
+
+def q_served_latest_book(spark, sf_dir):
+    """T2 over a store by day: the newest book of every symbol from the newest days alone."""
+    out = scratch_path(spark, "served-book")
+    write_history(
+        book(spark, sf_dir), os.path.join(out, "orderbook"), S.DAY_PARTITIONS, ("symbol", "event_time"),
+        registry=registry_path(out, "orderbook"), symbol_col="symbol",
+    )
+    return book_levels(Market(spark, out).orderbook())
+
+
+def q_served_symbols(spark, sf_dir):
+    """A5 from the registry, after a stream and a backfill that was run twice."""
+    root = scratch_path(spark, "symbols")
+    streamed, filled = os.path.join(root, "stream"), os.path.join(root, "backfill")
+    raw = feeds.trade_feed(_event_stream(spark, sf_dir))
+    for q in start_feed(raw, "trades", streamed, root + "-checkpoint", trigger=AVAILABLE_NOW):
+        q.awaitTermination()
+    early = trades(spark, sf_dir).where("Day <= 15")
+    for _ in range(2):
+        write_history(early, os.path.join(filled, "trades"), S.DAY_PARTITIONS, registry=registry_path(filled, "trades"))
+    market = Market(spark, [os.path.join(streamed, "history"), filled])
+    rows = market.registry().groupBy("symbol").agg(F.sum("rows").alias("trades"))
+    return market.symbols().join(rows, "symbol")
+
+
 def q_served_stats_24h(spark, sf_dir):
     m = _served(spark, sf_dir)
     return m.stats(as_of=latest_time(m.trades(), "TradeTime"))
@@ -366,6 +423,161 @@ def q_accounts_admin(spark, sf_dir):
     return roles.withColumn("is_admin", is_admin())
 
 
+def q_stream_compacted(spark, sf_dir):
+    """A store of many small files, streamed in several batches, with its closed days rewritten and handed over; the
+    last day stays in the first root."""
+    root = scratch_path(spark, "compacted")
+    streamed, target = os.path.join(root, "stream"), os.path.join(root, "closed")
+    clean = decode_trades(feeds.trade_feed(_event_batches(spark, sf_dir)))
+    write_parquet_stream(
+        clean, streamed, root + "-checkpoint", S.TRADES_PARTITIONS, trigger=AVAILABLE_NOW
+    ).awaitTermination()
+    last = read_table(spark, streamed, S.TRADES).agg(F.max(F.make_date("Year", "Month", "Day"))).first()[0]
+    if last is not None:
+        compact_days(spark, streamed, target, S.TRADES, before=last)
+    return read_compacted(spark, streamed, target, S.TRADES)
+
+
+def _damaged_run(spark, sf_dir):
+    """The chained wiring over the damaged feed, in several batches, and the counts of its batches."""
+    root = scratch_path(spark, "damaged")
+    counts = BatchCounts()
+    spark.streams.addListener(counts)
+    try:
+        raw = feeds.damaged_trade_feed(_event_batches(spark, sf_dir))
+        qs = start_feed(raw, "trades", root, root + "-checkpoint", trigger=AVAILABLE_NOW)
+        for q in qs:
+            q.awaitTermination()
+        counts.wait(*qs)
+    finally:
+        spark.streams.removeListener(counts)
+    return root, counts
+
+
+def q_stream_bad_messages(spark, sf_dir):
+    """the messages that the decoder drops, by reason, from the stream's side output."""
+    root, _ = _damaged_run(spark, sf_dir)
+    bad = spark.read.parquet(os.path.join(root, "rejects", "trades_messages"))
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("messages"))
+
+
+def q_stream_damaged_feed(spark, sf_dir):
+    """the trades of a feed with damaged messages; the good ones are what they were."""
+    root, _ = _damaged_run(spark, sf_dir)
+    return read_table(spark, os.path.join(root, "history", "trades"), S.TRADES)
+
+
+def q_stream_batch_counts(spark, sf_dir):
+    """Rows in and out of every output of the default wiring, summed over its batches."""
+    _, counts = _damaged_run(spark, sf_dir)
+    rows = counts.dataframe(spark).groupBy("output")
+    return rows.agg(F.sum("rows_in").alias("rows_in"), F.sum("rows_out").alias("rows_out"))
+
+
+def q_bad_tickers(spark, sf_dir):
+    """tickers whose high is below their low, and why any other is dropped."""
+    bad = bad_messages(feeds.ticker_feed(table(spark, sf_dir, "lineitem")), "tickers")
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("messages"))
+
+
+def _emptied_books(spark, sf_dir):
+    """Books of finished orders have no level."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    return feeds.book_feed_at_rest(orders, lines, F.col("o_orderstatus") == "F")
+
+
+def q_book_rules(spark, sf_dir):
+    """books without a level on either side are dropped."""
+    return book_levels(decode_book(_emptied_books(spark, sf_dir)))
+
+
+def q_bad_books(spark, sf_dir):
+    """the books dropped, by reason."""
+    bad = bad_messages(_emptied_books(spark, sf_dir), "orderbook")
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("messages"))
+
+
+def q_stream_orderbook(spark, sf_dir):
+    """Orders as a stream, their lines at rest, joined to books and sent through the default wiring in the day
+    layout; the serving table is read back as levels."""
+    root = scratch_path(spark, "stream-book")
+    raw = feeds.book_feed_at_rest(_stream(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+    for q in start_feed(
+        raw, "orderbook", root, root + "-checkpoint", AVAILABLE_NOW, history_partitions=S.DAY_PARTITIONS
+    ):
+        q.awaitTermination()
+    return book_levels(spark.read.schema(S.ORDERBOOK).parquet(os.path.join(root, "serving", "orderbook")))
+
+
+def q_stream_tickers(spark, sf_dir):
+    """The ticker stream through the default wiring in the day layout; the serving table is read back."""
+    root = scratch_path(spark, "stream-tickers")
+    raw = feeds.ticker_feed(_stream(spark, sf_dir, "lineitem"))
+    for q in start_feed(raw, "tickers", root, root + "-checkpoint", AVAILABLE_NOW, history_partitions=S.DAY_PARTITIONS):
+        q.awaitTermination()
+    return spark.read.schema(contracts.TICKERS.schema).parquet(os.path.join(root, "serving", "tickers"))
+
+
+def _failing(clean: DataFrame, attempt: int) -> DataFrame:
+    """Fails on the first attempt at the first batch that has a trade of the month's second half."""
+    if attempt:
+        return clean
+    planted = F.col("Day") > 15
+    checked = F.when(planted, F.raise_error(F.lit("planted failure")).cast("double")).otherwise(F.col("Price"))
+    return clean.withColumn("Price", checked)
+
+
+def q_stream_restart_files(spark, sf_dir):
+    """A file sink's stream that fails in the midst of a later batch and is started again on its checkpoint."""
+    root = scratch_path(spark, "restart-files")
+    source = _event_batches(spark, sf_dir)
+
+    def start(attempt):
+        clean = _failing(decode_trades(feeds.trade_feed(source)), attempt)
+        return write_parquet_stream(clean, root, root + "-checkpoint", S.TRADES_PARTITIONS, AVAILABLE_NOW)
+
+    run_with_restarts(start)
+    return read_table(spark, root, contract=S.TRADES)
+
+
+def q_stream_restart_table(spark, sf_dir):
+    """The table sink's stream, which fails after it wrote a batch and before the batch was committed."""
+    root = scratch_path(spark, "restart-table")
+    clean = decode_trades(feeds.trade_feed(_event_batches(spark, sf_dir)))
+
+    def start(attempt):
+        def told(batch_id, _):
+            if not attempt and batch_id == 2:
+                raise RuntimeError("planted failure")
+
+        return write_table_stream(clean, root, root + "-checkpoint", trigger=AVAILABLE_NOW, on_batch=told)
+
+    run_with_restarts(start)
+    return read_table(spark, root, contract=S.TRADES)
+
+
+def q_stream_admission(spark, sf_dir):
+    """A backlog of files drained in batches of bounded bytes under one start."""
+    root = scratch_path(spark, "admission")
+    feed, out = os.path.join(root, "feed"), os.path.join(root, "trades")
+    events = table(spark, sf_dir, "events")
+    messages = feeds.trade_feed(events.repartitionByRange(8, "ts")).select(F.col("value").cast("string"))
+    messages.write.text(feed)
+    raw = read_value_files(spark, feed, max_bytes_per_trigger=1)  # less than a file: one file a batch
+    clean = decode_trades(raw)
+    write_parquet_stream(clean, out, root + "-checkpoint", S.TRADES_PARTITIONS, AVAILABLE_NOW).awaitTermination()
+    return read_table(spark, out, contract=S.TRADES)
+
+
+def q_accounts_stored_delete(spark, sf_dir):
+    """The listing after a bulk delete that is stored as a new version of both tables."""
+    c, info, bal = _accounts(spark, sf_dir)
+    store = AccountStore(spark, scratch_path(spark, "accounts"))
+    store.replace(info, bal)
+    store.delete(feeds.delete_requests(c))
+    return store.listing()
+
+
 QUERIES: dict[str, Query] = {
     "trades_decode": q_trades_decode,
     "trades_side_notional": q_trades_side_notional,
@@ -405,4 +617,22 @@ QUERIES: dict[str, Query] = {
     "serving_rejects": q_serving_rejects,
     "account_delete_repeats": q_account_delete_repeats,
     "accounts_admin": q_accounts_admin,
+    "latest_trades_2000": q_latest_trades_2000,
+    "latest_trades_1500": q_latest_trades_1500,
+    "served_latest_trades": q_served_latest_trades,
+    "served_latest_book": q_served_latest_book,
+    "served_symbols": q_served_symbols,
+    "stream_compacted": q_stream_compacted,
+    "stream_bad_messages": q_stream_bad_messages,
+    "stream_damaged_feed": q_stream_damaged_feed,
+    "stream_batch_counts": q_stream_batch_counts,
+    "bad_tickers": q_bad_tickers,
+    "book_rules": q_book_rules,
+    "bad_books": q_bad_books,
+    "stream_orderbook": q_stream_orderbook,
+    "stream_tickers": q_stream_tickers,
+    "stream_restart_files": q_stream_restart_files,
+    "stream_restart_table": q_stream_restart_table,
+    "stream_admission": q_stream_admission,
+    "accounts_stored_delete": q_accounts_stored_delete,
 }

@@ -1,7 +1,6 @@
 """Time helpers: epoch-ms <-> timestamp, calendar columns, candle buckets, text forms.
 
-Calendar columns and bucket starts are UTC, computed on epoch microseconds, and don't depend on the
-session's time zone; text forms print in it (see ``tickflow.plans.session``).
+All of them are UTC, computed on epoch microseconds, and don't depend on the session's time zone.
 """
 
 from __future__ import annotations
@@ -67,17 +66,30 @@ def bucket_start(ts, interval: str) -> Column:
     return F.timestamp_micros(us - F.pmod(us, width))
 
 
+def _padded(n: Column, width: int) -> Column:
+    return F.lpad(n.cast("long").cast("string"), width, "0")
+
+
+def _clock(us: Column, between: str) -> Column:
+    """The UTC date and time of day of epoch microseconds, whole seconds."""
+    second = F.floor(F.pmod(us, F.lit(DAY)) / F.lit(1_000_000))
+    parts = [F.floor(second / 3600), F.pmod(F.floor(second / 60), F.lit(60)), F.pmod(second, F.lit(60))]
+    time = F.concat_ws(":", *[_padded(p, 2) for p in parts])
+    return F.concat(utc_day(us).cast("string"), F.lit(between), time)
+
+
 def iso_text(ts) -> Column:
     """ISO-8601 text as Python's ``datetime.isoformat()`` prints a naive UTC time:
     no fraction when the sub-second part is zero, else six fraction digits."""
-    t = _col(ts)
-    micros = F.pmod(F.unix_micros(t), F.lit(1_000_000))
-    base = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
-    frac = F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))
-    return F.when(micros == 0, base).otherwise(F.concat(base, frac))
+    us = F.unix_micros(_col(ts))
+    micros = F.pmod(us, F.lit(1_000_000))
+    base = _clock(us, "T")
+    return F.when(micros == 0, base).otherwise(F.concat(base, F.lit("."), _padded(micros, 6)))
 
 
 def ms_text(ms) -> Column:
     """Epoch ms -> 'yyyy-MM-dd HH:mm:ss.SSS'; NULL and 0 (falsy) give NULL."""
     m = _col(ms)
-    return F.when(m != 0, F.date_format(ms_to_ts(m), "yyyy-MM-dd HH:mm:ss.SSS"))
+    us = F.unix_micros(ms_to_ts(m))
+    millis = F.floor(F.pmod(us, F.lit(1_000_000)) / 1000)
+    return F.when(m != 0, F.concat(_clock(us, " "), F.lit("."), _padded(millis, 3)))

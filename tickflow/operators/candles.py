@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickflow.functions.numeric import round_by_quote
 from tickflow.functions.ordering import time_id_key
 from tickflow.functions.timecols import bucket_start
 from tickflow.operators.filters import select_symbols, since
+from tickflow.operators.ranking import newest
 
 PRICE_COLUMNS = ("open", "high", "low", "close", "volume")
 
@@ -71,8 +72,6 @@ def latest_candles(
     rounded: bool = True,
 ) -> DataFrame:
     """Price history as served: last ``lookback_hours`` before ``as_of``, newest ``limit``
-    candles per symbol (T3).  The per-symbol limit runs on the aggregated candles, which are
-    small; Spark plans it as a WindowGroupLimit."""
+    candles per symbol (T3).  The per-symbol limit runs on the aggregated candles."""
     c = candles(trades, interval, as_of, lookback_hours, symbols, rounded)
-    w = Window.partitionBy("symbol").orderBy(F.col("timestamp").desc())
-    return c.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).drop("rn")
+    return newest(c, "symbol", "timestamp", limit, rank="rn", days=False).drop("rn")

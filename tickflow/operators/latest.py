@@ -1,21 +1,20 @@
 """Latest-N trades (T1), latest book snapshot with top levels and spread (T2, D11-D13), and the
 flat level view of a book.
 
-Both "latest" operators are ``row_number() <= n`` per symbol.  Spark plans them with a partial
-WindowGroupLimit before the shuffle, so each map task forwards at most ``n`` rows per symbol: a
-symbol with a third of all rows costs a local sort, not a third of the table through one
-reducer.
+Both "latest" operators cut a symbol's rows by days and hash slots before they rank them
+(``operators.ranking``), with one plan for every ``n``: no symbol's history meets one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickflow.functions.book import DEFAULT_DEPTH, spread, zip_levels
 from tickflow.operators.filters import select_symbols, since
+from tickflow.operators.ranking import newest
 
 NO_BOOK = "No orderbook data"
 
@@ -24,18 +23,17 @@ def latest_trades(
     trades: DataFrame, n: int = 10, symbols: Iterable[str] | None = None
 ) -> DataFrame:
     """Newest ``n`` trades per symbol; equal times are ordered by TradeID (newest first)."""
-    df = select_symbols(trades, symbols).where(F.col("Symbol").isNotNull())
-    w = Window.partitionBy("Symbol").orderBy(F.col("TradeTime").desc(), F.col("TradeID").desc())
-    ranked = df.select(
+    df = select_symbols(trades, symbols)
+    ranked = newest(df, "Symbol", "TradeTime", n, ("TradeID",))
+    return ranked.select(
         F.col("Symbol").alias("symbol"),
-        F.row_number().over(w).alias("rank"),
+        "rank",
         F.col("TradeTime").alias("time"),
         F.col("Price").alias("price"),
         F.col("Quantity").alias("quantity"),
         F.col("Side").alias("side"),
         F.col("TradeValue").alias("value"),
     )
-    return ranked.where(F.col("rank") <= n)
 
 
 def latest_book(
@@ -52,16 +50,11 @@ def latest_book(
     only snapshots in ``[as_of - lookback, ...)`` are considered, which on the day-partitioned
     store prunes the scan to the last days; a symbol without a snapshot in that window is absent.
     """
-    df = select_symbols(book, symbols, col="symbol").where(F.col("symbol").isNotNull())
+    df = select_symbols(book, symbols, col="symbol")
     if lookback_hours is not None:
         df = since(df, "event_time", as_of, lookback_hours)
     # Ties on event_time are broken by content so that the pick is repeatable.
-    w = Window.partitionBy("symbol").orderBy(
-        F.col("event_time").desc(),
-        F.col("ask_prices").desc(),
-        F.col("bid_prices").desc(),
-    )
-    top = df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1)
+    top = newest(df, "symbol", "event_time", 1, ("ask_prices", "bid_prices"))
     sides = top.select(
         "symbol",
         "event_time",

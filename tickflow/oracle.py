@@ -292,3 +292,55 @@ SQL["accounts_admin"] = (
     + """SELECT user_id, coalesce(role, 'user') AS role,
        (user_id = '0' OR coalesce(role = 'admin', false)) AS is_admin FROM info"""
 )
+SQL["latest_trades_2000"] = SQL["latest_trades"].replace("rank <= 10", "rank <= 2000")
+SQL["latest_trades_1500"] = SQL["latest_trades"].replace("rank <= 10", "rank <= 1500")
+SQL["served_latest_trades"] = SQL["latest_trades"]
+SQL["served_latest_book"] = SQL["latest_book"]
+SQL["served_symbols"] = (
+    _with(TRADES)
+    + """SELECT Symbol AS symbol, CAST(count(*) + count(*) FILTER (WHERE Day <= 15) AS BIGINT) AS trades
+FROM trades WHERE Symbol IS NOT NULL GROUP BY 1"""
+)
+for _name in ("stream_compacted", "stream_restart_files", "stream_restart_table", "stream_admission"):
+    SQL[_name] = SQL["trades_decode"]
+# The damaged feed: messages below a price of 10 are bad, by price; of the others those without a quantity.
+_QUANTITY = "coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0)"
+_DAMAGE = f"""
+damaged AS (
+  SELECT CASE WHEN value < 2 THEN 'no value' WHEN value < 4 THEN 'blank value'
+              WHEN value < 8 THEN 'malformed JSON'
+              ELSE concat_ws(', ', CASE WHEN value < 10 THEN 'price' END,
+                                   CASE WHEN {_QUANTITY} <= 0 THEN 'quantity' END) END AS reason
+  FROM events
+)"""
+SQL["stream_bad_messages"] = (
+    _with(_DAMAGE) + "SELECT reason, count(*) AS messages FROM damaged WHERE reason <> '' GROUP BY 1"
+)
+SQL["stream_damaged_feed"] = _with(TRADES) + "SELECT * FROM trades WHERE Price >= 10"
+SQL["stream_batch_counts"] = (
+    _with(TRADES, _DAMAGE)
+    + """, good AS (SELECT * FROM trades WHERE Price >= 10),
+n AS (SELECT (SELECT count(*) FROM events) AS messages, (SELECT count(*) FROM good) AS trades,
+             (SELECT count(*) FROM good WHERE Symbol IS NOT NULL) AS served,
+             (SELECT count(*) FROM damaged WHERE reason <> '') AS bad)
+SELECT * FROM (
+  SELECT 'trades_history' AS output, messages AS rows_in, trades AS rows_out FROM n
+  UNION ALL SELECT 'trades_serving', trades, served FROM n
+  UNION ALL SELECT 'trades_rejects', trades, trades - served FROM n
+  UNION ALL SELECT 'trades_messages', messages, bad FROM n) o
+WHERE rows_in > 0"""
+)
+SQL["bad_tickers"] = """
+SELECT concat_ws(', ', CASE WHEN NOT coalesce(open > 0, false) THEN 'open' END,
+         CASE WHEN NOT coalesce(open > 0, false) THEN 'close' END,
+         CASE WHEN NOT coalesce(l_quantity >= 0, false) THEN 'volume' END,
+         CASE WHEN NOT coalesce(open * (1 + l_tax - 0.02) >= open * (1 - l_discount), false)
+              THEN 'high below low' END) AS reason, count(*) AS messages
+FROM (SELECT l_extendedprice AS open, * FROM lineitem) r GROUP BY 1 HAVING reason <> ''"""
+SQL["book_rules"] = _with(BOOK.replace("WHERE l_returnflag", "WHERE o_orderstatus <> 'F' AND l_returnflag")) + "SELECT * FROM book"
+SQL["bad_books"] = """
+SELECT 'no level' AS reason, count(*) AS messages FROM orders
+WHERE o_orderstatus = 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem) HAVING count(*) > 0"""
+SQL["stream_orderbook"] = SQL["book_levels"]
+SQL["stream_tickers"] = SQL["tickers_serving_contract"]
+SQL["accounts_stored_delete"] = SQL["accounts_bulk_delete"]

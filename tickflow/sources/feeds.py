@@ -102,6 +102,44 @@ def _levels(cond: Column) -> Column:
     return F.transform(ordered, lambda x: F.array(_text(x["p"]), _text(x["q"])))
 
 
+def damaged_trade_feed(events: DataFrame) -> DataFrame:
+    """The trade feed in which messages are damaged by their price: below 2 there is no value, below 4 a blank one,
+    below 6 the end is cut off, below 8 the text is no JSON, and below 10 the price is no number."""
+    text = F.col("value").cast("string")
+    price = F.get_json_object(text, "$.p").try_cast("double")
+    damaged = (
+        F.when(price < 2, F.lit(None).cast("string"))
+        .when(price < 4, F.lit("  "))
+        .when(price < 6, F.substring(text, F.lit(1), F.length(text) - 10))
+        .when(price < 8, F.lit("no JSON"))
+        .when(price < 10, F.regexp_replace(text, '"p":"[^"]*"', '"p":"n/a"'))
+        .otherwise(text)
+    )
+    return trade_feed(events).select(damaged.alias("value"))
+
+
+def book_feed_at_rest(orders: DataFrame, lineitem: DataFrame, emptied: Column | None = None) -> DataFrame:
+    """The book feed of a stream of orders, whose lines are at rest: the lines' levels are gathered by order first
+    (groups of one order's lines), so the stream only joins.  Orders that fulfil ``emptied`` get books without a level."""
+    levels = lineitem.groupBy(F.col("l_orderkey")).agg(
+        _levels(F.col("l_returnflag").isin("A", "R")).alias("b"),
+        _levels(F.col("l_returnflag") == "N").alias("a"),
+    )
+    snap = orders.join(levels, F.col("o_orderkey") == F.col("l_orderkey"))
+    no_level = F.array().cast("array<array<string>>")
+    side = lambda c: F.col(c) if emptied is None else F.when(emptied, no_level).otherwise(F.col(c))
+    return publish_json(
+        snap,
+        {
+            "e": F.lit("depthUpdate"),
+            "E": ts_to_ms("o_orderdate") + F.col("o_orderkey"),
+            "s": F.col("o_orderpriority"),
+            "b": side("b"),
+            "a": side("a"),
+        },
+    )
+
+
 def book_feed(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Join on the order key, then one snapshot per order.  The grouping key contains the join
     key, so the aggregate reuses the join's hash partitioning (no second shuffle); groups are

@@ -28,11 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tickflow.operators.messages import bad_messages
+from tickflow.streaming.counts import counted
+from tickflow.streaming.registry import registry_path
 from tickflow.streaming.sinks import (
     table_batch_writer,
     trigger_options,
     write_console_stream,
     write_parquet_stream,
+    write_registry_stream,
     write_table_stream,
     writer_of,
 )
@@ -174,32 +178,56 @@ def start_chained(
     partition_cols: Sequence[str],
     contract,
     trigger=None,
+    raw: DataFrame | None = None,
 ) -> list[StreamingQuery]:
-    """History (exactly-once file sink, hive layout) -> serving table (contract) and rejects."""
+    """History (exactly-once file sink, hive layout) -> serving table (contract), rejects and the
+    registry of symbols; with the ``raw`` feed, also the messages that the decoder drops.  Every output's rows are
+    counted by batch under its name (``counts.BatchCounts``)."""
     from tickflow.plans.contracts import conform, rejects
 
     hist = os.path.join(out_root, "history", name)
     q1 = write_parquet_stream(
-        clean, hist, os.path.join(checkpoint_root, f"{name}_history"), partition_cols, trigger
+        counted(clean, f"{name}_history"),
+        hist,
+        os.path.join(checkpoint_root, f"{name}_history"),
+        partition_cols,
+        trigger,
     )
+    more = []
+    if raw is not None:
+        more.append(
+            write_parquet_stream(
+                counted(bad_messages(raw, name), f"{name}_messages"),
+                os.path.join(out_root, "rejects", f"{name}_messages"),
+                os.path.join(checkpoint_root, f"{name}_messages"),
+                trigger=trigger,
+            )
+        )
     if trigger_options(trigger).get("availableNow") or trigger_options(trigger).get("once"):
         q1.awaitTermination()  # a backfill: the next stages see everything it wrote
     else:
         _wait_until_running(q1)
     committed = spark.readStream.schema(_file_order(clean.schema, partition_cols)).parquet(hist)
     q2 = write_parquet_stream(
-        conform(committed, contract, sort=False),
+        counted(conform(committed, contract, sort=False), f"{name}_serving"),
         os.path.join(out_root, "serving", name),
         os.path.join(checkpoint_root, f"{name}_serving"),
         trigger=trigger,
     )
     q3 = write_parquet_stream(
-        rejects(committed, contract),
+        counted(rejects(committed, contract), f"{name}_rejects"),
         os.path.join(out_root, "rejects", name),
         os.path.join(checkpoint_root, f"{name}_rejects"),
         trigger=trigger,
     )
-    return [q1, q2, q3]
+    q4 = write_registry_stream(
+        committed,
+        registry_path(os.path.join(out_root, "history"), name),
+        os.path.join(checkpoint_root, f"{name}_symbols"),
+        contract.symbol_col,
+        trigger,
+    )
+    return [q1, q2, q3, q4, *more]
 
 
 def await_any(spark: SparkSession, timeout: float | None = None) -> None:
@@ -273,7 +301,7 @@ def start_feed(
         qs.extend(
             start_chained(
                 clean.sparkSession, clean, feed, out_root, checkpoint_root, parts, contract,
-                trigger,
+                trigger, raw,
             )
         )
     elif mode == "fanout":

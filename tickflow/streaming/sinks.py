@@ -9,12 +9,16 @@ from the checkpoint.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tickflow.sources.files import Folder
+from tickflow.streaming.registry import STREAMED, symbol_days, write_months
+
 # Fixed value: default processing-time trigger of the live feeds.
 PROCESSING_TIME = "2 seconds"
 AVAILABLE_NOW = "available_now"
@@ -106,8 +110,8 @@ def table_batch_writer(
         out = out.withColumn(BATCH_COL, F.lit(batch_id).cast("long"))
         if partition_cols and rebalance:
             out = out.hint("rebalance", *partition_cols)
-        if sort_cols:
-            out = out.sortWithinPartitions(*sort_cols)
+        if sort_cols:  # by folder first, or else the write sorts by folder alone
+            out = out.sortWithinPartitions(*partition_cols, WRITER_COL, BATCH_COL, *sort_cols)
         (
             out.write.format(fmt)
             .mode("overwrite")
@@ -135,10 +139,12 @@ def write_table_stream(
     return start_stream(df, checkpoint, trigger, body=lambda b, i: body(b, i))
 
 
-def _is_streamed(df: DataFrame, path: str) -> bool:
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    log = jvm.org.apache.hadoop.fs.Path(path, "_spark_metadata")
-    return log.getFileSystem(conf).exists(log)
+def write_registry_stream(
+    df: DataFrame, path: str, checkpoint: str, symbol_col: str, trigger=None
+) -> StreamingQuery:
+    """A5: one row for each symbol and day of a micro-batch, beside a streamed store."""
+    write = table_batch_writer(os.path.join(path, STREAMED))
+    return start_stream(df, checkpoint, trigger, body=lambda b, i: write(symbol_days(b, symbol_col).coalesce(1), i))
 
 
 def write_history(
@@ -147,6 +153,8 @@ def write_history(
     partition_cols: Sequence[str],
     sort_cols: Sequence[str] = (),
     mode: str = "overwrite",
+    registry: str | None = None,
+    symbol_col: str = "Symbol",
 ) -> None:
     """Batch write (backfill) into the hive-partitioned history store.
 
@@ -154,18 +162,23 @@ def write_history(
     and leaves all others alone, so re-running a failed or repeated backfill of some days gives
     the same table instead of duplicate rows.  ``REBALANCE`` on the partition columns gathers
     each partition value into few files, and AQE splits skewed values instead of sending a hot
-    symbol-day to a single task."""
-    if _is_streamed(df, path):
+    symbol-day to a single task.  The symbols of the months written go to a ``registry``, if one is given."""
+    if Folder(df.sparkSession, path).exists("_spark_metadata"):
         raise ValueError(
             f"{path} is written by a stream, whose log hides other files: write the backfill to a "
             "folder of its own and read both (read_table and Market take several)"
         )
-    out = df.hint("rebalance", *partition_cols)
-    if sort_cols:
-        out = out.sortWithinPartitions(*sort_cols)
+    seen = Observation()
+    out = df.observe(seen, F.collect_set(F.struct("Year", "Month")).alias("months")) if registry else df
+    out = out.hint("rebalance", *partition_cols)
+    if sort_cols:  # by folder first, or else the write sorts by folder alone
+        out = out.sortWithinPartitions(*partition_cols, *sort_cols)
     (
         out.write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_cols)
         .parquet(path)
     )
+    if registry:
+        months = [tuple(m) for m in seen.get["months"] if None not in tuple(m)]
+        write_months(df.sparkSession.read.schema(df.schema).parquet(path), months, registry, symbol_col)
