@@ -88,17 +88,23 @@ def _pair_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def merge_all(words: list[bytes], path: str = RANKS) -> list[list[int]]:
-    """``merge`` of many words at once: in each round every word joins its pair of lowest rank, the
+    """``merge`` of many words at once."""
+    return [np.frombuffer(ids, np.int32).tolist() for ids in merge_packed(words, path)]
+
+
+def merge_packed(words: list[bytes], path: str = RANKS) -> list[bytes]:
+    """The ids of many words as native 32-bit integers: in each round every word joins its pair of lowest rank, the
     leftmost of equals.  A rank is the id of the joined piece."""
     ranks = load_ranks(path)
-    out: list[list[int] | None] = [None] * len(words)
+    out = [b""] * len(words)
+    pack = struct.Struct("=i").pack
     todo = []
     for i, w in enumerate(words):
         if (r := ranks.get(w)) is not None:
-            out[i] = [r]
-        elif len(w) > 64 or not w:
-            out[i] = merge(w, ranks) if w else []
-        else:
+            out[i] = pack(r)
+        elif len(w) > 64:
+            out[i] = np.array(merge(w, ranks), np.int32).tobytes()
+        elif w:
             todo.append(i)
     if not todo:
         return out
@@ -122,8 +128,8 @@ def merge_all(words: list[bytes], path: str = RANKS) -> list[list[int]]:
         live = low < _NONE >> 32
         if not live.all():
             done = np.flatnonzero(~live)
-            whole = ids.tolist()
-            for k, i, j in zip(todo[done].tolist(), starts[done].tolist(), ends[done].tolist(), strict=True):
+            whole = ids.astype(np.int32).tobytes()
+            for k, i, j in zip(todo[done].tolist(), (4 * starts[done]).tolist(), (4 * ends[done]).tolist(), strict=True):
                 out[k] = whole[i:j]
             if not live.any():
                 return out
@@ -173,13 +179,14 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Encodes texts; remembers the ids of the words it has met, up to ``MEMORY`` of them."""
+    """Encodes texts; remembers the ids of the words it has met, in two generations of ``MEMORY`` words together."""
 
     def __init__(self, path: str = RANKS, pattern: str = PATTERN):
         self.path = path
         self.find = regex.compile(pattern).findall
         self.held: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def _matches(self, part: str) -> list[str]:
         if part.isalpha() or part[:1] == " " and part[1:].isalpha():
@@ -188,20 +195,30 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> None:
         """Remembers words; a word's letters and the marks after them are remembered apart."""
-        split = {}
+        split, whole = [], []
         for w in words:
             core = w.rstrip(MARKS)
-            split[w] = (core, w[len(core) :]) if core[-1:].isalpha() else (w,)
-        cores = self.cores
-        new = {p for parts in split.values() for p in parts}.difference(cores)
-        matches = {p: self._matches(p) for p in new}
-        flat = [m for ms in matches.values() for m in ms]
-        ids = iter(merge_all([m.encode("utf-8", "surrogatepass") for m in flat], self.path))
-        for p, ms in matches.items():
-            found = [i for _ in ms for i in next(ids)]
-            cores[p] = struct.pack(f"={len(found)}i", *found)
-        for w, parts in split.items():
-            self.held[w] = b"".join([cores[p] for p in parts])
+            if len(core) < len(w) and core[-1:].isalpha():
+                split.append((w, core, w[len(core) :]))
+            else:
+                whole.append(w)
+        cores, old = self.cores, self.old[1]
+        parts = set(whole)
+        parts.update([c for _, c, _ in split], [t for _, _, t in split])
+        parts.difference_update(cores)
+        known = {p: ids for p in parts if (ids := old.get(p)) is not None}
+        cores.update(known)
+        new = [p for p in parts if p not in known]
+        matches = [self._matches(p) for p in new]
+        ids = merge_packed([m.encode("utf-8", "surrogatepass") for ms in matches for m in ms], self.path)
+        at = 0
+        for p, ms in zip(new, matches, strict=True):
+            n = len(ms)
+            cores[p] = ids[at] if n == 1 else b"".join(ids[at : at + n])
+            at += n
+        held = self.held
+        held.update([(w, cores[w]) for w in whole])
+        held.update([(w, cores[c] + cores[t]) for w, c, t in split])
 
     def _cuts(self, text: str) -> list[str]:
         if _RUNS.search(text):
@@ -211,13 +228,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native 32-bit integers."""
-        if len(self.held) > MEMORY:
-            self.held.clear()
-            self.cores.clear()
-        held, cuts = self.held, [self._cuts(t) for t in texts]
-        new = {w for c in cuts for w in c if w not in held}
+        if len(self.held) > MEMORY // 2:
+            self.old = self.held, self.cores
+            self.held, self.cores = {}, {}
+        held, old, cuts = self.held, self.old[0], [self._cuts(t) for t in texts]
+        new = set().union(*cuts).difference(held)
         if new:
-            self._learn(new)
+            known = {w: ids for w in new if (ids := old.get(w)) is not None}
+            held.update(known)
+            self._learn(new.difference(known))
         return [b"".join([held[w] for w in c]) for c in cuts]
 
 
@@ -253,18 +272,36 @@ def _encoding(ranks_path: str):
     return run
 
 
+@lru_cache(maxsize=1)
+def _pieces(path: str) -> tuple[pa.Array, np.ndarray]:
+    """The piece of each id, null where there is none, and the pieces' lengths."""
+    ranks = load_ranks(path)
+    by_id: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for piece, i in ranks.items():
+        by_id[i] = piece
+    return pa.array(by_id, pa.binary()), np.array([len(p or b"") for p in by_id], np.int64)
+
+
+def concatenated(lists: pa.ListArray, path: str = RANKS) -> pa.Array:
+    """The bytes of each list of ids: all pieces are taken at once, and their bytes cut where a list ends."""
+    pieces, sizes = _pieces(path)
+    flat = lists.flatten()
+    taken = pieces.take(flat)
+    if taken.null_count:
+        raise ValueError("an id without a piece")
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.r_[0, np.cumsum(sizes[flat.to_numpy()])][np.r_[0, np.cumsum(counts)]]
+    data = pa.py_buffer(b"") if not len(flat) else taken.buffers()[2]
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), data])
+
+
 def _decoding(ranks_path: str):
     def run(parts):
-        pieces = {i: piece for piece, i in load_ranks(ranks_path).items()}
         for part in parts:
             for at in range(0, part.num_rows, BATCH_ROWS // 4):
                 piece = part.slice(at, BATCH_ROWS // 4)
-                ids = piece.column(1)
-                out = [b"".join(map(pieces.__getitem__, ids[i].as_py() or ())) for i in range(len(ids))]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), ids.cast(_DECODED.field(1).type), pa.array(out, pa.binary())],
-                    schema=_DECODED,
-                )
+                ids = piece.column(1).cast(_DECODED.field(1).type)
+                yield pa.RecordBatch.from_arrays([piece.column(0), ids, concatenated(ids, ranks_path)], schema=_DECODED)
 
     return run
 
