@@ -186,7 +186,7 @@ def test_words_as_tokenizer(parts):
     text = "".join(parts).encode("utf-8", "ignore").decode()
     e = o4.worker_encoder(o4.TOKENIZER)
     want = e.tokenizer.encode(text, add_special_tokens=False).ids
-    assert e.encode(text) == struct.pack(f"<{len(want)}I", *want)
+    assert e.encode([text]) == [struct.pack(f"<{len(want)}I", *want)]
 
 
 def test_crc32c():

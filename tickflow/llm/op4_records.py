@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
@@ -43,8 +44,6 @@ NULL_ID = -(2**63)
 #: Fixed values of the format: the Castagnoli polynomial (reflected) and the mask's constant.
 POLYNOMIAL, MASK_DELTA = 0x82F63B78, 0xA282EAD8
 _BLOCK = 64
-#: Below it: Latin letters, all composed.
-_LATIN = "\u0250"
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -125,55 +124,78 @@ def masked(crc: np.ndarray) -> np.ndarray:
 
 # --- encoding -----------------------------------------------------------------------------------
 class Encoder:
-    """The tokenizers library over distinct words; special strings in a text are ordinary text.
+    """The tokenizers library over distinct words, with the ids of a plain call over the whole text.
 
     The tokenizer drops white space and no token spans it, so the words between blanks and line
-    ends encode apart; so do a word that ends in a letter and the marks after it.  A word of Latin letters
-    without combining marks is its own normal form once in lower case, and one piece: it goes
-    straight to the library's model.
-    Remembers up to ``MEMORY`` words."""
+    ends encode apart; so do a word and the marks after it, if the word's normal form ends in a letter (a
+    dotted capital I's ends in a combining dot, which stands in one piece with the marks).  A text that may hold a
+    special token's string is encoded whole.
+
+    Remembers words in two generations of ``MEMORY`` together."""
 
     def __init__(self, path: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        show = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        latin = [chr(i) for i in range(0x80, ord(_LATIN)) if chr(i).isalpha()]
-        self.shown = {ord(c): show(c)[0][0] for c in latin}  # as the model writes its bytes
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: What every special token's string begins with, as the tokenizer may see it.
+        self.special = os.path.commonprefix([t.content for t in added]) or "\0"
         self.held: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
-
-    def _ids(self, part: str) -> bytes:
-        low = part.lower()
-        if part.isalpha() and low.isalpha() and max(part) < _LATIN and max(low) < _LATIN:
-            ids = [t.id for t in self.model.tokenize(low.translate(self.shown))]
-        else:
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: str) -> bytes:
-        core = word.rstrip(MARKS)
-        if not core[-1:].isalpha():
-            return self._ids(word)
-        out, tail = [], word[len(core) :]
-        for part in (core.lower() if core.isascii() else core, tail):
-            if part not in self.parts:
-                self.parts[part] = self._ids(part)
-            out.append(self.parts[part])
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        cuts = text.replace("\n", " ").split(" ")
-        if len(self.held) > MEMORY:
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.ends_in_letter: dict[str, bool] = {}
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        ids = [e.ids for e in found]
+        flat = np.fromiter(chain.from_iterable(ids), "<u4", sum(map(len, ids))).tobytes()
+        ends = [4 * n for n in accumulate(map(len, ids))]
+        return [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def _parts_at(self, letter: str) -> bool:
+        """Whether marks after this letter are a piece of their own."""
+        if letter not in self.ends_in_letter:
+            normal = self.tokenizer.normalizer.normalize_str(letter) if self.tokenizer.normalizer else letter
+            self.ends_in_letter[letter] = letter.isalpha() and normal[-1:].isalpha()
+        return self.ends_in_letter[letter]
+
+    def _learn(self, words: set[str]) -> None:
+        """Remembers words, all new parts of which are encoded together."""
+        split, whole = [], []
+        for w in words:
+            core = w.rstrip(MARKS)
+            if core and self._parts_at(core[-1]):
+                split.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
+            else:
+                whole.append(w)
+        parts, old = self.parts, self.old[1]
+        asked = set(whole)
+        asked.update([c for _, c, _ in split], [t for _, _, t in split])
+        asked.difference_update(parts)
+        known = {p: ids for p in asked if (ids := old.get(p)) is not None}
+        parts.update(known)
+        new = [p for p in asked if p not in known]
+        parts.update(zip(new, self._encode(new), strict=True))
+        self.held.update([(w, parts[w]) for w in whole])
+        self.held.update([(w, parts[c] + parts[t]) for w, c, t in split])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.held) > MEMORY // 2:
+            self.old = self.held, self.parts
             self.held, self.parts = {"": b""}, {"": b""}
-        held = self.held
-        for w in set(cuts).difference(held):
-            held[w] = self._word(w)
-        return b"".join(map(held.__getitem__, cuts))
+        cuts = [[] if self.special in t else t.replace("\n", " ").split(" ") for t in texts]
+        held, old = self.held, self.old[0]
+        new = set().union(*cuts).difference(held)
+        known = {w: ids for w in new if (ids := old.get(w)) is not None}
+        held.update(known)
+        self._learn(new.difference(known))
+        rare = iter(self._encode([t for t in texts if self.special in t]))
+        return [
+            next(rare) if self.special in t else b"".join(map(held.__getitem__, c))
+            for t, c in zip(texts, cuts, strict=True)
+        ]
 
 
 @lru_cache(maxsize=1)
@@ -185,6 +207,8 @@ def worker_encoder(path: str) -> Encoder:
 # --- writing and reading ------------------------------------------------------------------------
 _INDEX = "doc_id long, part int, file string, offset long, length long, start_in_file long, n_tokens long"
 _GROUP = 4 << 20
+#: Characters of text whose new words are encoded together.
+_TOGETHER = 1 << 20
 
 
 _HEAD, _HEAD_BYTES = "<qB", 9
@@ -230,15 +254,19 @@ def write_records(
 
     def groups(rows) -> Iterator[list[tuple[int | None, bytes]]]:
         encoder, held, size = worker_encoder(tokenizer_path), [], 0
-        for doc_id, text in rows:
-            key = NULL_ID if doc_id is None else doc_id
-            held.append((doc_id, pack(key, encoder.encode(text) + end)))
-            size += len(held[-1][1])
-            if size >= _GROUP:
-                yield held
+
+        def packed():
+            ids = encoder.encode([text for _, text in held])
+            return [(i, pack(NULL_ID if i is None else i, x + end)) for (i, _), x in zip(held, ids, strict=True)]
+
+        for row in rows:
+            held.append(row)
+            size += len(row[1])
+            if size >= _TOGETHER:
+                yield packed()
                 held, size = [], 0
         if held:
-            yield held
+            yield packed()
 
     def run(rows):
         part = TaskContext.get().partitionId()
