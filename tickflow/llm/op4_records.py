@@ -17,7 +17,9 @@ empty index.
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -123,29 +125,63 @@ def masked(crc: np.ndarray) -> np.ndarray:
 
 
 # --- encoding -----------------------------------------------------------------------------------
+#: A character above Latin-1 and the first block of more Latin letters, within which lower case stays; the dotted capital
+#: I, whose lower case has a combining dot, is one too.
+_OTHER = re.compile("[\u0130\u0180-\U0010ffff]")
+
+
+def _latin_pieces() -> re.Pattern:
+    """The tokenizer's pattern, for texts in lower case without a character of ``_OTHER``."""
+    kinds = {"L": "", "N": ""}
+    for c in map(chr, range(0x180)):
+        kind = unicodedata.category(c)[0]
+        if kind in kinds:
+            kinds[kind] += re.escape(c)
+    letter, number, space = kinds["L"], kinds["N"], "\t-\r \x85\xa0"
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+")
+
+
 class Encoder:
     """The tokenizers library over distinct words, with the ids of a plain call over the whole text.
 
-    The tokenizer drops white space and no token spans it, so the words between blanks and line
-    ends encode apart; so do a word and the marks after it, if the word's normal form ends in a letter (a
-    dotted capital I's ends in a combining dot, which stands in one piece with the marks).  A text that may hold a
-    special token's string is encoded whole.
+    A text in Latin script is its own normal form once in lower case; it is cut into the tokenizer's pieces.  Others
+    are cut into words between blanks and line ends, which the tokenizer drops and no token spans, and these between the
+    word and the marks after it, if the word's normal form ends in a letter (a dotted capital I's ends in a
+    combining dot, which stands in one piece with the marks).  A text that may hold a special token's string is
+    encoded whole.
 
-    Remembers words in two generations of ``MEMORY`` together."""
+    Remembers pieces and words in two generations of ``MEMORY`` together."""
 
     def __init__(self, path: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        #: What every special token's string begins with, as the tokenizer may see it.
-        self.special = os.path.commonprefix([t.content for t in added]) or "\0"
+        self.tokenizer = t = Tokenizer.from_file(path)
+        added = t.get_added_tokens_decoder().values()
+        #: What every special token's string begins with.
+        self.special = os.path.commonprefix([a.content for a in added]) or "\0"
+        self.find = _latin_pieces().findall
+        suffix = t.model.end_of_word_suffix
+        names = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
+        self.ends_piece = np.array([n.endswith(suffix) for n in names])
         self.held: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
         self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.ends_in_letter: dict[str, bool] = {}
 
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        """Remembers pieces: all new ones are one text, in which every piece ends with a token that ends a word."""
+        old = self.old[1]
+        known = {p: ids for p in pieces if (ids := old.get(p)) is not None}
+        self.parts.update(known)
+        new = [p for p in pieces if p not in known]
+        if not new:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends = [0, *(4 * (np.flatnonzero(self.ends_piece[ids]) + 1)).tolist()]
+        flat = ids.tobytes()
+        self.parts.update(zip(new, [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)], strict=True))
+
     def _encode(self, parts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         ids = [e.ids for e in found]
@@ -182,20 +218,26 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.held) > MEMORY // 2:
+        if len(self.held) + len(self.parts) > MEMORY // 2:
             self.old = self.held, self.parts
             self.held, self.parts = {"": b""}, {"": b""}
-        cuts = [[] if self.special in t else t.replace("\n", " ").split(" ") for t in texts]
-        held, old = self.held, self.old[0]
-        new = set().union(*cuts).difference(held)
-        known = {w: ids for w in new if (ids := old.get(w)) is not None}
-        held.update(known)
+        pieces, words, whole = {}, {}, {}
+        for i, text in enumerate(texts):
+            if self.special in text:
+                whole[i] = text
+            elif _OTHER.search(text):
+                words[i] = text.replace("\n", " ").split(" ")
+            else:
+                pieces[i] = self.find(text.lower())
+        self._learn_pieces(set().union(*pieces.values()).difference(self.parts))
+        new = set().union(*words.values()).difference(self.held)
+        known = {w: ids for w in new if (ids := self.old[0].get(w)) is not None}
+        self.held.update(known)
         self._learn(new.difference(known))
-        rare = iter(self._encode([t for t in texts if self.special in t]))
-        return [
-            next(rare) if self.special in t else b"".join(map(held.__getitem__, c))
-            for t, c in zip(texts, cuts, strict=True)
-        ]
+        out = dict(zip(whole, self._encode(list(whole.values())), strict=True))
+        for cuts, ids in ((pieces, self.parts), (words, self.held)):
+            out.update((i, b"".join(map(ids.__getitem__, c))) for i, c in cuts.items())
+        return [out[i] for i in range(len(texts))]
 
 
 @lru_cache(maxsize=1)
