@@ -75,7 +75,7 @@ def test_generations(module, monkeypatch, plain):
     monkeypatch.setattr(module, "MEMORY", 40)
     encoder, fresh = module.Encoder(), module.Encoder()
     rng = random.Random(4)
-    texts = [" ".join(f"Word{rng.randint(0, 60)}{rng.choice(['', '!', ', x'])}" for _ in range(30)) for _ in range(60)]
+    texts = [" ".join(f"W{'ord' * rng.randint(0, 60)}{rng.choice(['', '!', ', x'])}" for _ in range(30)) for _ in range(60)]
     got = [encoder.encode([t])[0] for t in texts]
     assert got == [module.Encoder().encode([t])[0] for t in texts] and not any(fresh.old)
     assert any(encoder.old) and len(encoder.held) < 40 + 31

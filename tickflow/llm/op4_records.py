@@ -21,7 +21,6 @@ import re
 import struct
 import unicodedata
 import uuid
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
@@ -402,11 +401,13 @@ def query(spark, sf_dir) -> DataFrame:
     folder = scratch_path(spark, "token-records")
     index = write_records(table(spark, sf_dir, "documents"), folder)
 
-    def run(rows):
-        return ((i, p, s, len(ids) // 4, zlib.crc32(ids)) for i, p, s, ids in rows)
-
-    schema = "doc_id long, part int, start_in_file long, n_tokens long, ids_crc32 long"
-    found = map_rows(read_records(index, folder), run, schema)
+    found = read_records(index, folder).select(
+        "doc_id",
+        "part",
+        "start_in_file",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
     return found.join(starts(index), "part").select(
         "doc_id",
         (F.col("before") + F.col("start_in_file")).alias("start"),
