@@ -120,7 +120,7 @@ def test_repeats_plain(spark, small):
                 want[(i, s, n, w, seen[d], counts[d])] += 1
             else:
                 seen[d] = i
-    got = collections.Counter(tuple(r) for r in QUERIES["op2_substring"](spark, SF).collect())
+    got = collections.Counter(tuple(r)[:6] for r in QUERIES["op2_substring"](spark, SF).collect())
     assert got == want and len(want) > 20
 
 
@@ -413,31 +413,56 @@ def test_warc_reader_strict():
 
 
 # --- 9 templates --------------------------------------------------------------------------------
-def plain_templates(docs, min_docs):
-    lines = [(i, zlib.crc32(t.encode()), n, tuple(tokens), leaf) for i, t in docs for n, tokens, leaf in o9.masked_lines(t)]
-    leaves = {}
-    for i, o, n, tokens, leaf in lines:
-        leaves.setdefault(leaf, []).append((i, o, n, tokens))
+def plain_templates(docs, min_docs, few_docs=None):
+    """(doc_id, line, template, docs) of the lines dropped, by sets of texts: every line's moulds from the finest to
+    the coarsest, and of those that recur the finest that has at least half of a coarser one's documents."""
+    least = min(min_docs, few_docs or min_docs)
+    recurs = lambda n, text: n >= min_docs or (n >= least and n * o9.letters(text) >= min_docs * o9.FEW_LETTERS)
+    leaves = collections.defaultdict(list)
+    for i, t in docs:
+        for n, tokens, leaf in o9.masked_lines(t):
+            leaves[leaf].append((i, t, n, tuple(tokens)))
     out = set()
     for rows in leaves.values():
-        if len({(i) for i, *_ in rows}) < min_docs:
-            continue
-        at = collections.defaultdict(set)
-        for _, o, _, tokens in rows:
-            for place, token in enumerate(tokens):
-                at[place, token].add((o, tokens))
-        by = collections.defaultdict(list)
-        for i, o, n, tokens in rows:
-            held = [len(at[x]) >= min_docs for x in enumerate(tokens)]
-            key = tokens
-            if sum(held) / len(held) >= o9.SHARE:
-                key = tuple(t if h else o9.VARIABLE for t, h in zip(tokens, held))
-            by[key].append((i, o, n))
-        for key, found in by.items():
-            docs_ = {o for _, o, _ in found}
-            if len(docs_) >= min_docs:
-                first = min(i for i, *_ in found)
-                out |= {(i, n, " ".join(key), len(docs_)) for i, _, n in found if i != first}
+        origins = collections.defaultdict(set)  # texts of each distinct line
+        for _, t, _, tokens in rows:
+            origins[tokens].add(t)
+        at = collections.Counter()  # a line in n texts counts n for its tokens
+        for tokens, texts in origins.items():
+            at.update({x: len(texts) for x in enumerate(tokens)})
+        moulds = {}
+        for tokens in origins:
+            counts = [at[x] if at[x] >= least else 0 for x in enumerate(tokens)]
+            found = []
+            if sum(map(bool, counts)) < o9.SHARE * len(tokens):
+                found.append((tokens, False))
+            else:
+                for level in sorted({c for c in counts if c} | {1}):
+                    held = [c >= level for c in counts]
+                    if level > 1 and (sum(held) < o9.SHARE * len(tokens) or all(held)):
+                        continue
+                    text = tuple(t if h else o9.VARIABLE for t, h in zip(tokens, held))
+                    if level == 1 or text != found[-1][0] or len(found) == 1:
+                        found.append((text, any(held[o9.LEADING :])))
+            moulds[tokens] = found
+        members = collections.defaultdict(list)
+        for i, t, n, tokens in rows:
+            for step, (text, _) in enumerate(moulds[tokens]):
+                members[bool(step), text].append((i, t))
+        for i, t, n, tokens in rows:
+            able = []
+            for step, (text, tail) in enumerate(moulds[tokens]):
+                who = members[bool(step), text]
+                size = len({t for _, t in who})
+                if recurs(size, " ".join(text)):
+                    able.append((size, min(i for i, _ in who), text, tail))
+            if able:
+                best = able[0]
+                for x in able[1:]:
+                    if x[3] and best[0] < o9.SHARE * x[0]:
+                        best = x
+                if i != best[1]:
+                    out.add((i, n, " ".join(best[2]), best[0]))
     return out
 
 
@@ -447,8 +472,10 @@ def test_templates_plain(spark, small):
     docs += [(10_000 + i, f"own line {i} of this text\nPosted by {n} on day {i} of May\nAll rights are reserved here.") for i, n in enumerate(names)]
     docs += [(20_000 + i, "a copy of one single text\nwith two lines that recur") for i in range(9)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {tuple(r) for r in o9.recurring(df, min_docs=5).collect()}
+    got = {tuple(r)[:4] for r in o9.recurring(df, min_docs=5).collect()}
     assert got == plain_templates(docs, 5)
+    few = {tuple(r)[:4] for r in o9.recurring(df, few_docs=o9.FEW_DOCS).collect()}
+    assert few == plain_templates(docs, o9.MIN_DOCS, o9.FEW_DOCS) and few != got
     assert (10_001, 1, "Posted by <*> on day <*> of May", 8) in got
     assert not any(i == 10_000 and n == 1 for i, n, *_ in got) and not any(i >= 20_000 for i, *_ in got)
 
@@ -503,13 +530,12 @@ def test_pipeline_plain(spark):
     cut = corpus_pipeline.line_dedup(spark, language, sf)
     texts = {r.doc_id: r.text for r in cut.collect()}
     gone = collections.defaultdict(set)
-    for i, n, _, _ in plain_templates([(i, rows[i].text) for i in kept], o9.MIN_DOCS):
+    for i, n, _, _ in plain_templates([(i, rows[i].text) for i in kept], o9.MIN_DOCS, o9.FEW_DOCS):
         gone[i].add(n)
     for i in kept:
         old = rows[i].text.split("\n")
         new = "\n".join(x for n, x in enumerate(old) if n not in gone[i])
-        whole = not new.strip() or len(new.split()) < 0.5 * len(rows[i].text.split())
-        assert texts[i] == (rows[i].text if whole else new)
+        assert texts[i] == (new if new.strip() else rows[i].text)
 
     near = corpus_pipeline.near_dedup(spark, cut, sf)
     left = {r.doc_id for r in near.collect()}

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -48,12 +48,28 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def keep_if(df: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
-    """``df`` with all its columns: the rows whose id is (``left_semi``) or isn't (``left_anti``)
-    among those of ``ids``, a table of one column.  A null id equals a null id."""
-    name = fresh(df, "id_")
-    ids = ids.toDF(name).distinct()
-    return df.join(ids, df[id_col].eqNullSafe(F.col(name)), how)
+def origin(text: str) -> int:
+    """A 64-bit digest of a text, the same as ``origin_of`` has for a column; with the id, it tells rows of equal ids
+    apart."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def origin_of(text_col) -> Column:
+    return F.xxhash64(F.coalesce(text_col, F.lit("")))
+
+
+def same_row(df: DataFrame, id_col: str, text_col: str, other_id: str, other_origin: str) -> Column:
+    """Whether a row of ``df`` is the one that another table knows by id (a null id equals a null id) and origin."""
+    return df[id_col].cast("long").eqNullSafe(F.col(other_id)) & (origin_of(df[text_col]) == F.col(other_origin))
+
+
+def keep_if(df: DataFrame, rows: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with all its columns: the rows that are (``left_semi``) or aren't (``left_anti``) among ``rows``, a table
+    of ids and origins."""
+    names = fresh(df, "id_"), fresh(df, "origin_")
+    rows = rows.toDF(*names).distinct()
+    return df.join(rows, same_row(df, id_col, text_col, *names), how)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

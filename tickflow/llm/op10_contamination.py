@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickflow.llm.common import map_rows, mix, ngram_hashes, table, texts
+from tickflow.llm.common import map_rows, mix, ngram_hashes, origin, table, texts
 
 N_WORDS = 5
 PERCENT = 80
@@ -119,14 +119,15 @@ def contaminated(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     percent: int = PERCENT,
+    origins: bool = False,
 ) -> DataFrame:
     """One row for each item in each document: ``doc_id``, ``item_id``, ``shared``, ``shingles``
-    (the item's) and ``containment``."""
+    (the item's) and ``containment``; ``origins`` adds the digest of the document's text (``origin``)."""
     spark = df.sparkSession
     docs = texts(df, id_col, text_col)
     items = texts(benchmark, item_id_col, item_text_col)
     blocks = max(1, -(-items.count() // BLOCK))
-    schema = "doc_id long, item_id long, shared int, shingles int"
+    schema = "doc_id long, origin long, item_id long, shared int, shingles int"
 
     def searched(block: int) -> DataFrame:
         key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
@@ -137,12 +138,13 @@ def contaminated(
             index = Items(sent.value)
             for doc_id, text in rows:
                 for item_id, shared, size in index.search(hashes(text), percent):
-                    yield doc_id, item_id, shared, size
+                    yield doc_id, origin(text), item_id, shared, size
 
         return map_rows(docs, run, schema)
 
     found = reduce(DataFrame.unionAll, map(searched, range(blocks)))
-    return found.withColumn("containment", F.col("shared") / F.col("shingles"))
+    found = found.withColumn("containment", F.col("shared") / F.col("shingles"))
+    return found if origins else found.drop("origin")
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickflow.llm.common import UNSPACED, letters, map_rows, table, texts, written
+from tickflow.llm.common import UNSPACED, letters, map_rows, origin, same_row, table, texts, written
 
 MIN_WORDS = 5
 #: Fewer words suffice with this many letters, of which those of scripts without blanks count twice.
@@ -73,17 +73,18 @@ def unit_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(rows):
         for i, t in rows:
             seen: dict[bytes, int] = {}
+            mark = origin(t)
             for start, length, n_words, digest in units(t):
                 nth = seen[digest] = seen.get(digest, -1) + 1
-                yield i, start, length, n_words, nth, digest
+                yield i, mark, start, length, n_words, nth, digest
 
-    schema = "doc_id long, start int, length int, words int, nth int, digest binary"
+    schema = "doc_id long, origin long, start int, length int, words int, nth int, digest binary"
     return map_rows(texts(df, id_col, text_col), run, schema)
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each removed occurrence: ``doc_id``, ``start``, ``length`` (code points),
-    ``words``, ``kept_doc_id`` (the document of the occurrence that stays), ``copies``.
+    ``words``, ``kept_doc_id`` (the document of the occurrence that stays), ``copies``, ``origin`` (of its text).
 
     The grouping combines before the shuffle, so a unit that is in every document costs one row a
     task; the join back has one row a digest on its small side, and adaptive execution splits the
@@ -101,7 +102,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         .select(
             "doc_id", "start", "length", "words",
             F.when(F.col("first_rank") != last, F.col("first_rank")).alias("kept_doc_id"),
-            "copies",
+            "copies", "origin",
         )
     )
 
@@ -119,14 +120,15 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document that has an id: ``doc_id``, ``text`` without its repeated units and ``removed``, their
+    """Every document: ``doc_id``, ``text`` without its repeated units and ``removed``, their
     (start, length, kept_doc_id) in the original text."""
     spans = (
         repeats(df, id_col, text_col)
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "length", "kept_doc_id"))).alias("removed"))
+        .groupBy(F.col("doc_id").alias("id_"), F.col("origin").alias("origin_"))
+        .agg(F.sort_array(F.collect_set(F.struct("start", "length", "kept_doc_id"))).alias("removed"))
     )
-    both = texts(df, id_col, text_col).join(spans, "doc_id", "left")
+    docs = texts(df, id_col, text_col)
+    both = docs.join(spans, same_row(docs, "doc_id", "text", "id_", "origin_"), "left").select("doc_id", "text", "removed")
 
     def run(rows):
         for i, t, removed in rows:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickflow.llm.common import map_rows, mix, shingles, table, texts, written
+from tickflow.llm.common import map_rows, mix, origin, shingles, table, texts, written
 from tickflow.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -128,15 +128,15 @@ def _set_rows(n_words: int):
         def flush(ids, held):
             full = [s for s in held if len(s)]
             keys = iter(bands(sketches(full)).tolist() if full else ())
-            for (doc_id, row), s in zip(ids, held, strict=True):
+            for (doc_id, mark, row), s in zip(ids, held, strict=True):
                 if len(s):
-                    yield doc_id, row, len(s), xxhash.xxh3_128_digest(s.tobytes()), next(keys)
+                    yield doc_id, mark, row, len(s), xxhash.xxh3_128_digest(s.tobytes()), next(keys)
                 else:
-                    yield doc_id, row, 0, None, None
+                    yield doc_id, mark, row, 0, None, None
 
         ids, held, size = [], [], 0
         for doc_id, text in rows:
-            ids.append((doc_id, _row(doc_id, text)))
+            ids.append((doc_id, origin(text), _row(doc_id, text)))
             held.append(shingles(text, n_words))
             size += len(held[-1])
             if len(held) >= _TOGETHER or size >= 1 << 18:
@@ -242,11 +242,12 @@ def near_duplicates(
     text_col: str = "text",
     n_words: int = 5,
     percent: int = 80,
+    origins: bool = False,
 ) -> DataFrame:
     """Every document with ``n_shingles``, ``component_id`` (the least id that links reach) and
-    ``kept`` (whether that is its own)."""
+    ``kept`` (whether that is its own); ``origins`` adds the digest of its text (``origin``)."""
     docs = texts(df, id_col, text_col)
-    schema = "doc_id long, row binary, n_shingles long, node binary, bands array<long>"
+    schema = "doc_id long, origin long, row binary, n_shingles long, node binary, bands array<long>"
     sets = written(map_rows(docs, _set_rows(n_words), schema), "sketches")
     # the bands of a class are those of any of its documents, and any one's text will do
     classes = sets.where("node is not null").groupBy("node").agg(
@@ -293,6 +294,7 @@ def near_duplicates(
         "n_shingles",
         component.alias("component_id"),
         (F.col("doc_id") == component).alias("kept"),
+        *(["origin"] if origins else []),
     )
 
 

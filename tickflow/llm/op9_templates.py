@@ -41,7 +41,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickflow.llm.common import UNSPACED, fresh, letters, map_rows, table, texts, written
+from tickflow.llm.common import (
+    UNSPACED,
+    fresh,
+    letters,
+    map_rows,
+    origin,
+    origin_of,
+    same_row,
+    table,
+    texts,
+    written,
+)
 
 LEADING = 2
 MIN_DOCS = 20
@@ -55,6 +66,8 @@ SHARE = 0.5
 VARIABLE = "<*>"
 #: Bits of the map of frequent leaves; bounds what is broadcast (2 MB).
 SLOTS = 1 << 24
+#: Lines of which a task remembers that it gave their text; a text given again is combined before the shuffle.
+REMEMBERED = 200_000
 _DIGIT = re.compile(r"\d")
 
 
@@ -81,7 +94,7 @@ def recurring(
     few_docs: int | None = None,
 ) -> DataFrame:
     """One row for each line that is dropped: ``doc_id``, ``line`` (number from 0), ``template``,
-    ``docs`` (distinct documents that hold the template)."""
+    ``docs`` (distinct documents that hold the template), ``origin`` (digest of the document's text)."""
     docs = texts(df, id_col, text_col)
     least = min(min_docs, few_docs or min_docs)
 
@@ -90,29 +103,49 @@ def recurring(
         return (F.col(n) >= min_docs) | ((F.col(n) >= least) & few)
 
     def leaves(rows):
-        return ((leaf,) for _, t in rows for leaf in {leaf for _, _, leaf in masked_lines(t)})
-
-    counted = map_rows(docs, leaves, "leaf long").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    frequent = written(counted.where(F.col("n") >= least).select("leaf"), "leaves")
+        for _, t in rows:
+            longest: dict[int, int] = {}
+            for _, tokens, leaf in masked_lines(t):
+                longest[leaf] = max(longest.get(leaf, 0), _most_letters(tokens))
+            yield from longest.items()
+
+    # no template of a leaf has more documents than the leaf, or more letters than its longest line
+    counted = map_rows(docs, leaves, "leaf long, letters int").groupBy("leaf")
+    counted = counted.agg(F.count(F.lit(1)).alias("n"), F.max("letters").alias("letters"))
+    frequent = written(counted.where(recur("n")).select("leaf"), "leaves")
     marks = df.sparkSession.sparkContext.broadcast(_marks(frequent))
 
-    def likely_lines(rows):
+    def likely(rows):
         marked = marks.value
         for doc_id, t in rows:
-            origin = _digest(t)
             for number, tokens, leaf in masked_lines(t):
                 if marked[(leaf & (SLOTS - 1)) >> 3] >> (leaf & 7) & 1:
                     text = " ".join(tokens)
-                    yield doc_id, origin, number, leaf, _digest(text), text
-
-    schema = "doc_id long, origin long, line int, leaf long, form long, text string"
-    lines = written(map_rows(docs, likely_lines, schema).join(frequent, "leaf"), "lines")
-
-    # from here on a distinct line is known by its leaf and its digest, and its text moves once
+                    yield doc_id, t, number, leaf, _digest(text), text
+
+    def occurrences(rows):
+        last = mark = None
+        for doc_id, t, number, leaf, form, _ in likely(rows):
+            if t is not last:
+                last, mark = t, origin(t)
+            yield doc_id, mark, number, leaf, form
+
+    def forms(rows):
+        seen: set[tuple[int, int]] = set()
+        for *_, leaf, form, text in likely(rows):
+            if (leaf, form) not in seen:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add((leaf, form))
+                yield leaf, form, text
+
+    # a distinct line is known by its leaf and its digest; occurrences move as digests, and a line's text once
+    schema = "doc_id long, origin long, line int, leaf long, form long"
+    lines = written(map_rows(docs, occurrences, schema).join(frequent, "leaf"), "lines")
     keys = ["leaf", "form"]
     origins = lines.select(*keys, "origin").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    distinct = lines.groupBy(*keys).agg(F.min("text").alias("text")).join(origins, keys)
-    distinct = written(distinct, "distinct-lines")
+    distinct = map_rows(docs, forms, "leaf long, form long, text string").groupBy(*keys).agg(F.first("text").alias("text"))
+    distinct = written(distinct.join(origins, keys), "distinct-lines")
     tokens = distinct.select(*keys, "n", F.posexplode(F.split("text", " ")).alias("place", "token"))
     cells = tokens.select(*keys, "n", "place", F.xxhash64("leaf", "place", "token").alias("cell"))
     constant = cells.groupBy("cell").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least)
@@ -130,8 +163,8 @@ def recurring(
     steps = distinct.join(held, keys, "left").select(*keys, "n", "text", "held")
     steps = written(map_rows(steps, generalise, schema), "moulds")
     # lines with copies in one document count more than once here, so this only spares the join lines
-    likely = steps.groupBy("mould", "letters").agg(F.sum("n").alias("most")).where(recur("most"))
-    steps = written(steps.drop("n").join(likely.select("mould"), "mould"), "likely-moulds")
+    able = steps.groupBy("mould", "letters").agg(F.sum("n").alias("most")).where(recur("most"))
+    steps = written(steps.drop("n").join(able.select("mould"), "mould"), "likely-moulds")
     last = 2**63 - 1
     placed = lines.select("doc_id", "origin", *keys).join(steps.select(*keys, "mould"), keys)
     known = (
@@ -156,9 +189,9 @@ def recurring(
     schema = "leaf long, form long, docs long, first long, template string"
     chosen = written(map_rows(found, choose, schema), "templates")
     return (
-        lines.select("doc_id", "line", *keys).join(chosen, keys)
+        lines.join(chosen, keys)
         .where(F.coalesce("doc_id", F.lit(last)) != F.col("first"))
-        .select("doc_id", "line", "template", "docs")
+        .select("doc_id", "line", "template", "docs", "origin")
     )
 
 
@@ -186,6 +219,12 @@ def moulds(tokens: list[str], counts: dict[int, int]):
             yield mould(least)
 
 
+def _most_letters(tokens: list[str]) -> int:
+    """No less than the letters of any template of the tokens."""
+    text = "".join(tokens)
+    return len(text) if text.isascii() or not UNSPACED.search(text) else 2 * len(text)
+
+
 def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -213,9 +252,12 @@ def drop_lines(
     """``df`` with the lines of ``dropped`` cut from its texts; other columns stay as they are.  A
     document of whose words more than ``most`` stand in such lines is a copy rather than a page with
     boilerplate, and stays whole; without ``empty``, so does one of which nothing would be left."""
-    id_, lines = fresh(df, "id_"), fresh(df, "lines_")
-    numbers = dropped.groupBy("doc_id").agg(F.collect_set("line")).toDF(id_, lines)
-    both = df.join(numbers, df[id_col].cast("long") == F.col(id_), "left")
+    id_, mark, lines = fresh(df, "id_"), fresh(df, "origin_"), fresh(df, "lines_")
+    if "origin" not in dropped.columns:  # told by ids alone
+        own = df.select(df[id_col].cast("long").alias(id_), origin_of(df[text_col]).alias("origin")).distinct()
+        dropped = dropped.join(own, dropped["doc_id"].eqNullSafe(F.col(id_)))
+    numbers = dropped.groupBy("doc_id", "origin").agg(F.collect_set("line")).toDF(id_, mark, lines)
+    both = df.join(numbers, same_row(df, id_col, text_col, id_, mark), "left")
     cut = F.array_join(
         F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains(lines, i)), "\n"
     )
