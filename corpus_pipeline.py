@@ -3,7 +3,8 @@
 Every stage is a function (spark, docs, sf_dir) -> DataFrame whose result is written as Parquet and read
 again as the next one's ``docs``.  All but the last return the columns of ``documents``.
 
-Defined cases are those of the operators; an empty table passes through every stage.
+Defined cases are those of the operators; an empty table passes through every stage.  Rows that share an id, or have
+none, are told apart by their texts: what one of them loses, another of a different text keeps.
 """
 
 from __future__ import annotations
@@ -33,22 +34,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops recurring lines from the texts; a document of nothing else is left whole for the next stage."""
-    dropped = op9_templates.recurring(docs)
+    dropped = op9_templates.recurring(docs, few_docs=op9_templates.FEW_DOCS)
     cut = op9_templates.drop_lines(docs, dropped, empty=False)
     return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
-    gone = op5_minhash.near_duplicates(docs).where(~F.col("kept"))
-    return keep_if(docs, gone.select("doc_id"), "doc_id", "left_anti")
+    gone = op5_minhash.near_duplicates(docs, origins=True).where(~F.col("kept"))
+    return keep_if(docs, gone.select("doc_id", "origin"), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that contain no benchmark item."""
-    found = op10_contamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    found = written(found.select("doc_id").distinct(), "contaminated")
-    return keep_if(docs, found, "doc_id", "left_anti")
+    found = op10_contamination.contaminated(docs, table(spark, sf_dir, "benchmark"), origins=True)
+    found = written(found.select("doc_id", "origin").distinct(), "contaminated")
+    return keep_if(docs, found, "left_anti")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
