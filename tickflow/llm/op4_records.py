@@ -153,9 +153,14 @@ class Encoder:
 
     def __init__(self, path: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = t = Tokenizer.from_file(path)
+        #: The file's model behind nothing but the blanks between pieces that are cut and normal already.
+        self.cut = Tokenizer(t.model)
+        self.cut.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         added = t.get_added_tokens_decoder().values()
         #: What every special token's string begins with.
         self.special = os.path.commonprefix([a.content for a in added]) or "\0"
@@ -176,7 +181,7 @@ class Encoder:
         new = [p for p in pieces if p not in known]
         if not new:
             return
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.cut.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, "<u4")
         ends = [0, *(4 * (np.flatnonzero(self.ends_piece[ids]) + 1)).tolist()]
         flat = ids.tobytes()
         self.parts.update(zip(new, [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)], strict=True))
@@ -228,7 +233,9 @@ class Encoder:
                 words[i] = text.replace("\n", " ").split(" ")
             else:
                 pieces[i] = self.find(text.lower())
-        self._learn_pieces(set().union(*pieces.values()).difference(self.parts))
+        have = self.parts.get
+        missing = {p for c in pieces.values() for p, ids in zip(c, map(have, c), strict=True) if ids is None}
+        self._learn_pieces(missing)
         new = set().union(*words.values()).difference(self.held)
         known = {w: ids for w in new if (ids := self.old[0].get(w)) is not None}
         self.held.update(known)
