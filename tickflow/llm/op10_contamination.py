@@ -16,8 +16,9 @@ shingle; a bitmap of the items' shingles passes over such documents before sketc
 Words are runs of letters, digits and underscores in lower case, shingles five words; an item of
 fewer words is one shingle of all its words and is found as such in any document.
 
-The benchmark is broadcast in blocks of ``BLOCK`` items and all documents are held against each
-block, so that what is broadcast stays bounded.
+The benchmark is broadcast in blocks of about ``BLOCK`` items and ``BLOCK_BYTES`` of text, whichever makes more of them,
+dealt by a hash, and all documents are held against each block, so that what is broadcast stays bounded (but for a single item
+longer than that).
 
 Defined cases: null and empty texts contain nothing and items without words are found nowhere;
 repeated items and documents give a row each; an empty table on either side gives no rows.
@@ -39,7 +40,7 @@ N_WORDS = 5
 PERCENT = 80
 ROUNDS = 4
 ROOM = 16
-BLOCK = 50_000
+BLOCK, BLOCK_BYTES = 50_000, 32 << 20
 _WORD = re.compile(r"\w+")
 _BITS = 22
 
@@ -126,7 +127,8 @@ def contaminated(
     spark = df.sparkSession
     docs = texts(df, id_col, text_col)
     items = texts(benchmark, item_id_col, item_text_col)
-    blocks = max(1, -(-items.count() // BLOCK))
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK), -(-size // BLOCK_BYTES))
     schema = "doc_id long, origin long, item_id long, shared int, shingles int"
 
     def searched(block: int) -> DataFrame:
