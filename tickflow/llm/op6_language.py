@@ -10,7 +10,7 @@ by a hash of the id over the whole table (all of a language that has fewer).  Co
 the cluster and each language's ranking is cut to ``PROFILE`` n-grams, which bounds what is broadcast.
 
 Defined cases: texts that are null, empty or without a letter get ``und`` with score 0; equal counts rank
-by the n-gram and equal distances go to the first language in order of name; without any
+by the n-gram, shorter ones first (in a language's profile those of three letters first) and equal distances go to the first language in order of name; without any
 labelled row every document gets ``und``; null languages are not learnt; repeated rows count as
 often as they occur; an empty table gives no rows.
 """
