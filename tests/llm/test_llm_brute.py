@@ -18,6 +18,7 @@ import corpus_pipeline
 from llm_fixtures import small, tables  # noqa: F401
 from oracle_compare import compare, duck
 from tickflow.llm import (
+    common,
     op1_fingerprint as o1,
     op2_substring as o2,
     op3_bpe as o3,
@@ -285,6 +286,41 @@ def test_near_duplicates_hub(spark):
     assert got == want
 
 
+def test_near_duplicates_full_star(spark, monkeypatch):
+    """Classes with more pairs than a group takes are dealt to several groups, and keep all their links."""
+    monkeypatch.setattr(o5, "STAR", 20)
+    rng = np.random.default_rng(13)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+    docs = [(1000, " ".join(base))]
+    for n in range(300):
+        ws = list(base)
+        for i in rng.integers(0, 150, int(rng.integers(0, 9))):
+            ws[i] = f"v{rng.integers(10**6)}"
+        docs.append((n, " ".join(ws)))
+    full = []
+
+    def written(df, name):
+        out = common.written(df, name)
+        if name == "full-classes":
+            full.append(out.count())
+        return out
+
+    monkeypatch.setattr(o5, "written", written)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in o5.near_duplicates(df, n_words=4).collect()}
+    assert got == plain_components(docs, 4)
+    assert full[0] > 0  # of the stars
+
+
+def test_near_duplicates_leave_what_is_read(spark, tmp_path, monkeypatch):
+    """Of the tables written on the way, those stay that the result reads, and it can be read again."""
+    monkeypatch.setattr(common, "scratch_path", lambda _, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}"))
+    found = o5.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet"))
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert left <= {"sketches", "classes", "labels", "least-ids"}
+    assert found.count() == found.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
 def test_words_are_ascii_runs():
     assert words("A\x0bB\x1cÉ\xa0x\n\tÇa") == ["a".encode(), "b\x1cÉ\xa0x".encode(), "Ça".encode()]
 
@@ -325,6 +361,46 @@ def test_language_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def plain_language_grams(text):
+    s = "\0" + "".join(c if c.isalpha() else "\0" for c in text.lower()) + "\0"
+    found = collections.Counter()
+    for n in (1, 2, 3):
+        for i in range(len(s) - n + 1):
+            g = s[i : i + n]
+            if g[1] != "\0" if n == 3 else g.strip("\0"):
+                found[g] += 1
+    return found
+
+
+def test_language_plain(spark):
+    """The whole query: profiles, ranks, distances, ties and scores."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text").collect()
+    totals = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            totals[r.lang].update(plain_language_grams(r.text or ""))
+    assert max(collections.Counter(r.lang for r in rows).values()) <= o6.SAMPLE  # all of them are learnt
+    places = {
+        lang: {g: i for i, g in enumerate(sorted(n, key=lambda g: (-n[g], len(g) % 3, g))[: o6.PROFILE])}
+        for lang, n in totals.items()
+    }
+    want = {}
+    for r in rows:
+        n = plain_language_grams(r.text or "")
+        ranked = sorted(n, key=lambda g: (-n[g], len(g), g))[: o6.PROFILE]
+        pred, score = "und", 0.0
+        if ranked:
+            far = {
+                lang: sum(abs(at[g] - i) if g in at else o6.PROFILE for i, g in enumerate(ranked))
+                for lang, at in places.items()
+            }
+            pred = min(far, key=lambda lang: (far[lang], lang))
+            score = 1.0 - far[pred] / (o6.PROFILE * len(ranked))
+        want[r.doc_id] = (zlib.crc32(str(r.doc_id).encode()) % 3 == 1, pred, score)
+    got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in QUERIES["op6_language"](spark, SF).collect()}
+    assert got == want
+
+
 def test_grams_plain():
     text = "Ab, cab\U00010400 ß1x"
     want = collections.Counter()

@@ -1,6 +1,7 @@
 """Connected components of a table of links, by label propagation with pointer jumping.
 
-Every round writes its labels to the shared folder: nothing is collected and lineage stays short.  Each
+Every round writes its labels to the shared folder: nothing is collected and lineage stays short; the round
+before's are removed.  Each
 node takes the smallest label among its own and its neighbours'; then every label takes
 its own label (the jump), so that a path of n nodes needs about log n rounds.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickflow.llm.common import written
+from tickflow.llm.common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,6 +24,7 @@ def components(links: DataFrame) -> DataFrame:
         .select("node", F.least("node", "m").alias("label")),
         "labels",
     )
+    last = labels
     while True:
         near = (
             both.join(labels.withColumnRenamed("node", "b"), "b")
@@ -39,6 +41,8 @@ def components(links: DataFrame) -> DataFrame:
             ),
             "labels",
         )
+        discard(last)
+        labels, last = new.select("node", "label"), new
         if new.where("label <> old").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+            discard(both)
+            return labels

@@ -23,6 +23,10 @@ all its pairs.
 
 So no link between classes that share a band is lost.
 
+Counts by bucket, class or shingle are written before they are joined back: a small table is then broadcast, and
+where it isn't, both sides of the join are plain shuffles, of which AQE can split a key that holds many rows (an
+aggregate that feeds the join directly would bind all rows of a key to one task).  Tables that no later step reads are removed.
+
 Defined cases: null and empty texts, and texts without words, have the empty set and link with
 nothing; rows that repeat an id and a text are in one class; a null id is a document whose
 component is that of its class (null if alone) and which is never kept in favour of another; rows that
@@ -38,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickflow.llm.common import map_rows, mix, origin, shingles, table, texts, written
+from tickflow.llm.common import discard, map_rows, mix, origin, shingles, table, texts, written
 from tickflow.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -156,13 +160,16 @@ def _holds(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def verified(pairs: DataFrame, class_texts: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) of classes whose full sets are similar enough.
+    """The pairs (``a``, ``b``) of classes whose full sets are similar enough, as a written table.
 
     Each class is shipped beside its partner: pairs are grouped by ``a`` in groups of about ``STAR``, the text of
-    ``a`` goes to each of its groups once and stands first there, and the others stream past it."""
-    salt = F.pmod(F.xxhash64("b"), F.greatest(F.col("n") / STAR, F.lit(1)).cast("long"))
-    sized = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
-    sized = written(sized.select("a", "b", salt.alias("salt")), "candidates")
+    ``a`` goes to each of its groups once and stands first there, and the others stream past it.  Only classes of
+    more pairs than that are counted out and joined back."""
+    full = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > STAR)
+    full = written(full, "full-classes")
+    groups = F.coalesce((F.col("n") / STAR).cast("long"), F.lit(1))
+    sized = pairs.join(full, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), groups).alias("salt"))
+    sized = written(sized, "candidates")
     centres = sized.select("a", "salt").distinct().join(
         class_texts.withColumnRenamed("node", "a"), "a"
     ).select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
@@ -181,7 +188,9 @@ def verified(pairs: DataFrame, class_texts: DataFrame, n_words: int, percent: in
             elif _holds(centre, s, percent):
                 yield a, b
 
-    return map_rows(dealt, run, "a binary, b binary")
+    links = written(map_rows(dealt, run, "a binary, b binary"), "links")
+    discard(full, sized)
+    return links
 
 
 def _counts(class_texts: DataFrame, n_words: int) -> np.ndarray:
@@ -205,7 +214,7 @@ def _slots(s: np.ndarray) -> np.ndarray:
 
 
 def prefix_pairs(class_texts: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """Pairs (``a``, ``b``) of classes with different labels that may be similar enough: all that
+    """Pairs (``a``, ``b``) of classes with different labels that may be similar enough, as a written table: all that
     are, and few others.  ``class_texts`` has ``node``, ``label`` and ``text``.
 
     Shingles are ordered by how many sets they are in, as counted by slot: shingles that meet in a
@@ -226,14 +235,18 @@ def prefix_pairs(class_texts: DataFrame, n_words: int, percent: int) -> DataFram
     labels = prefixes.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
     top = F.max(F.struct("n", "label"))["label"].alias("top")
     met = labels.groupBy("shingle").agg(top, F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    rows = written(prefixes.join(met.drop("labels"), "shingle"), "met-prefixes")
+    met = written(met.drop("labels"), "met-shingles")
+    rows = written(prefixes.join(met, "shingle"), "met-prefixes")
     x, y = rows.where("label <> top").alias("x"), rows.alias("y")
     room = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
     enough = (100 + percent) * room >= percent * (F.col("x.size") + F.col("y.size"))
     once = (F.col("y.label") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
     differ = F.col("x.label") != F.col("y.label")
     pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & differ & once & enough)
-    return pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
+    found = pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
+    found = written(found, "cross-pairs")
+    discard(prefixes, met, rows)
+    return found
 
 
 def near_duplicates(
@@ -256,10 +269,12 @@ def near_duplicates(
     classes = written(classes, "classes")
     keys = classes.select("node", F.explode(F.array_distinct("bands")).alias("key"))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = written(sizes, "bucket-sizes")
     shared = written(keys.join(sizes, "key"), "buckets")
     weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     heaviest = F.max(F.struct("weight", "node"))["node"]
     centres = shared.join(weights, "node").groupBy("key").agg(heaviest.alias("a"))
+    centres = written(centres, "centres")
     stars = shared.select("key", F.col("node").alias("b")).join(centres, "key")
     stars = written(stars.where("a <> b").select("a", "b").distinct(), "stars")
 
@@ -267,25 +282,28 @@ def near_duplicates(
     wanted = classes.select("node", "row").join(shared.select("node").distinct(), "node")
     wanted = written(wanted, "wanted-classes")
     class_texts = written(class_texts_of(docs, wanted), "class-texts")
-    links = written(verified(stars, class_texts, n_words, percent), "links")
+    links = verified(stars, class_texts, n_words, percent)
+    discard(sizes, centres, stars, wanted)
     labels = components(links)
 
     # buckets where classes of different components meet
     labelled = shared.select("key", "node").join(labels, "node", "left")
     labelled = labelled.select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    open_ = labelled.join(mixed.where("x <> y").select("key"), "key").select("node", "label").distinct()
+    mixed = written(mixed.where("x <> y").select("key"), "mixed-buckets")
+    open_ = labelled.join(mixed, "key").select("node", "label").distinct()
     open_texts = written(open_.join(class_texts, "node"), "mixed-classes")
-    cross = written(prefix_pairs(open_texts, n_words, percent), "cross-pairs")
-    more = written(verified(cross, class_texts, n_words, percent), "more-links")
+    cross = prefix_pairs(open_texts, n_words, percent)
+    more = verified(cross, class_texts, n_words, percent)
     if not more.isEmpty():
         bound = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")
         labels = components(bound.union(more))
+    discard(shared, class_texts, links, mixed, open_texts, cross, more)
 
     of_class = classes.join(labels, "node", "left").select(
         "node", "least", F.coalesce("label", "node").alias("label")
     )
-    of_label = of_class.groupBy("label").agg(F.min("least").alias("component_id"))
+    of_label = written(of_class.groupBy("label").agg(F.min("least").alias("component_id")), "least-ids")
     found = of_class.join(of_label, "label").select("node", "component_id")
     out = sets.join(found, "node", "left")
     component = F.coalesce("component_id", "doc_id")
