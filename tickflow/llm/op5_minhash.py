@@ -50,7 +50,7 @@ T = BANDS * ROWS
 #: Documents whose sketches are filled together.
 _TOGETHER = 256
 #: Members of a star that are held against one copy of its centre.
-STAR = 512
+STAR = 128
 #: Counters of shingles; bounds what is broadcast (four bytes each).
 SLOTS = 1 << 21
 #: Bits of the map of rows whose texts are fetched; bounds what is broadcast (2 MB).
