@@ -10,6 +10,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -211,6 +212,23 @@ def test_records_query(spark, small):
     assert got == want
 
 
+def test_records_index_in_few_files(spark, tmp_path):
+    """Many files of records, of which each stands in one file of the index, whole and in order."""
+    before, n = spark.conf.get("spark.sql.shuffle.partitions"), 24 * spark.sparkContext.defaultParallelism
+    rows = [(i if i % 7 else None, f"text {i} " * (i % 5)) for i in range(4 * n)]
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        index = o4.write_records(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    parts = [pq.read_table(f).to_pylist() for f in (tmp_path / "index").glob("*.parquet")]
+    places = [[(r["part"], r["offset"]) for r in part] for part in parts]
+    files = [{r["file"] for r in part} for part in parts]
+    assert len(parts) <= n // 8 and places == [sorted(p) for p in places]
+    assert sum(map(len, files)) == len(set().union(*files)) > 2 * len(parts)
+    assert sum(map(len, parts)) == index.count() == o4.read_records(index, str(tmp_path)).count() == 4 * n
+
+
 def test_records_width():
     for ids in ([], [2], [65535, 1], [65536, 1, 2]):
         data = np.array(ids, "<u4").tobytes()

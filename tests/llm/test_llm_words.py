@@ -81,6 +81,17 @@ def test_generations(module, monkeypatch, plain):
     assert any(encoder.old) and len(encoder.held) < 40 + 31
 
 
+def test_generations_are_bounded_by_characters(monkeypatch, plain):
+    """Words of a script without blanks are lines: few entries, many characters."""
+    monkeypatch.setattr(o4, "MEMORY_CHARACTERS", 4000)
+    encoder, rng = o4.Encoder(), random.Random(7)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(500)) for _ in range(40)]
+    for text in [*texts, *texts]:
+        assert ids(encoder.encode([text])) == plain([text])
+        kept = [encoder.held, encoder.parts, *encoder.old]
+        assert sum(len(word) for words in kept for word in words) <= 2 * (4000 + 2 * 500)
+
+
 def test_concatenated_pieces():
     pieces = {i: p for p, i in o3.load_ranks(o3.RANKS).items()}
     rng = random.Random(5)

@@ -4,7 +4,8 @@ A record is the length of its data (unsigned 64-bit), the masked CRC-32C of thos
 data and the data's masked CRC-32C (unsigned 32-bit each), all little-endian.  The data are the document's id (signed 64-bit), a byte with the
 width of its token ids, two or four bytes by the largest of them, and the ids (unsigned).  Files are written in ascending doc_id order, one for each range of ids; the
 index is a Parquet table with file, offset, length and token counts of every record, so that a
-reader can fetch records in any order.  Reading verifies lengths and checksums and raises on damage.
+reader can fetch records in any order.  The index has fewer files than the data: one for about eight of them.  Reading
+verifies lengths and checksums and raises on damage.
 
 A task writes its file under a name of its own and the index names only files of tasks that
 succeeded: a retried task leaves an unused file and no wrong record.
@@ -39,6 +40,8 @@ from tickflow.plans.session import scratch_path
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 MEMORY = 400_000
+#: Characters of them: entries alone are no bound, for in a script without blanks a word is a line.
+MEMORY_CHARACTERS = 4_000_000
 #: Marks that end a word's last letter; not the apostrophe, which may begin a contraction.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 NULL_ID = -(2**63)
@@ -149,7 +152,7 @@ class Encoder:
     combining dot, which stands in one piece with the marks).  A text that may hold a special token's string is
     encoded whole.
 
-    Remembers pieces and words in two generations of ``MEMORY`` together."""
+    Remembers pieces and words in two generations of ``MEMORY`` or ``MEMORY_CHARACTERS`` together."""
 
     def __init__(self, path: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -172,6 +175,8 @@ class Encoder:
         self.parts: dict[str, bytes] = {"": b""}
         self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.ends_in_letter: dict[str, bool] = {}
+        #: Characters that the present generation has learned.
+        self.learned = 0
 
     def _learn_pieces(self, pieces: set[str]) -> None:
         """Remembers pieces: all new ones are one text, in which every piece ends with a token that ends a word."""
@@ -222,9 +227,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.held) + len(self.parts) > MEMORY // 2:
+        if len(self.held) + len(self.parts) > MEMORY // 2 or self.learned > MEMORY_CHARACTERS // 2:
             self.old = self.held, self.parts
             self.held, self.parts = {"": b""}, {"": b""}
+            self.learned = 0
         pieces, words, whole = {}, {}, {}
         for i, text in enumerate(texts):
             if self.special in text:
@@ -240,6 +246,7 @@ class Encoder:
         known = {w: ids for w in new if (ids := self.old[0].get(w)) is not None}
         self.held.update(known)
         self._learn(new.difference(known))
+        self.learned += sum(map(len, missing)) + sum(map(len, new))
         out = dict(zip(whole, self._encode(list(whole.values())), strict=True))
         for cuts, ids in ((pieces, self.parts), (words, self.held)):
             out.update((i, b"".join(map(ids.__getitem__, c))) for i, c in cuts.items())
@@ -255,6 +262,8 @@ def worker_encoder(path: str) -> Encoder:
 # --- writing and reading ------------------------------------------------------------------------
 _INDEX = "doc_id long, part int, file string, offset long, length long, start_in_file long, n_tokens long"
 _GROUP = 4 << 20
+#: Files of records to a file of the index.
+_INDEXED = 8
 #: Characters of text whose new words are encoded together.
 _TOGETHER = 1 << 20
 
@@ -296,7 +305,8 @@ def write_records(
     """Writes ``folder/data`` and ``folder/index``; returns the index."""
     docs = texts(df, id_col, text_col)
     order = [F.asc_nulls_last("doc_id"), F.xxhash64("text")]
-    dealt = docs.repartitionByRange(shuffle_parts(df.sparkSession), *order)
+    n = shuffle_parts(df.sparkSession)
+    dealt = docs.repartitionByRange(n, *order)
     dealt = dealt.sortWithinPartitions(*order)
     end = struct.pack("<I", end_id)
 
@@ -334,7 +344,12 @@ def write_records(
         if out is not None:
             out.close()
 
-    map_rows(dealt, run, _INDEX).write.parquet(f"{folder}/index")
+    # by file, in its order: a reader opens each once; a task that is run again writes a file of another name, but deals
+    # its rows out as before.  Never fewer files than keep the session's cores busy reading; coalesce holds their number
+    # where a session raises that of the dealing.
+    files = max(min(n, 2 * df.sparkSession.sparkContext.defaultParallelism), -(-n // _INDEXED))
+    index = map_rows(dealt, run, _INDEX).repartition(files, "part").sortWithinPartitions("part", "offset")
+    index.coalesce(files).write.parquet(f"{folder}/index")
     return read_index(df.sparkSession, folder)
 
 
@@ -415,7 +430,7 @@ def query(spark, sf_dir) -> DataFrame:
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"),
     )
-    return found.join(starts(index), "part").select(
+    return found.join(F.broadcast(starts(index)), "part").select(  # a row for each file of records
         "doc_id",
         (F.col("before") + F.col("start_in_file")).alias("start"),
         "n_tokens",
