@@ -57,7 +57,12 @@ def start_stream(
 def write_parquet_stream(
     df: DataFrame, path: str, checkpoint: str, layout: Sequence[str] = (), trigger=None
 ) -> StreamingQuery:
-    """Hive-partitioned parquet; exactly-once through the sink's own log."""
+    """Hive-partitioned parquet; exactly-once through the sink's own log.
+
+    A batch is rebalanced on its folders first, as in ``write_history``: a folder gets a file, or several if it is large,
+    and not one from each task of the batch, whose product with the folders grows faster than the rows."""
+    if layout:
+        df = df.hint("rebalance", *layout)
     return start_stream(df, checkpoint, trigger, layout, format="parquet", path=path)
 
 
