@@ -14,7 +14,7 @@ from tickflow.plans import contracts
 from tickflow.plans.inspect import plan_text
 from tickflow.sources.kafka import read_value_files
 from tickflow.sources.serving import read_table
-from tickflow.streaming.sinks import BATCH_COL, table_batch_writer
+from tickflow.streaming.sinks import AVAILABLE_NOW, BATCH_COL, table_batch_writer, write_parquet_stream
 from conftest import SF_SMALL
 
 
@@ -22,6 +22,25 @@ def _rows(df):
     return sorted(tuple(r) for r in df.select(*[f.name for f in S.TRADES.fields]).collect())
 
 
+def test_a_batch_gives_a_folder_one_file(spark, tmp_path):
+    """Whatever the tasks of the batch, each of which has rows of every folder."""
+    feed, out = str(tmp_path / "feed"), tmp_path / "out"
+    rows = spark.range(0, 600, 1, 6).select("id", (F.col("id") % 5).cast("int").alias("Day"))
+    rows.union(rows.limit(7).select("id", F.lit(None).cast("int"))).repartition(6).write.parquet(feed)
+    before = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # a task for each file
+    spark.conf.set("spark.sql.files.openCostInBytes", "8k")
+    try:
+        source = spark.readStream.schema("id long, Day int").parquet(feed)
+        write_parquet_stream(source, str(out), str(tmp_path / "cp"), ("Day",), AVAILABLE_NOW).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before[0])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[1])
+    files = [f.parent.name for f in out.glob("*/*.parquet")]
+    assert len(files) == len(set(files)) == 6
+    assert spark.read.parquet(str(out)).count() == 607
+
+
 def test_stream_equals_batch(spark):
     batch = catalog.trades(spark, SF_SMALL)
     assert _rows(catalog.q_stream_parquet(spark, SF_SMALL)) == _rows(batch)
