@@ -7,9 +7,9 @@ depends on its ids alone and is remembered by them.  Within a window, offsets wh
 groups, and the tokens whose ranges overlap are linked.
 
 Counts: how many documents hold a pair of ids linked.  Documents are taken in blocks of ``BLOCK_BYTES`` of text; a block's
-distinct pairs are one row, so that what is shuffled is a block's pairs and not each document's links.  The pairs are
-summed, a pair's count and whether it is the highest of its first id goes back to the blocks that hold the pair, and each
-block scores its documents.
+distinct pairs are numbered, so that what is summed is a block's pairs and not each document's links.  A pair's count and
+whether it is the highest of its first id goes back to the blocks that hold the pair, where its number stands for it in
+the documents.  A row is a document or a pair: neither a worker nor a row holds the documents of a block.
 
 Defined cases: null and empty texts, and texts whose bytes a tokenizer changes (such as U+2581), have no tokens and
 link nothing; repeated rows and null ids are documents of their own; extra columns are left out; an empty table
@@ -23,7 +23,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -32,13 +32,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tickflow.llm.common import map_batches, map_rows, rows_of, table, texts, written
 
 BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text whose documents are scored together, and of text that is encoded at once.
-BLOCK_BYTES, BATCH_BYTES = 8 << 20, 1 << 20
+BLOCK_BYTES, BATCH_BYTES = 8 << 20, 256 << 10
+#: Rows of a block's pairs that go to Spark at once.
+PAIR_ROWS = 10_000
 #: Windows that a worker remembers, in two generations of so many each, and ids of the longest one remembered.
 MEMORY, LONGEST = 100_000, 24
 SPACE = "▁"
@@ -212,29 +215,29 @@ def worker_aligner() -> Aligner:
     return Aligner()
 
 
-def _aligned(rows) -> Iterator[tuple[int | None, int, Alignment | None]]:
-    """Ids, lengths and alignments of rows of (id, text), encoded ``BATCH_BYTES`` at once."""
-    held, size, aligner = [], 0, worker_aligner()
+def _aligned(rows) -> Iterator[list[tuple[int | None, int, Alignment | None]]]:
+    """Ids, lengths and alignments of rows of (id, text), in the lists that are encoded at once."""
+    held, size, aligner, most = [], 0, worker_aligner(), min(BATCH_BYTES, BLOCK_BYTES)
 
     def flush():
-        for (key, text), found in zip(held, aligner.align([t for _, t in held]), strict=True):
-            yield key, len(text), found
+        found = aligner.align([t for _, t in held])
+        return [(key, len(text), f) for (key, text), f in zip(held, found, strict=True)]
 
     for row in rows:
         held.append(row)
-        size += len(row[1])
-        if size >= BATCH_BYTES:
-            yield from flush()
+        size += len(row[1]) + 64
+        if size >= most:
+            yield flush()
             held, size = [], 0
     if held:
-        yield from flush()
+        yield flush()
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, both lists of ids, and for each group the ends of its tokens in them; no shuffle."""
 
     def run(rows):
-        for doc_id, _, found in _aligned(rows):
+        for doc_id, _, found in chain.from_iterable(_aligned(rows)):
             if found is None:
                 yield doc_id, [], [], []
             else:
@@ -244,53 +247,102 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return map_rows(texts(df, id_col, text_col), run, schema)
 
 
-_DOCS = (
-    "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
-    "digests array<string>, distinct array<int>, places array<int>, times array<int>"
+#: A row is a document, with the places of its pairs in its block and how many times it holds each, or a pair of the
+#: block, at its place, with the number of the block's ``docs`` that hold it.  None is longer than a document.
+_BLOCK = (
+    "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
+    "places array<int>, times array<int>, place int, pair long, docs long"
 )
-_BLOCK = f"{_DOCS}, pairs array<long>, docs array<long>"
+
+
+class Places:
+    """The distinct pairs of a block, numbered as they come, and how many of its documents hold each."""
+
+    def __init__(self):
+        #: Sorted, and the place of each.
+        self.pairs, self.places = np.empty(0, np.int64), np.empty(0, np.int32)
+        #: By place.
+        self.docs = np.empty(0, np.int64)
+
+    def take(self, held: np.ndarray) -> np.ndarray:
+        """The places of pairs that are given once for each document that holds them."""
+        distinct, which = np.unique(held, return_inverse=True)
+        new = np.setdiff1d(distinct, self.pairs, assume_unique=True)
+        n, at = len(self.pairs), np.searchsorted(self.pairs, new)
+        self.places = np.insert(self.places, at, np.arange(n, n + len(new), dtype=np.int32))
+        self.pairs = np.insert(self.pairs, at, new)
+        places = self.places[np.searchsorted(self.pairs, distinct)][which]
+        self.docs = np.bincount(places, minlength=len(self.pairs)) + np.r_[self.docs, np.zeros(len(new), np.int64)]
+        return places
+
+    def by_place(self) -> np.ndarray:
+        return self.pairs[np.argsort(self.places)]
+
+
+def _told(found: Alignment | None) -> tuple[int, int, int, int, str]:
+    """Counts of ids, groups and links, and the groups' digest."""
+    if found is None:
+        return 0, 0, 0, 0, ""
+    told, links = found.groups(), found.links()
+    return len(found.a), len(found.b), told.count(b";") + 1, len(links), hashlib.sha256(told).hexdigest()
 
 
 def blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a block of documents: their counts and digests; the block's distinct ``pairs`` with the number of its
-    ``docs`` that hold each; and for each document which of them it holds (``places``, ``distinct`` of them) how many
-    ``times``."""
-
-    def packed(block, held):
-        ids, counts, digests, links = zip(*held, strict=True)
-        found = [np.unique(x, return_counts=True) for x in links]
-        pairs, places, docs = np.unique(
-            np.concatenate([p for p, _ in found]), return_inverse=True, return_counts=True
-        )
-        times = np.concatenate([t for _, t in found])
-        return (
-            block, list(ids), *[list(c) for c in zip(*counts, strict=True)], list(digests), [len(p) for p, _ in found],
-            places.astype(np.int32), times.astype(np.int32), pairs, docs,
-        )
+    """The rows of ``_BLOCK``.  Documents go back to Spark as they are aligned; a worker keeps its block's pairs only."""
+    ddl = T._parse_datatype_string(_BLOCK)
+    schema = to_arrow_schema(ddl)
+
+    def batch(n: int, **columns) -> pa.RecordBatch:
+        def column(f: pa.Field) -> pa.Array:
+            c = columns.get(f.name)
+            return pa.nulls(n, f.type) if c is None else c if isinstance(c, pa.Array) else pa.array(c, f.type)
+
+        return pa.RecordBatch.from_arrays([column(f) for f in schema], schema=schema)
+
+    def documents(block: int, rows: list, known: Places) -> pa.RecordBatch:
+        ids, _, found = zip(*rows, strict=True)
+        none = np.empty(0, np.int64)
+        held = [np.unique(f.links() if f else none, return_counts=True) for f in found]
+        places = known.take(np.concatenate([pairs for pairs, _ in held]))
+        times = np.concatenate([t for _, t in held]).astype(np.int32)
+        ends = np.cumsum([0, *(len(pairs) for pairs, _ in held)], dtype=np.int32)
+        names = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+        told = dict(zip(names, zip(*map(_told, found), strict=True), strict=True))
+        lists = {
+            k: pa.ListArray.from_arrays(ends, v, type=schema.field(k).type)
+            for k, v in (("places", places), ("times", times))
+        }
+        return batch(len(ids), block=np.full(len(ids), block), doc_id=ids, **told, **lists)
+
+    def pairs(block: int, known: Places) -> Iterator[pa.RecordBatch]:
+        found = known.by_place()
+        for begin in range(0, len(found), PAIR_ROWS):
+            end = min(begin + PAIR_ROWS, len(found))
+            yield batch(
+                end - begin,
+                block=np.full(end - begin, block),
+                place=np.arange(begin, end),
+                pair=found[begin:end],
+                docs=known.docs[begin:end],
+            )
 
-    def run(rows):
-        part, block, held, size = TaskContext.get().partitionId(), 0, [], 0
-        for doc_id, length, found in _aligned(rows):
-            if found is None:
-                held.append((doc_id, (0, 0, 0, 0), "", np.empty(0, np.int64)))
-            else:
-                told, links = found.groups(), found.links()
-                n = (len(found.a), len(found.b), told.count(b";") + 1, len(links))
-                held.append((doc_id, n, hashlib.sha256(told).hexdigest(), links))
-            size += length + 64
+    def run(parts):
+        block, size, known = TaskContext.get().partitionId() << 32, 0, Places()
+        for rows in _aligned(rows_of(parts)):
+            yield documents(block, rows, known)
+            size += sum(length + 64 for _, length, _ in rows)
             if size >= BLOCK_BYTES:
-                yield packed(part << 32 | block, held)
-                block, held, size = block + 1, [], 0
-        if held:
-            yield packed(part << 32 | block, held)
+                yield from pairs(block, known)
+                block, size, known = block + 1, 0, Places()
+        yield from pairs(block, known)
 
-    return map_rows(texts(df, id_col, text_col), run, _BLOCK)
+    return map_batches(texts(df, id_col, text_col), run, ddl)
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
     """``pair``, ``n`` (documents that hold it) and ``best``: no pair of its first id stands in more."""
-    held = found.select(F.inline(F.arrays_zip(F.col("pairs").alias("pair"), F.col("docs").alias("k"))))
-    counts = held.groupBy("pair").agg(F.sum("k").alias("n")).withColumn("a", F.shiftright("pair", 32))
+    held = found.where("pair is not null")
+    counts = held.groupBy("pair").agg(F.sum("docs").alias("n")).withColumn("a", F.shiftright("pair", 32))
     highest = counts.groupBy("a").agg(F.max("n").alias("top"))
     return counts.join(highest, "a").select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
 
@@ -301,39 +353,46 @@ _SCORED = (
 
 
 def score(found: DataFrame) -> DataFrame:
-    """The documents of ``blocks``' rows, each with the sums over its links."""
+    """The documents of ``blocks``' rows, each with the sums over its links.  A block's pairs, in the order of their
+    places, stream past before its documents."""
     counts = written(pair_counts(found), "align-pairs")
-    asked = found.select("block", F.explode("pairs").alias("pair")).join(counts, "pair")
-    told = asked.groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("pair", "n", "best"))).alias("told")  # in the order of the block's pairs
-    )
-    told = told.select("block", F.col("told.n").alias("n"), F.col("told.best").alias("best"))
-    docs = found.select(*[c.split()[0] for c in _DOCS.split(", ")])
+    told = found.where("pair is not null").select("block", "place", "pair").join(counts, "pair").drop("pair")
+    docs = found.where("pair is null").drop("place", "pair", "docs")
+    both = docs.unionByName(told, allowMissingColumns=True).repartition("block")
 
     def run(parts):
+        block, worth = None, []
         for part in parts:
-            for i in range(part.num_rows):
-                row = {name: column[i] for name, column in zip(part.schema.names, part.columns, strict=True)}
-                yield _scored(row)
-
-    return map_batches(docs.join(told, "block", "left"), run, T._parse_datatype_string(_SCORED))
-
-
-def _scored(row: dict) -> pa.RecordBatch:
-    flat = lambda name: np.asarray(row[name].values) if row[name].is_valid else np.empty(0, np.int64)
-    n, best = flat("n"), flat("best").astype(np.int64)
-    places, times, distinct = flat("places"), flat("times").astype(np.int64), flat("distinct")
-    of = np.repeat(np.arange(len(distinct)), distinct)
-    sums = []
-    for worth in (best, n):
-        total = np.zeros(len(distinct), np.int64)
-        np.add.at(total, of, times * worth[places])
-        sums.append(pa.array(total))
-    given = [row[c].values for c in ("doc_ids", "n_a", "n_b", "n_groups", "n_links")]
-    return pa.RecordBatch.from_arrays(
-        [*given, *sums, row["digests"].values],
-        names=[c.split()[0] for c in _SCORED.split(", ")],
-    )
+            of = part.column("block").to_numpy()
+            is_pair = part.column("place").is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((of[1:] != of[:-1]) | (is_pair[1:] != is_pair[:-1])) + 1
+            for begin, end in pairwise([0, *cuts.tolist(), len(of)]):
+                if begin == end:
+                    continue
+                if of[begin] != block:
+                    block, worth = of[begin], [np.empty((2, 0), np.int64)]
+                here = part.slice(begin, end - begin)
+                if is_pair[begin]:
+                    worth.append(np.stack([here.column("best").cast(pa.int64()), here.column("n")]))
+                else:
+                    worth = [np.concatenate(worth, axis=1)]
+                    yield _scored(here, worth[0])
+
+    ordered = both.sortWithinPartitions("block", F.asc_nulls_last("place"))
+    return map_batches(ordered, run, T._parse_datatype_string(_SCORED))
+
+
+def _scored(docs: pa.RecordBatch, worth: np.ndarray) -> pa.RecordBatch:
+    """``worth``: for each place, whether the pair is the best of its first id, and its count."""
+    places, times = (docs.column(c).flatten().to_numpy() for c in ("places", "times"))
+    ends = docs.column("places").offsets.to_numpy()
+    ends = ends - ends[0]
+    sums = {}
+    for name, of_pair in zip(("n_best", "count_sum"), worth, strict=True):
+        total = np.r_[0, np.cumsum(times * of_pair[places])]
+        sums[name] = pa.array(total[ends[1:]] - total[ends[:-1]])
+    names = [c.split()[0] for c in _SCORED.split(", ")]
+    return pa.RecordBatch.from_arrays([sums[c] if c in sums else docs.column(c) for c in names], names=names)
 
 
 def query(spark, sf_dir) -> DataFrame:
