@@ -69,6 +69,27 @@ def test_query_plain(spark, tables, small, aligner, monkeypatch):
     assert sorted(got, key=str) == sorted(plain(aligner, docs), key=str)
 
 
+def test_no_row_holds_a_block(spark, aligner):
+    """What a row of a block holds doesn't grow with the documents of the block."""
+    docs = [(i, f"number {i} of the words " * 20) for i in range(300)]
+    found = o.blocks(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    longest = max(len(plain_groups(aligner, t)[3]) for _, t in docs)
+    assert found.select("block").distinct().count() == 1
+    assert all(len(v) <= longest for r in found.collect() for v in r if isinstance(v, list))
+
+
+def test_a_block_in_many_batches(spark, small, aligner, monkeypatch):
+    """A block's pairs and documents reach the scoring worker in batches of a few rows."""
+    import tickflow.llm.common as common
+
+    monkeypatch.setattr(common, "SENT_BYTES", 5_000)
+    monkeypatch.setattr(o, "PAIR_ROWS", 100)
+    docs = small[:40] + [(100_000 + i, t) for i, t in enumerate(ODD)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = [tuple(r) for r in o.score(o.written(o.blocks(df), "align-blocks")).collect()]
+    assert sorted(got, key=str) == sorted(plain(aligner, docs), key=str)
+
+
 def test_groups(spark, aligner):
     texts = [t for t in ODD if t and plain_groups(aligner, t)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -358,6 +358,9 @@ def score(found: DataFrame) -> DataFrame:
     counts = written(pair_counts(found), "align-pairs")
     told = found.where("pair is not null").select("block", "place", "pair").join(counts, "pair").drop("pair")
     docs = found.where("pair is null").drop("place", "pair", "docs")
+    # not null lists: Arrow's writer goes over all that have piled up, for each row anew
+    none = F.array().cast("array<int>")
+    told = told.withColumns({"places": none, "times": none})
     both = docs.unionByName(told, allowMissingColumns=True).repartition("block")
 
     def run(parts):
